@@ -63,7 +63,7 @@ def fold_logins(attempts: DataFrame) -> DataFrame:
 
 def persons_of_folds(folds: DataFrame, person: DataFrame) -> DataFrame:
     """Folded logins as (person_id, login_at); unknown identities drop out."""
-    return lookup(folds, _person_identities(person), "identity", how="inner").select("person_id", "login_at")
+    return folds.join(_person_identities(person), "identity").select("person_id", "login_at")
 
 
 def apply_last_login(person: DataFrame, logins: DataFrame) -> DataFrame:

@@ -67,9 +67,9 @@ def _dashboard(tables: Mapping[str, DataFrame], scope: int | None) -> DataFrame:
     person = tables["person"].select("person_id", "login_phone", "upazila", "district")
     return (
         _agents(tables, scope)
+        .join(person, "person_id")
         .join(agent_counts(tables, scope), "agent_code", "left")
         .join(tables["center"], "center_code", "left")
-        .join(person, "person_id")
         .select(
             "person_id",
             "center_code",
@@ -139,8 +139,8 @@ def _success(tables: Mapping[str, DataFrame]) -> DataFrame:
     return (
         tables["field_agent"]
         .select("agent_code", "person_id")
-        .join(kyc, "agent_code")
         .join(person, "person_id")
+        .join(kyc, "agent_code")
         .select(
             "agent_code",
             "agent_name",
@@ -153,7 +153,7 @@ def _success(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def agent_ranking(tables: Mapping[str, DataFrame], ordered: bool = False) -> DataFrame:
     """Agents with KYC rows: totals, success rate to two decimals, and rank by the exact rate."""
-    rows = ranked(_success(tables), "rate", "rank").select(
+    rows = ranked(_success(tables), "rate", [F.col("agent_code")], "rank").select(
         "agent_code",
         "agent_name",
         "total_kyc",

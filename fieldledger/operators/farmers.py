@@ -5,6 +5,7 @@ The list takes an agent's ``person_id`` as ``scope``; profile and histories take
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,23 +21,22 @@ from fieldledger.functions import (
     or_default,
     word_caps,
 )
-from fieldledger.plans import farmer_person, latest_loan, present, replicate
+from fieldledger.plans import farmer_person, kyc_rows, latest_loan, present, replicate
+
+
+def _code_of(tables: Mapping[str, DataFrame], person_id: int) -> Column:
+    """The agent code of a person as a scalar; two codes are an error when the query runs."""
+    return tables["field_agent"].where(F.col("person_id") == person_id).select("agent_code").scalar()
 
 
 def _agent_farmers(tables: Mapping[str, DataFrame], scope: int | None) -> DataFrame:
-    """Farmers with the person id of their agent; two agent codes for one person are an error."""
+    """Farmers with the person id of their agent."""
     farmers = tables["farmer"].select("agent_code", "farmer_code", F.col("person_id").alias("farmer_person_id"))
-    agents = tables["field_agent"].where(F.col("person_id").isNotNull()).select("person_id", "agent_code")
     if scope is None:
-        return farmers.join(agents, "agent_code")
-    code = agents.where(F.col("person_id") == scope).select("agent_code").scalar()
-    return farmers.where(F.col("agent_code") == code).withColumn("person_id", F.lit(scope).cast("bigint"))
-
-
-def _listed(farmers: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Only farmers that have a person; the lists join to it."""
-    persons = tables["person"].select(F.col("person_id").alias("farmer_person_id"))
-    return farmers.join(persons, "farmer_person_id")
+        agents = tables["field_agent"].where(F.col("person_id").isNotNull())
+        return farmers.join(agents.select("person_id", "agent_code"), "agent_code")
+    of_agent = farmers.where(F.col("agent_code") == _code_of(tables, scope))
+    return of_agent.withColumn("person_id", F.lit(scope).cast("bigint"))
 
 
 def my_farmers(
@@ -44,15 +44,9 @@ def my_farmers(
 ) -> DataFrame:
     """An agent's farmers with KYC state, state and due date of the latest loan, and open orders.
 
-    Loans, orders and KYC rows are brought to one row per farmer (KYC: per farmer and state, with a
-    count) before the joins, which then all run on the same partitioning by farmer.
+    Loans, orders and KYC rows are brought to one row per farmer before the joins, which then all run
+    on the same partitioning by farmer.
     """
-    states = (
-        tables["kyc"]
-        .where(F.col("farmer_code").isNotNull())
-        .groupBy("farmer_code", F.coalesce("identity_verified", F.lit("PENDING")).alias("kyc_status"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
     open_orders = (
         tables["purchase"]
         .where(F.col("farmer_code").isNotNull() & ~F.col("payment_status").isin("DELIVERED", "CANCELLED"))
@@ -63,15 +57,12 @@ def my_farmers(
     person = tables["person"].select(
         F.col("person_id").alias("farmer_person_id"), "first_name", "last_name", "login_phone"
     )
-    rows = (
+    farmers = (
         _agent_farmers(tables, scope)
         .join(latest_loan(tables["loan"]), "farmer_code", "left")
         .join(open_orders, "farmer_code", "left")
-        .join(states, "farmer_code", "left")
-        .join(person, "farmer_person_id")
-        .withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
     )
-    rows = replicate(rows, "copies")
+    rows = replicate(kyc_rows(farmers, tables["kyc"]).join(person, "farmer_person_id"), "copies")
     state = F.col("loan_state")
     return present(
         rows,
@@ -81,7 +72,7 @@ def my_farmers(
             F.col("farmer_code").alias("code"),
             full_name(word_caps("first_name"), word_caps("last_name")).alias("name"),
             F.col("login_phone").alias("phone"),
-            F.coalesce("kyc_status", F.lit("PENDING")).alias("kyc_status"),
+            F.col("kyc_status"),
             F.when(F.col("loan_no").isNull(), "No Loan")
             .when(state == "CLOSED", "Paid")
             .when(state == "ACTIVE", "Active Loan")
@@ -97,21 +88,31 @@ def my_farmers(
 
 
 def my_farmers_count(tables: Mapping[str, DataFrame], scope: int | None = None) -> DataFrame:
-    """The length of each agent's list of farmers, 0 for an empty one."""
-    kyc_rows = (
+    """The length of each agent's list of farmers, 0 for an empty one.
+
+    Farmers are counted per agent code before they meet the agents, so an agent with very many
+    farmers is one row by then.
+    """
+    rows_per_farmer = (
         tables["kyc"]
         .where(F.col("farmer_code").isNotNull())
         .groupBy("farmer_code")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    listed = _listed(_agent_farmers(tables, scope), tables).join(kyc_rows, "farmer_code", "left")
+    code = F.col("agent_code")
+    farmers = tables["farmer"].where(code.isNotNull() if scope is None else code == _code_of(tables, scope))
+    listed = (
+        farmers.select("agent_code", "farmer_code", "person_id")
+        .join(tables["person"].select("person_id"), "person_id")
+        .join(rows_per_farmer, "farmer_code", "left")
+    )
     rows = F.sum(F.coalesce("rows", F.lit(1).cast("bigint")))
     zero = F.lit(0).cast("bigint")
     if scope is not None:
         return listed.agg(F.coalesce(rows, zero).alias("farmers_shown"))
-    counts = listed.groupBy("person_id").agg(rows.alias("farmers_shown"))
+    counts = listed.groupBy("agent_code").agg(rows.alias("farmers_shown"))
     agents = tables["field_agent"].where(F.col("person_id").isNotNull()).select("person_id", "agent_code")
-    return agents.join(counts, "person_id", "left").select(
+    return agents.join(counts, "agent_code", "left").select(
         "person_id", "agent_code", F.coalesce("farmers_shown", zero).alias("farmers_shown")
     )
 
@@ -257,27 +258,28 @@ def farmer_page(
     without a profile are left out. The rows of a farmer are not nested into one, so a farmer with
     a very long history needs no large row.
     """
-    profile = farmer_detail(tables).withColumn("referred_by", or_default("referred_by", "N/A"))
-    loans = farmer_loans(tables).withColumn("status", label("loan_state", F.col("status"), language))
-    repayments = farmer_repayments(tables).withColumn(
+    found = _of_farmer(farmer_person(tables), scope).select("farmer_code")
+
+    def of_found(name: str) -> DataFrame:
+        return _of_farmer(tables[name], scope).join(found, "farmer_code", "left_semi")
+
+    # Repayments follow from the loans kept, so that largest table is not joined a second time.
+    kept = ChainMap({"loan": of_found("loan"), "purchase": of_found("purchase")}, tables)
+    profile = _of_farmer(farmer_detail(tables), scope).withColumn("referred_by", or_default("referred_by", "N/A"))
+    loans = farmer_loans(kept).withColumn("status", label("loan_state", F.col("status"), language))
+    repayments = farmer_repayments(kept).withColumn(
         "payment_state", label("payment_state", F.col("payment_state"), language)
     )
-    purchases = farmer_purchases(tables).withColumns(
+    purchases = farmer_purchases(kept).withColumns(
         {
             "payment_method": or_default("payment_method", "N/A"),
             "status": label("payment_status", F.col("status"), language),
             "transaction_reference": or_default("transaction_reference", "N/A"),
         }
     )
-    if scope is not None:
-        profile, loans, repayments, purchases = (
-            df.where(F.col("farmer_code") == scope) for df in (profile, loans, repayments, purchases)
-        )
-    found = farmer_person(tables).select("farmer_code")
     page = profile.withColumn("section", F.lit("profile"))
     for section, history in (("loan", loans), ("repayment", repayments), ("purchase", purchases)):
-        kept = history.join(found, "farmer_code", "left_semi").withColumn("section", F.lit(section))
-        page = page.unionByName(kept, allowMissingColumns=True)
+        page = page.unionByName(history.withColumn("section", F.lit(section)), allowMissingColumns=True)
     first = ("farmer_code", "section")
     return page.select(*first, *(c for c in page.columns if c not in first))
 

@@ -3,6 +3,7 @@
 from fieldledger.plans.fragments import (
     farmer_person,
     kyc_copies,
+    kyc_rows,
     latest_loan,
     loans_per_farmer,
     lookup,
@@ -15,6 +16,7 @@ from fieldledger.plans.ordering import numbered, present, ranked
 __all__ = [
     "farmer_person",
     "kyc_copies",
+    "kyc_rows",
     "latest_loan",
     "loans_per_farmer",
     "lookup",

@@ -73,6 +73,45 @@ def kyc_copies(farmers: DataFrame, kyc: DataFrame) -> DataFrame:
     )
 
 
+# The states that the write rules set; KYC rows may hold others.
+_KYC_STATES = ("VERIFIED", "PENDING", "REJECTED")
+
+
+def kyc_rows(farmers: DataFrame, kyc: DataFrame) -> DataFrame:
+    """Farmers with ``kyc_status`` and ``copies``: the rows of a left join to KYC, equal ones counted.
+
+    An undecided state, and no KYC row at all, count as pending. The usual states are counted in
+    columns, so KYC is shuffled once, by farmer. Other states, if there are any, come as a short
+    list per farmer, one entry per state.
+    """
+    known = kyc.where(F.col("farmer_code").isNotNull())
+    state = F.coalesce("identity_verified", F.lit("PENDING"))
+    counted = known.groupBy("farmer_code").agg(*(F.count_if(state == s).alias(s) for s in _KYC_STATES))
+    others = (
+        known.where(~F.col("identity_verified").isin(*_KYC_STATES))
+        .groupBy("farmer_code", F.col("identity_verified").alias("kyc_status"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy("farmer_code")
+        .agg(F.collect_list(F.struct("kyc_status", "copies")).alias("others"))
+    )
+    without_row = {"PENDING": F.lit(1)}
+    usual = (
+        F.struct(
+            F.lit(s).alias("kyc_status"),
+            F.coalesce(s, without_row.get(s, F.lit(0)).cast("bigint")).alias("copies"),
+        )
+        for s in _KYC_STATES
+    )
+    none = F.array().cast("array<struct<kyc_status:string,copies:bigint>>")
+    return (
+        farmers.join(counted, "farmer_code", "left")
+        .join(others, "farmer_code", "left")
+        .withColumn("state", F.explode(F.concat(F.array(*usual), F.coalesce("others", none))))
+        .where("state.copies > 0")
+        .select(*farmers.columns, "state.kyc_status", "state.copies")
+    )
+
+
 def with_loan(farmers: DataFrame, loan: DataFrame) -> DataFrame:
     return farmers.join(loan.select("farmer_code").distinct(), "farmer_code", "left_semi")
 
@@ -94,8 +133,8 @@ def replicate(df: DataFrame, copies: str) -> DataFrame:
     )
 
 
-def lookup(rows: DataFrame, keyed: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join ``rows``, where a key may repeat without bound, to ``keyed``, which has one row per key.
+def lookup(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows``, where a key may repeat without bound, to ``keyed``, which has one row per key.
 
     Spark splits a frequent key of ``rows`` over tasks only if both inputs come straight from a
     shuffle made for this join. ``keyed`` is often the result of an aggregation on the same key and
@@ -108,4 +147,4 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, how: str = "left") -> Da
 
     left = rows.withColumn("_probe", probe(key))
     right = keyed.withColumn("_probe", probe(key)).drop(key)
-    return left.join(right, "_probe", how).drop("_probe")
+    return left.join(right, "_probe", "left").drop("_probe")

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldledger.plans.fragments import lookup
 from fieldledger.session import cut
 
 # Low bits of monotonically_increasing_id: the place of a row in its partition.
@@ -34,39 +35,6 @@ def present(
     return df.select(*columns) if scoped else df.select(F.col(key), *columns)
 
 
-def ranked(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Add the descending rank, with gaps, of a percentage between 0 and 100.
-
-    The rank is one plus the number of rows with a greater value. Rows are counted per distinct
-    value; values fall into 10,001 fixed buckets of a hundredth, whose totals are few enough for
-    one task and for a broadcast; inside a bucket a window adds up the counts.
-    """
-    counted = (
-        df.groupBy(value)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_bucket", F.floor(F.col(value) * 100).cast("int"))
-    )
-    before = (Window.unboundedPreceding, -1)
-    buckets = (
-        counted.groupBy("_bucket")
-        .agg(F.sum("_rows").alias("_bucket_rows"))
-        .withColumn(
-            "_above", F.sum("_bucket_rows").over(Window.orderBy(F.desc("_bucket")).rowsBetween(*before))
-        )
-        .select("_bucket", "_above")
-    )
-    inside = Window.partitionBy("_bucket").orderBy(F.desc(value)).rowsBetween(*before)
-    ranks = (
-        counted.withColumn("_inside", F.sum("_rows").over(inside))
-        .join(F.broadcast(buckets), "_bucket")
-        .select(
-            F.col(value),
-            (F.lit(1) + F.coalesce("_above", F.lit(0)) + F.coalesce("_inside", F.lit(0))).cast("int").alias(rank),
-        )
-    )
-    return df.join(ranks, value)
-
-
 def numbered(df: DataFrame, order: Sequence[Column], number: str) -> DataFrame:
     """Add 1, 2, 3, … in ``order``, which must leave no ties.
 
@@ -86,3 +54,13 @@ def numbered(df: DataFrame, order: Sequence[Column], number: str) -> DataFrame:
         .withColumn(number, F.col("_start") + place + 1)
         .drop("_part", "_place", "_start")
     )
+
+
+def ranked(df: DataFrame, value: str, ties: Sequence[Column], rank: str) -> DataFrame:
+    """Add the descending rank of ``value``, with gaps: the first row number among equal values.
+
+    ``ties`` orders rows of equal value and must leave no ties itself.
+    """
+    rows = numbered(df, [F.desc(value), *ties], "_number")
+    firsts = rows.groupBy(value).agg(F.min("_number").cast("int").alias(rank))
+    return lookup(rows, firsts, value).drop("_number")

@@ -73,15 +73,15 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
         )
 
     def person() -> DataFrame:
-        place = (
-            raw["nation"]
-            .join(raw["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-            .selectExpr("n_nationkey", "lower(n_name) upazila", "lower(r_name) district")
-        )
+        def placed(people: DataFrame, nation_key: str) -> DataFrame:
+            # One small table after the other, each of a known file size: both are broadcast.
+            return people.join(raw["nation"], F.col(nation_key) == F.col("n_nationkey")).join(
+                raw["region"], F.col("n_regionkey") == F.col("r_regionkey")
+            )
+
         unknown = "cast(null as timestamp_ntz) last_login"
         farmers = (
-            raw["customer"]
-            .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+            placed(raw["customer"], "c_nationkey")
             .selectExpr(
                 f"{FARMER_PERSON} + c_custkey person_id",
                 "case when c_custkey % 5 = 0 then 'md. abdul-' || lower(c_mktsegment) "
@@ -94,13 +94,12 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
                 f"case when c_custkey % 9 = 0 then null else {_digits('c_custkey', 10, '1')} end nid",
                 "case when c_custkey % 2 = 0 then 'M' else 'F' end gender",
                 "'village ' || cast(c_custkey % 100 as string) village",
-                "upazila",
-                "district",
+                "lower(n_name) upazila",
+                "lower(r_name) district",
             )
         )
         agents = (
-            raw["supplier"]
-            .join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+            placed(raw["supplier"], "s_nationkey")
             .selectExpr(
                 f"{AGENT_PERSON} + s_suppkey person_id",
                 "'agent' first_name",
@@ -112,8 +111,8 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
                 f"{_digits('s_suppkey', 10, '2')} nid",
                 "'F' gender",
                 "'village 0' village",
-                "upazila",
-                "district",
+                "lower(n_name) upazila",
+                "lower(r_name) district",
             )
         )
         return farmers.unionByName(agents)
