@@ -246,6 +246,32 @@ added as (
            first_name, nullif(last_name, '') as last_name, phone as login_phone, username, role
     from judged where outcome = 'OK')"""
 
+
+def _list_page(loan_domain: str, language: int) -> str:
+    return f"""{_MY_FARMERS}
+        select person_id, coalesce(code, 'N/A') as code, coalesce(name, 'N/A') as name,
+               coalesce(phone, 'N/A') as phone, {labels('kyc_status', language, 'kyc_status', "'-'")} as kyc_status,
+               {labels(loan_domain, language, 'loan_status', "coalesce(loan_status, 'N/A')")} as loan_status,
+               coalesce(due_date, '-') as due_date,
+               {labels('pending_order', language, 'pending_order', 'null')} as pending_order
+        from list"""
+
+
+def _waiting(registered: str) -> str:
+    return f""", {_KYC_STATE}
+        select center_code, farmer_code as code, {_NAME} as name, login_phone as phone, upazila as village,
+               {registered} as registered
+        from undecided join person using (person_id)
+        where farmer_code in (select farmer_code from loan)"""
+
+
+def _stock(status: str) -> str:
+    return f"""
+        select center_code, {caps('name')} as item, quantity as stock, {amount('unit_price')} as price,
+               {status} as status
+        from inventory"""
+
+
 ORACLE: dict[str, str] = {
     "agent_dashboard": with_views(f", {_AGENT_COUNTS} select * exclude (center_code) from page", *_PAGE_VIEWS),
     "agent_page": with_views(f"{_AGENT_PAGE} select * exclude (center_code) from full_page", *_PAGE_VIEWS),
@@ -267,26 +293,14 @@ ORACLE: dict[str, str] = {
         from field_agent a""",
         *_LIST_VIEWS,
     ),
-    "my_farmers_page": with_views(
-        f"""{_MY_FARMERS}
-        select person_id, coalesce(code, 'N/A') as code, coalesce(name, 'N/A') as name,
-               coalesce(phone, 'N/A') as phone, {labels('kyc_status', 1, 'kyc_status', "'-'")} as kyc_status,
-               {labels('loan_status', 1, 'loan_status', "coalesce(loan_status, 'N/A')")} as loan_status,
-               coalesce(due_date, '-') as due_date,
-               {labels('pending_order', 1, 'pending_order', 'null')} as pending_order
-        from list""",
-        *_LIST_VIEWS,
-    ),
+    "my_farmers_page": with_views(_list_page("loan_status", 1), *_LIST_VIEWS),
+    "dashboard_farmers": with_views(_list_page("dashboard_loan_status", 0), *_LIST_VIEWS),
     "pending_kyc_count": with_views(
         f", {_KYC_STATE} select center_code, count(*) as pending_kyc from undecided group by 1", "farmer", "kyc"
     ),
-    "pending_kyc": with_views(
-        f""", {_KYC_STATE}
-        select center_code, farmer_code as code, {_NAME} as name, login_phone as phone, upazila as village,
-               {day('registration_date')} as registered
-        from undecided join person using (person_id)
-        where farmer_code in (select farmer_code from loan)""",
-        "farmer", "kyc", "person", "loan",
+    "pending_kyc": with_views(_waiting(day("registration_date")), "farmer", "kyc", "person", "loan"),
+    "pending_kyc_page": with_views(
+        _waiting(f"coalesce({day('registration_date')}, 'N/A')"), "farmer", "kyc", "person", "loan"
     ),
     "pending_loans": with_views(
         f"""
@@ -296,13 +310,8 @@ ORACLE: dict[str, str] = {
         where loan_state = 'PENDING'""",
         "farmer", "person", "loan",
     ),
-    "inventory_status": with_views(
-        f"""
-        select center_code, {caps('name')} as item, quantity as stock, {amount('unit_price')} as price,
-               {_STOCK} as status
-        from inventory""",
-        "inventory",
-    ),
+    "inventory_status": with_views(_stock(_STOCK), "inventory"),
+    "inventory_page": with_views(_stock(labels("stock_status", 1, _STOCK, "null")), "inventory"),
     "outreach": with_views(
         f""", {_KYC_STATE}
         select center_code, farmer_code as code, {_NAME} as name, login_phone as phone, {caps('upazila')} as village,

@@ -29,10 +29,12 @@ from fieldledger.operators.farmers import (
 )
 from fieldledger.operators.kyc import apply_kyc_decisions, fold_decisions, unmatched_decisions
 from fieldledger.operators.queues import (
+    inventory_page,
     inventory_status,
     outreach,
     pending_kyc,
     pending_kyc_count,
+    pending_kyc_page,
     pending_loans,
     pending_purchases,
 )
@@ -52,6 +54,7 @@ __all__ = [
     "farmer_purchases",
     "farmer_repayments",
     "fold_decisions",
+    "inventory_page",
     "inventory_status",
     "last_logins",
     "my_farmers",
@@ -60,6 +63,7 @@ __all__ = [
     "outreach",
     "pending_kyc",
     "pending_kyc_count",
+    "pending_kyc_page",
     "pending_loans",
     "pending_purchases",
     "ranking_position",

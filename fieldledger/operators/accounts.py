@@ -143,9 +143,9 @@ def _first_come(valid: DataFrame) -> DataFrame:
     """
     first = F.min("first").alias("first")
     moment = F.struct("submitted_at", "application_id")
-    left = cut(valid.groupBy("phone", "username").agg(F.min(moment).alias("first")))
+    left = valid.groupBy("phone", "username").agg(F.min(moment).alias("first"))
     rounds: list[DataFrame] = []
-    while not left.isEmpty():
+    while True:
         by_phone = left.groupBy("phone").agg(first)
         by_username = left.groupBy("username").agg(first)
         certain = cut(by_phone.join(by_username, "first"))
@@ -155,9 +155,8 @@ def _first_come(valid: DataFrame) -> DataFrame:
                 certain.select("username"), "username", "left_anti"
             )
         )
-    if not rounds:
-        return left.select("phone", "username", "first")
-    return reduce(DataFrame.unionByName, rounds)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
 
 
 def register(applications: DataFrame, person: DataFrame, phone: DataFrame) -> Registration:
@@ -169,12 +168,13 @@ def register(applications: DataFrame, person: DataFrame, phone: DataFrame) -> Re
     accepted = _first_come(checked.where("outcome = 'OK'"))
     winners = accepted.select("phone", F.col("first").alias("holder"))
     moment = F.struct("submitted_at", "application_id")
-    was_ok = F.col("outcome") == "OK"
+    # The phone is looked at before the username, also against applications accepted earlier.
+    valid_phone = F.col("outcome").isin("OK", "DUP_USERNAME")
     judged = lookup(checked, winners, "phone").withColumn(
         "outcome",
-        F.when(~was_ok | (F.col("holder") == moment), F.col("outcome"))
-        .when(F.col("holder") < moment, "DUP_PHONE")
-        .otherwise("DUP_USERNAME"),
+        F.when(valid_phone & (F.col("holder") < moment), "DUP_PHONE")
+        .when((F.col("outcome") == "OK") & ~F.col("holder").eqNullSafe(moment), "DUP_USERNAME")
+        .otherwise(F.col("outcome")),
     )
     outcome = judged.select("application_id", "submitted_at", "phone", "username", "outcome")
     rows = judged.where("outcome = 'OK'").drop("outcome", "holder")

@@ -11,7 +11,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.functions import as_of_column, day_mon_year, days_since, full_name, grouped_amount, word_caps
+from fieldledger.functions import (
+    as_of_column,
+    day_mon_year,
+    days_since,
+    full_name,
+    grouped_amount,
+    label,
+    or_default,
+    word_caps,
+)
 from fieldledger.plans import farmer_person, kyc_copies, present, replicate, with_loan, without_loan
 
 
@@ -63,6 +72,13 @@ def pending_kyc(
     )
 
 
+def pending_kyc_page(
+    tables: Mapping[str, DataFrame], scope: str | None = None, ordered: bool | None = None
+) -> DataFrame:
+    """The list of waiting farmers as it is displayed, with a placeholder for a missing date."""
+    return pending_kyc(tables, scope, ordered).withColumn("registered", or_default("registered", "N/A"))
+
+
 def pending_loans(
     tables: Mapping[str, DataFrame], scope: str | None = None, ordered: bool | None = None
 ) -> DataFrame:
@@ -110,6 +126,17 @@ def inventory_status(
     )
 
 
+def inventory_page(
+    tables: Mapping[str, DataFrame],
+    scope: str | None = None,
+    language: str = "bn",
+    ordered: bool | None = None,
+) -> DataFrame:
+    """The stock list as it is displayed, with the label of the status."""
+    status = label("stock_status", F.col("status"), language)
+    return inventory_status(tables, scope, ordered).withColumn("status", status)
+
+
 def outreach(
     tables: Mapping[str, DataFrame],
     scope: str | None = None,

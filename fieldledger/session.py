@@ -37,13 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     is lost with its machine.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if configured:
-        return configured
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="fieldledger-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fieldledger-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -54,7 +54,5 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared folder, so a lost executor loses no rows."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

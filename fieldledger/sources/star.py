@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldledger.sources.tables import Tables
 
@@ -28,10 +29,22 @@ def _code(prefix: str, number: str, width: int) -> str:
     return f"'{prefix}' || {_digits(number, width)}"
 
 
+# Schemas by application and path, so that the file footers are read once and not by every query.
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
+def read_star(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def star_tables(spark: SparkSession, folder: str) -> Tables:
     raw = Tables(
         {
-            name: (lambda name=name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
+            name: (lambda name=name: read_star(spark, folder, name))
             for name in (
                 "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
             )
