@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions import blank_to_null, strip_space
-from fieldledger.plans import lookup, numbered
+from fieldledger.plans import lookup, needed, numbered
 from fieldledger.session import cut
 
 # The form of a phone number, the roles, and the shortest password.
@@ -53,7 +53,9 @@ def resolve_login_identity(attempts: DataFrame, person: DataFrame) -> DataFrame:
 
     Blank identifiers are dropped. One join on (kind, value) serves both kinds.
     """
-    return lookup(login_identities(attempts), _person_identities(person), "identity").drop("identity")
+    rows = login_identities(attempts)
+    known = needed(_person_identities(person), rows, "identity")
+    return lookup(rows, known, "identity").drop("identity")
 
 
 def fold_logins(attempts: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def validate_registrations(applications: DataFrame, person: DataFrame) -> DataFr
 
     def taken(column: str, name: str, flag: str) -> DataFrame:
         held = person.where(F.col(column).isNotNull()).select(F.col(column).alias(name)).distinct()
-        return held.withColumn(flag, F.lit(True))
+        return needed(held, cleaned, name).withColumn(flag, F.lit(True))
 
     flagged = lookup(cleaned, taken("login_phone", "phone", "phone_taken"), "phone")
     flagged = lookup(flagged, taken("username", "username", "username_taken"), "username")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.plans import lookup
+from fieldledger.plans import lookup, needed
 
 # What a VERIFIED decision overwrites, also with NULL; a REJECTED one leaves these alone.
 DOCUMENTS = ("remarks", "nid_front_ref", "nid_back_ref", "land_dolil_ref", "land_legal_status")
@@ -40,11 +40,6 @@ def _agent_of_person(field_agent: DataFrame) -> DataFrame:
         field_agent.where(F.col("person_id").isNotNull())
         .groupBy("person_id")
         .agg(F.max("agent_code").alias("one_code"), F.count(F.lit(1)).alias("codes"))
-        .select(
-            "person_id",
-            F.col("one_code"),
-            F.col("codes"),
-        )
     )
 
 
@@ -84,9 +79,10 @@ def apply_kyc_decisions(kyc: DataFrame, decisions: DataFrame, field_agent: DataF
 
 def unmatched_decisions(kyc: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions on farmers without a KYC row; they have no effect."""
-    known = kyc.where(F.col("farmer_code").isNotNull()).select("farmer_code").distinct()
+    codes = kyc.where(F.col("farmer_code").isNotNull()).select("farmer_code").distinct()
+    known = needed(codes, decisions, "farmer_code").withColumn("known", F.lit(True))
     return (
-        lookup(decisions, known.withColumn("known", F.lit(True)), "farmer_code")
+        lookup(decisions, known, "farmer_code")
         .where(F.col("known").isNull())
         .select(*decisions.columns)
     )

@@ -7,6 +7,7 @@ from fieldledger.plans.fragments import (
     latest_loan,
     loans_per_farmer,
     lookup,
+    needed,
     replicate,
     with_loan,
     without_loan,
@@ -20,6 +21,7 @@ __all__ = [
     "latest_loan",
     "loans_per_farmer",
     "lookup",
+    "needed",
     "numbered",
     "present",
     "ranked",

@@ -81,34 +81,38 @@ def kyc_rows(farmers: DataFrame, kyc: DataFrame) -> DataFrame:
     """Farmers with ``kyc_status`` and ``copies``: the rows of a left join to KYC, equal ones counted.
 
     An undecided state, and no KYC row at all, count as pending. The usual states are counted in
-    columns, so KYC is shuffled once, by farmer. Other states, if there are any, come as a short
-    list per farmer, one entry per state.
+    columns, so KYC is shuffled once, by farmer. All other states of a farmer, if there are any,
+    share one row at first, which a join replaces by a row per state. Without any, adaptive
+    execution drops that join.
     """
     known = kyc.where(F.col("farmer_code").isNotNull())
     state = F.coalesce("identity_verified", F.lit("PENDING"))
-    counted = known.groupBy("farmer_code").agg(*(F.count_if(state == s).alias(s) for s in _KYC_STATES))
-    others = (
-        known.where(~F.col("identity_verified").isin(*_KYC_STATES))
-        .groupBy("farmer_code", F.col("identity_verified").alias("kyc_status"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy("farmer_code")
-        .agg(F.collect_list(F.struct("kyc_status", "copies")).alias("others"))
+    unusual = ~state.isin(*_KYC_STATES)
+    counted = known.groupBy("farmer_code").agg(
+        *(F.count_if(state == s).alias(s) for s in _KYC_STATES), F.count_if(unusual).alias("unusual")
     )
-    without_row = {"PENDING": F.lit(1)}
-    usual = (
-        F.struct(
-            F.lit(s).alias("kyc_status"),
-            F.coalesce(s, without_row.get(s, F.lit(0)).cast("bigint")).alias("copies"),
-        )
-        for s in _KYC_STATES
+    others = (
+        known.where(unusual)
+        .groupBy(F.col("farmer_code").alias("other_farmer"), F.col("identity_verified").alias("other_state"))
+        .agg(F.count(F.lit(1)).alias("other_copies"))
     )
-    none = F.array().cast("array<struct<kyc_status:string,copies:bigint>>")
-    return (
+
+    def entry(shown: str | None, column: str, without_row: int) -> Column:
+        copies = F.coalesce(column, F.lit(without_row).cast("bigint"))
+        return F.struct(F.lit(shown).cast("string").alias("kyc_status"), copies.alias("copies"))
+
+    entries = [entry(s, s, int(s == "PENDING")) for s in _KYC_STATES] + [entry(None, "unusual", 0)]
+    rows = (
         farmers.join(counted, "farmer_code", "left")
-        .join(others, "farmer_code", "left")
-        .withColumn("state", F.explode(F.concat(F.array(*usual), F.coalesce("others", none))))
-        .where("state.copies > 0")
-        .select(*farmers.columns, "state.kyc_status", "state.copies")
+        .withColumn("entry", F.explode(F.array(*entries)))
+        .where("entry.copies > 0")
+        .select(*farmers.columns, "entry.*")
+    )
+    is_other = (F.col("farmer_code") == F.col("other_farmer")) & F.col("kyc_status").isNull()
+    return rows.join(others, is_other, "left").select(
+        *farmers.columns,
+        F.coalesce("kyc_status", "other_state").alias("kyc_status"),
+        F.coalesce("other_copies", "copies").alias("copies"),
     )
 
 
@@ -133,6 +137,15 @@ def replicate(df: DataFrame, copies: str) -> DataFrame:
     )
 
 
+def needed(keyed: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows of ``keyed`` whose key occurs in ``rows``; both sides meet once per key.
+
+    Before a ``lookup`` in a table much larger than ``rows``: that table is then shuffled once, by
+    the aggregation that made it unique, and the lookup moves only what is left of it.
+    """
+    return keyed.join(rows.select(key).distinct(), key, "left_semi")
+
+
 def lookup(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     """Left join of ``rows``, where a key may repeat without bound, to ``keyed``, which has one row per key.
 
