@@ -8,6 +8,8 @@ mapping as SQL.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +53,7 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
         }
     )
 
+    @cache
     def supplier_count() -> Column:
         return raw["supplier"].agg(F.count(F.lit(1))).scalar()
 
@@ -86,49 +89,42 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
         )
 
     def person() -> DataFrame:
-        def placed(people: DataFrame, nation_key: str) -> DataFrame:
-            # One small table after the other, each of a known file size: both are broadcast.
-            return people.join(raw["nation"], F.col(nation_key) == F.col("n_nationkey")).join(
-                raw["region"], F.col("n_regionkey") == F.col("r_regionkey")
-            )
-
-        unknown = "cast(null as timestamp_ntz) last_login"
-        farmers = (
-            placed(raw["customer"], "c_nationkey")
-            .selectExpr(
-                f"{FARMER_PERSON} + c_custkey person_id",
-                "case when c_custkey % 5 = 0 then 'md. abdul-' || lower(c_mktsegment) "
-                "else lower(c_mktsegment) end first_name",
-                "case when c_custkey % 6 = 0 then null else lower(c_name) end last_name",
-                f"'01' || cast(3 + c_custkey % 7 as string) || {_digits('c_custkey', 8)} login_phone",
-                "'farmer_' || cast(c_custkey as string) username",
-                "'FARMER' role",
-                unknown,
-                f"case when c_custkey % 9 = 0 then null else {_digits('c_custkey', 10, '1')} end nid",
-                "case when c_custkey % 2 = 0 then 'M' else 'F' end gender",
-                "'village ' || cast(c_custkey % 100 as string) village",
-                "lower(n_name) upazila",
-                "lower(r_name) district",
-            )
+        farmers = raw["customer"].selectExpr(
+            "c_nationkey nation_key",
+            f"{FARMER_PERSON} + c_custkey person_id",
+            "case when c_custkey % 5 = 0 then 'md. abdul-' || lower(c_mktsegment) "
+            "else lower(c_mktsegment) end first_name",
+            "case when c_custkey % 6 = 0 then null else lower(c_name) end last_name",
+            f"'01' || cast(3 + c_custkey % 7 as string) || {_digits('c_custkey', 8)} login_phone",
+            "'farmer_' || cast(c_custkey as string) username",
+            "'FARMER' role",
+            f"case when c_custkey % 9 = 0 then null else {_digits('c_custkey', 10, '1')} end nid",
+            "case when c_custkey % 2 = 0 then 'M' else 'F' end gender",
+            "'village ' || cast(c_custkey % 100 as string) village",
         )
-        agents = (
-            placed(raw["supplier"], "s_nationkey")
+        agents = raw["supplier"].selectExpr(
+            "s_nationkey nation_key",
+            f"{AGENT_PERSON} + s_suppkey person_id",
+            "'agent' first_name",
+            "lower(s_name) last_name",
+            f"'01' || cast(3 + s_suppkey % 7 as string) || {_digits('90000000 + s_suppkey', 8)} login_phone",
+            "'agent_' || cast(s_suppkey as string) username",
+            "'AGENT' role",
+            f"{_digits('s_suppkey', 10, '2')} nid",
+            "'F' gender",
+            "'village 0' village",
+        )
+        # Two small tables of known file size, joined one after the other: both are broadcast.
+        return (
+            farmers.unionByName(agents)
+            .join(raw["nation"], F.col("nation_key") == F.col("n_nationkey"))
+            .join(raw["region"], F.col("n_regionkey") == F.col("r_regionkey"))
             .selectExpr(
-                f"{AGENT_PERSON} + s_suppkey person_id",
-                "'agent' first_name",
-                "lower(s_name) last_name",
-                f"'01' || cast(3 + s_suppkey % 7 as string) || {_digits('90000000 + s_suppkey', 8)} login_phone",
-                "'agent_' || cast(s_suppkey as string) username",
-                "'AGENT' role",
-                unknown,
-                f"{_digits('s_suppkey', 10, '2')} nid",
-                "'F' gender",
-                "'village 0' village",
-                "lower(n_name) upazila",
-                "lower(r_name) district",
+                "person_id", "first_name", "last_name", "login_phone", "username", "role",
+                "cast(null as timestamp_ntz) last_login", "nid", "gender", "village",
+                "lower(n_name) upazila", "lower(r_name) district",
             )
-        )
-        return farmers.unionByName(agents)
+        )
 
     def phone() -> DataFrame:
         return tables["person"].selectExpr(
