@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.views import with_views
-from fieldledger.functions.labels import LABELS
+from fieldledger.functions.labels import LABELS, LOAN_STATUS, NO_LOAN
 
 # The moment that the outreach list is computed for.
 AS_OF = "2002-01-01 18:00:00"
@@ -54,19 +54,25 @@ undecided as (
 _AGENT_COUNTS = """
 farmer_loan as (
     select farmer.agent_code, loan_state from loan join farmer using (farmer_code)),
+tally as (
+    select agent_code, 'farmer' as what from farmer
+    union all select agent_code, 'kyc' from kyc where identity_verified = 'VERIFIED'
+    union all select agent_code, 'approved' from farmer_loan where loan_state in ('ACTIVE', 'CLOSED')
+    union all select agent_code, 'pending' from farmer_loan where loan_state = 'PENDING'
+    union all select agent_code, 'delivery' from purchase where payment_status = 'CONFIRMED'),
 page as (
-    select field_agent.person_id, field_agent.center_code, field_agent.agent_code, center_name, upazila, district,
-           is_active as working_status, login_phone, join_date,
-           (select count(*) from farmer t where t.agent_code = field_agent.agent_code) as total_farmers,
-           (select count(*) from kyc t where t.agent_code = field_agent.agent_code
-                and identity_verified = 'VERIFIED') as kyc_done,
-           (select count(*) from farmer_loan t where t.agent_code = field_agent.agent_code
-                and loan_state in ('ACTIVE', 'CLOSED')) as loans_approved,
-           (select count(*) from farmer_loan t where t.agent_code = field_agent.agent_code
-                and loan_state = 'PENDING') as pending_loans,
-           (select count(*) from purchase t where t.agent_code = field_agent.agent_code
-                and payment_status = 'CONFIRMED') as pending_deliveries
-    from field_agent join person using (person_id) left join center using (center_code))"""
+    select field_agent.person_id, field_agent.center_code, field_agent.agent_code,
+           any_value(center_name) as center_name, any_value(upazila) as upazila, any_value(district) as district,
+           any_value(is_active) as working_status, any_value(login_phone) as login_phone,
+           any_value(join_date) as join_date,
+           count(*) filter (where what = 'farmer') as total_farmers,
+           count(*) filter (where what = 'kyc') as kyc_done,
+           count(*) filter (where what = 'approved') as loans_approved,
+           count(*) filter (where what = 'pending') as pending_loans,
+           count(*) filter (where what = 'delivery') as pending_deliveries
+    from field_agent join person using (person_id)
+         left join center using (center_code) left join tally using (agent_code)
+    group by 1, 2, 3)"""
 _PAGE_VIEWS = ("center", "field_agent", "farmer", "person", "kyc", "loan", "purchase")
 
 _AGENT_PAGE = f"""
@@ -75,6 +81,7 @@ badge as (select center_code, count(*) as pending_kyc from undecided group by 1)
 full_page as (
     select page.*, coalesce(pending_kyc, 0) as pending_kyc from page left join badge using (center_code))"""
 
+_LOAN_STATUS = f"coalesce(map {LOAN_STATUS}[loan_state], loan_state)"
 _MY_FARMERS = f"""
 , ranked_loan as (
     select *, row_number() over (
@@ -92,9 +99,7 @@ open_order as (
 list as (
     select field_agent.person_id, farmer.farmer_code as code, {_NAME} as name, login_phone as phone,
            coalesce(identity_verified, 'PENDING') as kyc_status,
-           case when loan_no is null then 'No Loan' when loan_state = 'CLOSED' then 'Paid'
-                when loan_state = 'ACTIVE' then 'Active Loan' when loan_state = 'PENDING' then 'Loan Pending'
-                else loan_state end as loan_status,
+           case when loan_no is null then '{NO_LOAN}' else {_LOAN_STATUS} end as loan_status,
            {day('due_date')} as due_date,
            case when open_order.farmer_code is null then 'No' else 'Yes' end as pending_order
     from farmer

@@ -56,6 +56,13 @@ LABELS: dict[str, dict[str, tuple[str, str]]] = {
 
 LANGUAGES = ("en", "bn")
 
+# How the state of the latest loan is named in an agent's list; others keep their name.
+LOAN_STATUS = {"CLOSED": "Paid", "ACTIVE": "Active Loan", "PENDING": "Loan Pending"}
+NO_LOAN = "No Loan"
+
+# Fixed value: a smaller quantity is low stock.
+LOW_STOCK = 10
+
 
 def _fallback(domain: str, language: str, code: Column) -> Column:
     """What a code outside the list shows as."""
@@ -72,6 +79,20 @@ def _fallback(domain: str, language: str, code: Column) -> Column:
     return code
 
 
+def loan_status(loan_no: Column, state: Column) -> Column:
+    """The name of a farmer's latest loan; ``loan_no`` is NULL where there is none."""
+    chain = F.when(loan_no.isNull(), NO_LOAN)
+    for code, name in LOAN_STATUS.items():
+        chain = chain.when(state == code, name)
+    return chain.otherwise(state)
+
+
+def stock_status(quantity: Column) -> Column:
+    """Out at zero, low below ten; anything else, also an unknown quantity, is in stock."""
+    low = F.when(quantity < LOW_STOCK, "Low Stock").otherwise("In Stock")
+    return F.when(quantity == 0, "Out of Stock").otherwise(low)
+
+
 def label(domain: str, code: Column, language: str = "bn") -> Column:
     """The label of ``code``; a CASE over the fixed list, so no join is needed."""
     place = LANGUAGES.index(language)

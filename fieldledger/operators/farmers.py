@@ -18,7 +18,9 @@ from fieldledger.functions import (
     full_name,
     grouped_amount,
     label,
+    loan_status,
     or_default,
+    stock_status,
     word_caps,
 )
 from fieldledger.plans import farmer_person, kyc_rows, latest_loan, present, replicate
@@ -63,7 +65,6 @@ def my_farmers(
         .join(open_orders, "farmer_code", "left")
     )
     rows = replicate(kyc_rows(farmers, tables["kyc"]).join(person, "farmer_person_id"), "copies")
-    state = F.col("loan_state")
     return present(
         rows,
         "person_id",
@@ -73,12 +74,7 @@ def my_farmers(
             full_name(word_caps("first_name"), word_caps("last_name")).alias("name"),
             F.col("login_phone").alias("phone"),
             F.col("kyc_status"),
-            F.when(F.col("loan_no").isNull(), "No Loan")
-            .when(state == "CLOSED", "Paid")
-            .when(state == "ACTIVE", "Active Loan")
-            .when(state == "PENDING", "Loan Pending")
-            .otherwise(state)
-            .alias("loan_status"),
+            loan_status(F.col("loan_no"), F.col("loan_state")).alias("loan_status"),
             day_mon_year(add_months_sticky(F.col("approval_date"), F.col("tenure_months"))).alias("due_date"),
             F.when(F.col("has_order"), "Yes").otherwise("No").alias("pending_order"),
         ],
@@ -306,8 +302,7 @@ def status_labels(tables: Mapping[str, DataFrame]) -> DataFrame:
             label(domain, code, "bn").alias("label_bn"),
         )
 
-    quantity = F.col("quantity")
-    stock = F.when(quantity == 0, "Out of Stock").when(quantity < 10, "Low Stock").otherwise("In Stock")
+    stock = stock_status(F.col("quantity"))
     parts = [
         labelled("kyc", "kyc_id", "kyc_status", F.coalesce(blank_to_null("identity_verified"), F.lit("PENDING"))),
         labelled("loan", "loan_no", "loan_state", F.col("loan_state")),

@@ -19,6 +19,7 @@ from fieldledger.functions import (
     grouped_amount,
     label,
     or_default,
+    stock_status,
     word_caps,
 )
 from fieldledger.plans import farmer_person, kyc_copies, present, replicate, with_loan, without_loan
@@ -117,9 +118,7 @@ def inventory_status(
             word_caps("name").alias("item"),
             quantity.alias("stock"),
             grouped_amount(F.col("unit_price"), digits=6).alias("price"),
-            F.when(quantity == 0, "Out of Stock").when(quantity < 10, "Low Stock").otherwise("In Stock").alias(
-                "status"
-            ),
+            stock_status(quantity).alias("status"),
         ],
         [F.asc_nulls_last("name"), F.col("item_id")],
         ordered,
