@@ -6,14 +6,94 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldledger.llm import token_store
+from fieldledger.llm import mixing, nn_descent, quality, token_store, topk
 from fieldledger.llm.common import table
 from fieldledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    plan = mixing.plan(docs)
+    # What the shards hold of each document; passes over a document count up from 0.
+    taken = mixing.draw(docs, plan).groupBy("_key").agg((F.max("_pass") + 1).alias("_times"))
+    weighed = mixing.weighed(docs, plan).select("doc_id", "_key", "_size", "source_size", "target")
+    return weighed.join(taken, "_key", "left").select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        "source_size",
+        "target",
+        (F.col("_size") * F.coalesce("_times", F.lit(0))).alias("taken"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.scores(docs, net).select(
+        "doc_id",
+        quality.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP7_SQL = """
+with usable as (
+  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
+  from usable q join usable c on c.vec_id <> q.vec_id
+  where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over w as integer) as rank, vec_id, score
+from scored
+qualify row_number() over w <= 5
+window w as (partition by query_id order by score desc, vec_id)
+"""
+
+
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = nn_descent.near_duplicates(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP9_SQL = """
+with recursive unit as (
+  select vec_id, list_transform(embedding, x -> cast(x as double)) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, x -> x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b
+  from unit a join unit b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.95
+), reached as (
+  select vec_id as a, vec_id as b from embeddings
+  union
+  select r.a, l.b from reached r join links l on l.a = r.b
+), counted as (
+  select a, count(*) as n from links group by a
+), least as (
+  select a, min(b) as component_id from reached group by a
+)
+select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least on least.a = e.vec_id left join counted on counted.a = e.vec_id
+"""
+
+
 def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_dir(spark, "token-store")
     token_store.write_store(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -21,8 +101,14 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_token_store": op10_token_store}
+    return {
+        "op3_mixing": op3_mixing,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op7_exact_topk": op7_exact_topk,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
+        "op10_token_store": op10_token_store,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL}
