@@ -29,7 +29,7 @@ from fieldledger.llm.common import record_batch, slices, text_buffers
 VECTOR, WIDTH, STEP, FILTERS, CHUNK = 6, 8, 2, 32, 128
 HALF = CHUNK // 2
 SAMPLE, SAMPLE_CHARS = 1500, 8192
-ROUNDS, DOCUMENTS_A_STEP, RATE, SEED = 8, 32, 0.01, 7
+ROUNDS, DOCUMENTS_A_STEP, RATE, SEED = 5, 32, 0.01, 7
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -130,7 +130,7 @@ def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, good: np.nda
     value = d_peaks[half, which]
     at = half * HALF + places[half, which]
     window = padded[at[:, None] + np.arange(WIDTH)]
-    rows = net.vectors[window].reshape(len(at), -1)
+    rows = net.vectors[window].reshape(len(at), WIDTH * VECTOR)
     d_filters = np.zeros_like(net.filters)
     d_vectors = np.zeros_like(net.vectors)
     for f in range(FILTERS):

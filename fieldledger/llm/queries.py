@@ -48,10 +48,10 @@ def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 OP7_SQL = """
 with usable as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
   from usable q join usable c on c.vec_id <> q.vec_id
@@ -59,8 +59,8 @@ with usable as (
 )
 select query_id, cast(row_number() over w as integer) as rank, vec_id, score
 from scored
-qualify row_number() over w <= 5
 window w as (partition by query_id order by score desc, vec_id)
+qualify row_number() over w <= 5
 """
 
 
@@ -71,11 +71,11 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 OP9_SQL = """
 with recursive unit as (
-  select vec_id, list_transform(embedding, x -> cast(x as double)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v
   from embeddings
   where embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b
   from unit a join unit b on a.vec_id <> b.vec_id
