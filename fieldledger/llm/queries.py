@@ -8,13 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.llm import mixing, nn_descent, quality, token_store, topk
+from fieldledger.llm import (
+    license_scan,
+    mixing,
+    nn_descent,
+    quality,
+    sentencepiece_codec,
+    token_counts,
+    token_store,
+    topk,
+)
 from fieldledger.llm.common import table
 from fieldledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sentencepiece_codec.verify(docs, model)
+    coded = sentencepiece_codec.encoded(docs, model, ["n_pieces", "ids_crc32", "decoded"])
+    return coded.select("doc_id", "n_pieces", "ids_crc32", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     plan = mixing.plan(docs)
@@ -64,6 +85,10 @@ qualify row_number() over w <= 5
 """
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = nn_descent.near_duplicates(table(spark, folder, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -102,9 +127,12 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_mixing": op3_mixing,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_exact_topk": op7_exact_topk,
+        "op8_license_scan": op8_license_scan,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_token_store": op10_token_store,
     }
