@@ -14,6 +14,7 @@ from fieldledger.llm import (
     nn_descent,
     quality,
     sentencepiece_codec,
+    suffix_dedup,
     token_counts,
     token_store,
     topk,
@@ -62,6 +63,11 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.cut_out(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"))
@@ -131,6 +137,7 @@ def queries() -> dict[str, Query]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mixing": op3_mixing,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_exact_topk": op7_exact_topk,
         "op8_license_scan": op8_license_scan,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,

@@ -14,6 +14,7 @@ table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache, partial
 
@@ -68,7 +69,17 @@ def counter(path: str) -> Callable[[str], int]:
         pass_by(len(text))
         return pieces[-1]
 
-    return count
+    def count_known(text: str) -> int:
+        """As ``count`` where every character is a piece, so that each place can be reached."""
+        best, pieces = [0.0] + [-math.inf] * len(text), [0] * (len(text) + 1)
+        for last, (size, score) in automaton.iter(text):
+            start = last + 1 - size
+            total = best[start] + score
+            if total > best[last + 1]:
+                best[last + 1], pieces[last + 1] = total, pieces[start] + 1
+        return pieces[-1]
+
+    return lambda text: count_known(text) if own.issuperset(text) else count(text)
 
 
 @cache
