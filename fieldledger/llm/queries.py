@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm import (
+    jaccard_join,
     license_scan,
     mixing,
     nn_descent,
@@ -52,6 +53,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, folder, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     net = quality.fit(docs, table(spark, folder, "labels"))
@@ -136,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mixing": op3_mixing,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_exact_topk": op7_exact_topk,
