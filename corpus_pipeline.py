@@ -1,23 +1,76 @@
-"""A corpus built from ``documents``: stages of the operators in ``fieldledger.llm``, each stored and read again."""
+"""A training corpus built from ``documents``: five stages, each stored as Parquet and read again by the next.
+
+1. quality classifier: documents scored below the threshold go.
+2. n-gram Jaccard join: of each group of near copies the document with the smallest doc_id stays; rows without a
+   doc_id stay, rows that repeat one become one.
+3. suffix-array dedup: byte strings that repeat anywhere in what is left are cut out of the texts.
+4. mixing: documents are taken as often as their source's target weight asks, and shuffled over shards.
+5. SentencePiece: every text is encoded and decoded; adds n_pieces, piece_ids, ids_crc32 and decoded.
+
+All stages but the last return the columns of their input, whatever these are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldledger.llm.common import saved, table
+from fieldledger.llm import jaccard_join, mixing, quality, sentencepiece_codec, suffix_dedup
+from fieldledger.llm.common import reach_workers, saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: SQL can't express the classifier, the seeded mix or the tokenizer; tests hold each stage to a brute-force version.
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    found = jaccard_join.similar(docs).where("component_id = doc_id")
+    stays = found.select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    clean = suffix_dedup.cleaned(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    return mixing.draw(docs, mixing.plan(docs)).select(*docs.columns)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sentencepiece_codec.verify(docs, model)
+    return sentencepiece_codec.encoded(docs, model)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_documents),
+    ("n-gram Jaccard join", one_of_each),
+    ("suffix-array dedup", without_repeats),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding and decoding", tokenized),
+]
+
+#: SQL can't express the classifier, the seeded mix or the tokenizer; tests hold the stages to brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for i, (_, stage) in enumerate(STAGES, 1):
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{i}")
     return docs
