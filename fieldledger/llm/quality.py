@@ -29,7 +29,8 @@ from fieldledger.llm.common import record_batch, slices, text_buffers
 VECTOR, WIDTH, STEP, FILTERS, CHUNK = 6, 8, 2, 32, 128
 HALF = CHUNK // 2
 SAMPLE, SAMPLE_CHARS = 1500, 8192
-ROUNDS, DOCUMENTS_A_STEP, RATE, SEED = 5, 32, 0.01, 7
+# Rounds over the sample, and steps at least, so that few documents are gone over more often.
+ROUNDS, LEAST_STEPS, DOCUMENTS_A_STEP, RATE, SEED = 8, 250, 32, 0.01, 7
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -56,9 +57,9 @@ def held_out(doc_id: Column | str) -> Column:
 
 def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after another, each on a multiple of HALF bytes and two halves long at least, and the first half
-    of each text (one more at the end). WIDTH zero bytes follow the last."""
+    of each text (one more at the end). A half of zeros follows each, so that no filter reaches the next text."""
     lengths = np.diff(offsets)
-    halves = np.maximum(2, -(-lengths // HALF))
+    halves = np.maximum(2, -(-lengths // HALF)) + 1
     firsts = np.concatenate(([0], np.cumsum(halves)))
     out = np.zeros(int(firsts[-1]) * HALF + WIDTH, np.uint8)
     out[np.arange(len(data)) + np.repeat(firsts[:-1] * HALF - offsets[:-1], lengths)] = data
@@ -84,7 +85,7 @@ def _half_peaks(net: Network, padded: np.ndarray, halves: int, where: bool) -> t
 
 def _chunks(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first half of each chunk (the other is the next one) and the first chunk of each text."""
-    count = np.diff(firsts) - 1
+    count = np.diff(firsts) - 2
     begin = np.concatenate(([0], np.cumsum(count)))
     return np.arange(begin[-1]) + np.repeat(firsts[:-1] - begin[:-1], count), begin
 
@@ -119,8 +120,10 @@ def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, good: np.nda
     owner = np.repeat(np.arange(len(good)), np.diff(begin))
     _, top, bottom = np.split(pooled, 3, axis=1)
     d_chunk = (mean / np.diff(begin)[:, None])[owner]
-    # Where several chunks hold the extreme value, all of them get its gradient.
-    d_chunk = d_chunk + high[owner] * (chunk == top[owner]) + low[owner] * (chunk == bottom[owner])
+    # Chunks that hold the same extreme value (neighbours share a half) share its gradient.
+    for gradient, extreme in ((high, top), (low, bottom)):
+        holds = (chunk == extreme[owner]).astype(np.float64)
+        d_chunk = d_chunk + (gradient / np.add.reduceat(holds, begin[:-1]))[owner] * holds
     d_peaks = np.zeros_like(peaks)
     left = peaks[first] >= peaks[first + 1]
     np.add.at(d_peaks, first, d_chunk * left)
@@ -152,8 +155,10 @@ def train(texts: list[bytes], labels: list[int]) -> Network:
     parts = [p.astype(np.float32) for p in (*parts, np.zeros(FILTERS), np.zeros(3 * FILTERS))] + [np.zeros(1)]
     share = np.where(good == 1, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    step, steps = 0, ROUNDS * -(-len(texts) // DOCUMENTS_A_STEP)
-    for _ in range(ROUNDS):
+    a_round = -(-len(texts) // DOCUMENTS_A_STEP)
+    rounds = max(ROUNDS, -(-LEAST_STEPS // a_round))
+    step, steps = 0, rounds * a_round
+    for _ in range(rounds):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), DOCUMENTS_A_STEP):
             chosen = order[i : i + DOCUMENTS_A_STEP]
