@@ -32,8 +32,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
     found = jaccard_join.similar(docs).where("component_id = doc_id")
-    stays = found.select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("_kept"), "left_semi")
+    named = docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    named = named.select(*[f"`{c}`" for c in docs.columns])
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
@@ -47,7 +47,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
-    return mixing.draw(docs, mixing.plan(docs)).select(*docs.columns)
+    return mixing.draw(docs, mixing.plan(docs)).select("row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

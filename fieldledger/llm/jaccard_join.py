@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers
 from fieldledger.llm.graph import components
+from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, shingle_sets
 
 WIDTH = 4
@@ -42,13 +43,13 @@ PERCENT = 85
 MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 4
 COUNTED = 1 << 21
-POSTED = 1 << 19
+KNOWN = 1 << 16
 A_TASK = 1 << 21
 STAR_ROUNDS = 2
 BLOCK = 1024
 
 _PROFILE = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-_POSTING = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<i4"), ("seen", "<i4")])
+_POSTING = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<i4"), ("seen", "<i4")])
 
 
 def _names(sets: list[np.ndarray]) -> np.ndarray:
@@ -134,77 +135,37 @@ def _signatures(s: np.ndarray, frequent: np.ndarray, places: np.ndarray, small:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("rows", pa.binary())])
-
-
-def _deal(rows: np.ndarray, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
-    """Postings of a part of a task. A token met twice is sure to have a list: its postings go straight on, and one
-    with ``seen`` 2 tells the others."""
-    rows = rows[np.lexsort((rows["set"], rows["token"]))]
-    rows = rows[np.concatenate(([True], (rows["token"][1:] != rows["token"][:-1]) | (rows["set"][1:] != rows["set"][:-1])))]
-    same = rows["token"][1:] == rows["token"][:-1]
-    first = np.concatenate(([True], ~same))
-    twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    for k, sure in enumerate(np.array_split(rows[twice], max(1, -(-int(twice.sum()) // 8192)))):
-        if len(sure):
-            yield record_batch(_PACKED, [(turn + k) % buckets], [True], [sure.tobytes()])
-    rows = rows[first].copy()
-    rows["seen"] = np.where(twice[first], 2, 1)
-    bucket = (rows["token"] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    parts = [r.tobytes() for r in np.split(rows, starts[1:])]
-    yield record_batch(_PACKED, bucket[starts].astype(np.int32), [False] * len(parts), parts)
-
-
-def _postings(batches, width: int, frequent: np.ndarray, places: np.ndarray, small: int, buckets: int):
-    held: list[np.ndarray] = []
-    total, known, turn = 0, set(), 0
+def _signed(batches, width: int, frequent: np.ndarray, places: np.ndarray, small: int) -> Iterator[np.ndarray]:
+    """The postings of each slice of a task; an equal set is posted once for all that are met again soon."""
+    known: set[int] = set()
     for part, sets, names in _sets(batches, width):
         usable = part.column("doc_id").is_valid().to_pylist()
+        found = []
         for s, name, ok in zip(sets, names.tolist(), usable, strict=True):
             if not len(s) or not ok or name in known:
                 continue
             known.add(name)
-            tokens = _signatures(s, frequent, places, small)
+            tokens = np.unique(_signatures(s, frequent, places, small))
             rows = np.empty(len(tokens), _POSTING)
-            rows["token"], rows["set"], rows["n"], rows["seen"] = tokens, name, len(s), 1
-            held.append(rows)
-            total += len(rows)
-        if total >= POSTED:
-            yield from _deal(np.concatenate(held), buckets, turn)
-            held, total, known, turn = [], 0, set(), turn + 7
-    if total:
-        yield from _deal(np.concatenate(held), buckets, turn)
+            rows["key"], rows["set"], rows["n"], rows["seen"] = tokens, name, len(s), 1
+            found.append(rows)
+        if len(known) > KNOWN:
+            known.clear()
+        if found:
+            yield np.concatenate(found)
 
 
-_LISTED = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
+def _postings(batches, width: int, frequent: np.ndarray, places: np.ndarray, small: int, buckets: int):
+    return dealt(_signed(batches, width, frequent, places, small), buckets)
 
 
-def _listed(rows: np.ndarray) -> pa.RecordBatch:
-    return record_batch(_LISTED, rows["token"].astype(np.uint64).view(np.int64), rows["set"], rows["n"])
+_LISTED = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
 
 
 def _survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings whose token occurs again."""
-    held = []
-    for batch in batches:
-        for sure, raw in zip(batch.column("sure").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-            rows = np.frombuffer(raw, _POSTING)
-            if sure:
-                yield _listed(rows)
-            else:
-                held.append(rows)
-    if held:
-        rows = np.concatenate(held)
-        rows = rows[np.argsort(rows["token"], kind="stable")]
-        starts = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1])))
-        seen = np.add.reduceat(rows["seen"], starts)
-        group = np.repeat(seen, np.diff(np.append(starts, len(rows))))
-        rows = rows[(group > 1) & (rows["seen"] == 1)]
-        if len(rows):
-            yield _listed(rows)
+    for rows in survivors(batches, _POSTING):
+        yield record_batch(_LISTED, rows["key"].astype(np.uint64).view(np.int64), rows["set"], rows["n"])
 
 
 def _wanted_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -327,7 +288,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     tasks = max(parts, -(-int(posted) // A_TASK))
     packed = docs.mapInArrow(
         partial(_postings, width=width, frequent=frequent, places=places, small=small, buckets=4 * tasks),
-        "bucket int, sure boolean, rows binary",
+        PACKED_SQL,
     )
     listed = saved(
         packed.repartition(tasks, "bucket").mapInArrow(_survivors, "token long, set long, n int").distinct(), "postings"

@@ -77,13 +77,18 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float) -> list
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    key = F.xxhash64("doc_id", "source", "text")
-    return docs.withColumn("_key", key).withColumn("_size", word_count(F.col("text")))
+    """Each row as a struct, so that none of its names meets one used here, with its key, source and size."""
+    return docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"),
+        F.xxhash64("doc_id", "source", "text").alias("key"),
+        "source",
+        word_count(F.col("text")).alias("size"),
+    )
 
 
 def _spot(seed: int) -> Column:
     """A document's place in the random order of its source, a whole number below 2**40."""
-    return F.shiftrightunsigned(F.xxhash64("_key", F.lit(seed)), 64 - _BITS)
+    return F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 64 - _BITS)
 
 
 def _part(spot: Column, parts: str) -> Column:
@@ -165,10 +170,10 @@ def plan(
     """What a mix of ``docs`` takes from each source, and the shard of each unit. Runs three small jobs."""
     spark = docs.sparkSession
     shards = shards or max(1, partitions(spark))
-    sized = saved(_keyed(docs.select("doc_id", "source", "text")).select("source", "_key", "_size"), "mix-sizes")
+    sized = saved(_keyed(docs.select("doc_id", "source", "text")).select("source", "key", "size"), "mix-sizes")
     found = (
         sized.groupBy("source")
-        .agg(F.sum("_size").alias("size"), F.count("*").alias("docs"))
+        .agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
         .orderBy(F.asc_nulls_last("source"))
         .limit(MOST_SOURCES + 1)
         .collect()
@@ -200,7 +205,7 @@ def plan(
         .withColumn("_cell", _part(F.col("_spot"), "_cells"))
         .where("_room > 0")
     )
-    cells = placed.groupBy("_rank", "_room", "_cell").agg(F.sum("_size").alias("_words"))
+    cells = placed.groupBy("_rank", "_room", "_cell").agg(F.sum("size").alias("_words"))
     upto = F.sum("_words").over(Window.partitionBy("_rank").orderBy("_cell"))
     last = (
         cells.withColumn("_upto", upto)
@@ -210,7 +215,7 @@ def plan(
     cut = (
         placed.drop("_room")
         .join(F.broadcast(last), ["_rank", "_cell"])
-        .select("_rank", "_spot", "_size", "_room")
+        .select("_rank", "_spot", F.col("size").alias("_size"), "_room")
         .repartition("_rank")
         .sortWithinPartitions("_rank", "_spot", "_size")
         .mapInArrow(_fill, "_rank int, _until long, _picks array<long>")
@@ -244,31 +249,32 @@ def plan(
 
 
 def weighed(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Every document with ``size``, ``source_size``, ``target`` and ``copies``, the times the mix takes it."""
+    """Every document as ``row`` with ``key``, ``size``, ``source_size``, ``target`` and ``copies``, the times the mix
+    takes it."""
     spot = _spot(plan.seed)
     more = ((spot < F.col("_until")) | F.array_contains("_picks", spot)).cast("int")
     return (
         _keyed(docs)
         .join(F.broadcast(plan.sources), F.col("source").eqNullSafe(F.col("_name")))
-        .withColumn("_copies", F.col("_passes") + more)
+        .withColumn("copies", F.col("_passes") + more)
     )
 
 
 def draw(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The mix: the columns of ``docs`` and ``_key``, ``_pass`` and ``_shard``, one row per copy. Rows are dealt
-    to shards and shuffled within them."""
+    """The mix: ``row`` (all columns of ``docs``), ``key``, ``pass`` and ``shard``, one row per copy. Rows are dealt to
+    shards and shuffled within them."""
     block = _part(_spot(plan.seed), "_blocks")
-    turn = F.pmod((F.col("_pass") * F.col("_blocks") + block) * F.col("_step") + F.col("_shift"), F.col("_units"))
+    turn = F.pmod((F.col("pass") * F.col("_blocks") + block) * F.col("_step") + F.col("_shift"), F.col("_units"))
     copies = (
         weighed(docs, plan)
-        .where("_copies > 0")
-        .withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+        .where("copies > 0")
+        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .withColumn("_turn", turn)
         .join(F.broadcast(plan.units), ["_rank", "_turn"])
     )
-    shuffled = F.xxhash64("_key", "_pass", F.lit(plan.seed + 1))
+    shuffled = F.xxhash64("key", "pass", F.lit(plan.seed + 1))
     return (
-        copies.select(*docs.columns, "_key", "_pass", "_shard")
-        .repartition(plan.shards, "_shard")
-        .sortWithinPartitions("_shard", shuffled)
+        copies.select("row", "key", "pass", F.col("_shard").alias("shard"))
+        .repartition(plan.shards, "shard")
+        .sortWithinPartitions("shard", shuffled)
     )

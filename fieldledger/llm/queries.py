@@ -42,14 +42,9 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     plan = mixing.plan(docs)
     # What the shards hold of each document; passes over a document count up from 0.
-    taken = mixing.draw(docs, plan).groupBy("_key").agg((F.max("_pass") + 1).alias("_times"))
-    weighed = mixing.weighed(docs, plan).select("doc_id", "_key", "_size", "source_size", "target")
-    return weighed.join(taken, "_key", "left").select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("_size") * F.coalesce("_times", F.lit(0))).alias("taken"),
+    taken = mixing.draw(docs, plan).groupBy("key").agg((F.max("pass") + 1).alias("times"))
+    return mixing.weighed(docs, plan).join(taken, "key", "left").select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken")
     )
 
 

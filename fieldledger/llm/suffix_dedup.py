@@ -4,7 +4,8 @@ A string of ``LENGTH`` bytes that starts at two places of the corpus is removed
 
 1. Anchors. Of all ``GRAM``-byte grams within each window of ``LENGTH`` bytes the one with the smallest hash (the
    leftmost of equals) is an anchor, so equal strings have an equal anchor at the same place. An anchor's segment is
-   all bytes that a window around it can reach, within its document.
+   all bytes that a window around it can reach, within its document. Anchors that occur once are no repeats; they
+   leave packed, before they are rows of a shuffle.
 2. Grouping. Segments that are equal at equal anchors are counted. Two or more are repeats in whole; a segment
    alone at its anchor is none. What is left, one segment of each kind, is compared per anchor:
 3. Columns. The segments of an anchor are aligned at it. From the last column to the first, one symbol of every
@@ -14,7 +15,8 @@ A string of ``LENGTH`` bytes that starts at two places of the corpus is removed
    (the transform) and common prefixes are passed through once per round, in sequence.
    Anchors with more than ``CROWD`` different segments would not fit a task; their windows are counted by hash.
 4. Spans. The repeats of a segment are one span around its anchor. Spans go back to all places of the segment, are
-   merged per document and cut out.
+   merged per document and cut out. Texts are shuffled only where a filter of ``FILTER_BITS`` bits says that the
+   document may be wanted; the filter's size is fixed, at the cost of more texts shuffled where very many are wanted.
 
 The sequential files of the external construction are arrays of one task here: groups are taken together up to
 ``BATCH`` segments, which bounds the memory, and nothing is written to a local disk.
@@ -26,32 +28,39 @@ gives an empty one; columns of other names are passed through by :func:`cleaned`
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers
+from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers, unused
+from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, prefix_hash, span_hash
 
 LENGTH = 400
-GRAM = 32
-CROWD = 8192
+GRAM = 128
+CROWD = 16384
 BATCH = 4096
 #: Bytes of a segment before its anchor; the columns of a segment.
 BEFORE = LENGTH - GRAM
 COLUMNS = BEFORE + LENGTH
 GAP = 256
 
+_POSTING = np.dtype(
+    [("key", "<u8"), ("segment", "<i8"), ("doc", "<i8"), ("at", "<i4"), ("before", "<i2"), ("after", "<i2"), ("seen", "<i4")]
+)
 _PLACES = pa.schema(
-    [("doc", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("at", pa.int32())]
+    [("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())]
     + [("before", pa.int32()), ("after", pa.int32())]
 )
-_PLACES_SQL = "doc long, anchor long, segment long, at int, before int, after int"
+_PLACES_SQL = "anchor long, segment long, doc long, at int, before int, after int"
+#: Bits of the filter that tells most documents which are not looked for; its size does not grow.
+FILTER_BITS = 1 << 26
 _SPANS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 _SPANS_SQL = "anchor long, segment long, low int, high int"
 
@@ -91,7 +100,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return places, grams[places]
 
 
-def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = text_buffers(part.column("text"))
@@ -99,13 +108,45 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             owner = np.searchsorted(offsets, at, "right") - 1
-            first, last = offsets[owner], offsets[owner + 1]
-            low, high = np.maximum(first, at - BEFORE), np.minimum(last, at + LENGTH)
+            low, high = np.maximum(offsets[owner], at - BEFORE), np.minimum(offsets[owner + 1], at + LENGTH)
             segment = mix(span_hash(prefix_hash(data), low, high) + (at - low).astype(np.uint64))
-            doc = part.column("doc").to_numpy()[owner]
-            yield record_batch(
-                _PLACES, doc, grams.view(np.int64), segment.view(np.int64), at - first, at - low, high - at
-            )
+            rows = np.empty(len(at), _POSTING)
+            rows["key"], rows["segment"], rows["seen"] = grams, segment.view(np.int64), 1
+            rows["doc"], rows["at"] = part.column("doc").to_numpy()[owner], at - offsets[owner]
+            rows["before"], rows["after"] = at - low, high - at
+            yield rows
+
+
+def _packed(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    return dealt(_places(batches), buckets)
+
+
+def _again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in survivors(batches, _POSTING):
+        anchor = rows["key"].astype(np.uint64).view(np.int64)
+        yield record_batch(_PLACES, anchor, *(rows[c] for c in ("segment", "doc", "at", "before", "after")))
+
+
+def _maybe(bits: np.ndarray) -> Callable[[F.Column], F.Column]:
+    """A condition on document numbers that holds for all in the filter, and for few others while it is sparse."""
+
+    @F.pandas_udf("boolean")
+    def known(doc: pd.Series) -> pd.Series:
+        at = (doc.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return known
+
+
+def _filter(docs: DataFrame) -> Callable[[F.Column], F.Column]:
+    """Collects one bit per place of a document number, at most ``FILTER_BITS`` in all."""
+    at = F.pmod(F.col("doc"), F.lit(FILTER_BITS))
+    # Numbers are signed here and unsigned in _maybe; FILTER_BITS is a power of two, so the places are the same.
+    rows = docs.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(doc, {FILTER_BITS}) % 64 as int))").alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return _maybe(bits)
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +261,8 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     order, overlapping) of the documents that have any. Writes two tables on the way."""
     parts = partitions(docs.sparkSession)
     texts = docs.where(F.octet_length("text") >= LENGTH).select(_document().alias("doc"), "text")
-    places = saved(texts.mapInArrow(_places, _PLACES_SQL), "anchors")
+    packed = texts.mapInArrow(partial(_packed, buckets=4 * parts), PACKED_SQL)
+    places = saved(packed.repartition(parts, "bucket").mapInArrow(_again, _PLACES_SQL), "anchors")
     # Equal segments have equal sides; any one place stands for them. All firsts are of one row.
     kinds = places.groupBy("anchor", "segment").agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "at", "before", "after"))
@@ -230,7 +272,8 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     asked = kinds.where("kinds > 1").groupBy("doc").agg(
         F.collect_list(F.struct("anchor", "segment", "n", "at", "before", "after")).alias("wanted")
     )
-    segments = texts.join(asked, "doc").select("text", "wanted").mapInArrow(_cut, _CUT_SQL)
+    looked_for = _filter(kinds.where("kinds > 1").select("doc"))
+    segments = texts.where(looked_for("doc")).join(asked, "doc").select("text", "wanted").mapInArrow(_cut, _CUT_SQL)
     many = kinds.where(F.col("kinds") > crowd).select("anchor").distinct()
     crowded = None
     if not many.isEmpty():
@@ -261,12 +304,12 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _apply(batches: Iterable[pa.RecordBatch], names: list[str], text_back: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterable[pa.RecordBatch], names: list[str], spans_in: str, text_back: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             kept, sizes, gone, runs = [], [], [], []
             texts = part.column("text").cast(pa.binary()).to_pylist()
-            for text, spans in zip(texts, part.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(texts, part.column(spans_in).to_pylist(), strict=True):
                 text = text or b""
                 cut = _merged(spans)
                 edges = [0, *(e for s in cut for e in s), len(text)]
@@ -288,9 +331,16 @@ def _apply(batches: Iterable[pa.RecordBatch], names: list[str], text_back: bool)
             yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in names], names=names)
 
 
-def _with_spans(docs: DataFrame, crowd: int) -> DataFrame:
-    spans = repeats(docs, crowd).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    return docs.withColumn("_doc", _document()).join(spans, "_doc", "left")
+def _with_spans(docs: DataFrame, crowd: int) -> tuple[DataFrame, str]:
+    """``docs`` with a column of spans, and its name; documents that surely have none are not shuffled."""
+    doc, name = unused(docs, "doc"), unused(docs, "spans")
+    spans = saved(repeats(docs, crowd), "spans")
+    has_some = _filter(spans.select("doc"))
+    spans = spans.select(F.col("doc").alias(doc), F.col("spans").alias(name))
+    numbered = docs.withColumn(doc, _document())
+    some = numbered.where(has_some(doc)).join(spans, doc, "left")
+    none = numbered.where(~has_some(doc)).withColumn(name, F.lit(None).cast(spans.schema[name].dataType))
+    return some.unionByName(none).select(*[f"`{c}`" for c in docs.columns], name), name
 
 
 def cut_out(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -300,10 +350,11 @@ def cut_out(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name not in results and f.name != "text"]
     names = [f.name for f in fields] + list(results)
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, t in results.items()]
-    rows = _with_spans(docs.select(*[f"`{f.name}`" for f in fields], "text"), crowd)
-    return rows.mapInArrow(partial(_apply, names=names, text_back=False), ", ".join(schema))
+    rows, spans = _with_spans(docs.select(*[f"`{f.name}`" for f in fields], "text"), crowd)
+    return rows.mapInArrow(partial(_apply, names=names, spans_in=spans, text_back=False), ", ".join(schema))
 
 
 def cleaned(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; a null text stays null."""
-    return _with_spans(docs, crowd).mapInArrow(partial(_apply, names=docs.columns, text_back=True), docs.schema)
+    rows, spans = _with_spans(docs, crowd)
+    return rows.mapInArrow(partial(_apply, names=docs.columns, spans_in=spans, text_back=True), docs.schema)
