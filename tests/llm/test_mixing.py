@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldledger.llm import mixing
 from tests.llm.helpers import documents, ordered, prose, spaced
@@ -37,18 +38,18 @@ def weighed(spark, docs):
 def test_sizes_limits_and_reruns(spark):
     docs = documents(spark, clashing=True)
     per_doc, drawn, _ = weighed(spark, docs)
-    rows = per_doc.select("doc_id", "text", "_size", "source_size", "_copies", "_key").collect()
-    assert all(r["_size"] == len(spaced(r["text"])) for r in rows)
-    assert all(0 <= r["_copies"] <= 3 for r in rows)
+    rows = per_doc.select("row.doc_id", "row.text", "size", "source_size", "copies", "key").collect()
+    assert all(r["size"] == len(spaced(r["text"])) for r in rows)
+    assert all(0 <= r["copies"] <= 3 for r in rows)
     taken = {}
-    for r in drawn.select("_key", "_pass").collect():
-        taken.setdefault(r["_key"], []).append(r["_pass"])
+    for r in drawn.select("key", "pass").collect():
+        taken.setdefault(r["key"], []).append(r["pass"])
     for r in rows:
-        passes = taken.get(r["_key"], [])
-        assert set(passes) == set(range(r["_copies"]))
+        passes = taken.get(r["key"], [])
+        assert set(passes) == set(range(r["copies"]))
     again = mixing.draw(docs, mixing.plan(docs, shards=5))
-    assert ordered(drawn, "_key", "_pass", "_shard") == ordered(again, "_key", "_pass", "_shard")
-    assert drawn.columns[: len(docs.columns)] == docs.columns
+    assert ordered(drawn, "key", "pass", "shard") == ordered(again, "key", "pass", "shard")
+    assert drawn.select("row.*").columns == docs.columns
 
 
 def test_sources_come_near_their_targets(spark):
@@ -56,7 +57,7 @@ def test_sources_come_near_their_targets(spark):
     rows = [(i, prose(i, rng.randint(1, 60)), "en", f"s{i % 4}" if i % 5 else None, 0) for i in range(600)]
     docs = documents(spark, rows)
     per_doc, drawn, plan = weighed(spark, docs)
-    got = {r[0]: r[1] for r in drawn.withColumn("w", mixing.word_count(drawn["text"])).groupBy("source").sum("w").collect()}
+    got = {r[0]: r[1] for r in drawn.select("row.*").withColumn("w", mixing.word_count(F.col("text"))).groupBy("source").sum("w").collect()}
     for r in plan.sources.collect():
         assert abs(got[r["_name"]] - r["target"]) <= 3
     names = [r["_name"] for r in plan.sources.orderBy("_rank").collect()]

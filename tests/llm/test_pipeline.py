@@ -36,7 +36,7 @@ def test_stages_equal_brute_force(spark):
     assert docs.where("n_chars <> length(text)").count() == 0
 
     before = {r["doc_id"]: r for r in docs.collect()}
-    copies = {r["doc_id"]: r["_copies"] for r in mixing.weighed(docs, mixing.plan(docs)).collect()}
+    copies = {r["row"]["doc_id"]: r["copies"] for r in mixing.weighed(docs, mixing.plan(docs)).collect()}
     docs = saved(stages["mixing sources to target weights"](spark, docs, DATA), "stage")
     rows = docs.collect()
     assert all(r == before[r["doc_id"]] for r in rows)
