@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldledger.session import fresh_dir
 
@@ -52,6 +54,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the filter that tells most numbers which are not looked for; its size does not grow.
+FILTER_BITS = 1 << 26
+
+
+def _maybe(bits: np.ndarray) -> Callable[[str], Column]:
+    @F.pandas_udf("boolean")
+    def known(number: pd.Series) -> pd.Series:
+        at = (number.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return known
+
+
+def bit_filter(numbers: DataFrame, name: str) -> Callable[[str], Column]:
+    """A condition on a column of longs that holds for all of ``numbers``, and for few others while these are few
+    against ``FILTER_BITS``. One bit per place is collected, so what goes through the driver has a fixed size."""
+    # Numbers are signed here and unsigned in _maybe; FILTER_BITS is a power of two, so the places are the same.
+    place = F.pmod(F.col(name), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))")
+    rows = numbers.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return _maybe(bits)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offset at which each text starts (one more at the end).
 

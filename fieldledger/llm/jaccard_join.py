@@ -4,18 +4,21 @@ A document's set holds its distinct shingles of four words, as 64-bit hashes. Tw
 similarity is at least ``PERCENT`` / 100; linked documents form components.
 
 1. Equal sets are one set, named by a 64-bit hash of all its shingles.
-2. Shingles are ordered: frequent ones last, by frequency, the others first, by hash. Frequent are those that make up
-   at least 1 / ``MOST_FREQUENT`` of all, so that many of them at most are broadcast. All documents count; what a
-   task sees once among ``COUNTED`` shingles is not frequent there.
+2. Shingles are ordered: frequent ones last, by frequency, the others first, by hash. All documents count; what a
+   task meets once among ``COUNTED`` shingles is not frequent there. Frequent are the shingles met most often, at most
+   ``MOST_FREQUENT`` of them, which bounds what is broadcast. Any order gives the same links.
 3. Linking sets of up to n shingles share all but a few, so they agree on one of the first ``p(n)`` shingles of the
    order, and on two of the first ``p(n) + 1``. Sets of at most ``boundary`` shingles (small) are posted under all
    subsets of two of these, the others (large), and small ones that can link with large ones, under each single
    one: the inverted lists. The boundary is where the estimated cost of subsets and of list scans is least.
-4. Lists of one set go before they reach Spark's shuffle as rows; lists with the same members are one list.
+4. Lists of one set go before they are rows of a shuffle; of lists with the same members one stays. A sketch of each
+   set, counts of its shingles by hash range, bounds what two sets share: members that can link with none of their
+   list leave it.
 5. Star rounds compare every member of a list with one centre, which most lists of a group of near copies agree on.
    Members of one component need no comparison, so a large group of near copies costs one comparison a member.
-6. Members that are left in different components of a list are compared block against block, in numpy; only links
-   that join components leave the task. So all pairs of a group are never rows.
+6. Members that are left in different components of a list are compared block against block, in numpy; lists that
+   share members are taken together up to ``CANOPY`` sets. Only links that join components leave the task, so all
+   pairs of a group are never rows.
 
 Comparisons are exact on the hashes. Cases: an empty set (null text, no words) links with nothing; fewer words than
 four make one shingle; documents without doc_id link with nothing and have no component; rows that repeat a doc_id
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers
+from fieldledger.llm.common import bit_filter, partitions, record_batch, saved, slices, text_buffers
 from fieldledger.llm.graph import components
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, shingle_sets
@@ -41,14 +44,17 @@ from fieldledger.llm.words import mix, shingle_sets
 WIDTH = 4
 PERCENT = 85
 MOST_FREQUENT = 1 << 20
-LEAST_FREQUENT = 4
-COUNTED = 1 << 21
+COUNTED = 1 << 22
 KNOWN = 1 << 16
 A_TASK = 1 << 21
 STAR_ROUNDS = 2
 BLOCK = 1024
+CANOPY = 8192
 
-_PROFILE = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_PROFILE = pa.schema(
+    [("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())]
+)
+_PROFILE_SQL = "kind byte, a long, b long, n long, sketch binary"
 _POSTING = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<i4"), ("seen", "<i4")])
 
 
@@ -63,6 +69,26 @@ def _names(sets: list[np.ndarray]) -> np.ndarray:
     return mix(out + sizes.astype(np.uint64)).view(np.int64)
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """How many members fall in each of a power of two of equal hash ranges, about eight each; 255 is 255 or more."""
+    bits = max(3, (max(1, len(members) // 8) - 1).bit_length())
+    counts = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def most_shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """A bound from above on the members that each set on the left shares with each on the right."""
+    size = min(len(s) for s in (*left, *right))
+    sides = [np.array([s.reshape(size, -1).sum(axis=1, dtype=np.int64) for s in side]) for side in (left, right)]
+    full = [np.array([(s == 255).any() for s in side]) for side in (left, right)]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for i in range(size):
+        out += np.minimum(sides[0][:, i][:, None], sides[1][:, i][None, :])
+    out[full[0], :] = 1 << 40
+    out[:, full[1]] = 1 << 40
+    return out
+
+
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -79,11 +105,13 @@ def _profile(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         more = counts > 1
         tokens = tokens[more].view(np.int64)
-        return record_batch(_PROFILE, np.ones(len(tokens), np.int8), tokens, np.zeros(len(tokens), np.int64), counts[more])
+        nothing = [None] * len(tokens)
+        return record_batch(_PROFILE, np.ones(len(tokens), np.int8), tokens, nothing, counts[more], nothing)
 
     for part, sets, names in _sets(batches, width):
         sizes = [len(s) for s in sets]
-        yield record_batch(_PROFILE, np.zeros(len(sets), np.int8), part.column("doc_id"), names, sizes)
+        sketches = [sketch(s).tobytes() for s in sets]
+        yield record_batch(_PROFILE, np.zeros(len(sets), np.int8), part.column("doc_id"), names, sizes, sketches)
         for s, name in zip(sets, names.tolist(), strict=True):
             if len(s) and name not in known:
                 known.add(name)
@@ -160,6 +188,7 @@ def _postings(batches, width: int, frequent: np.ndarray, places: np.ndarray, sma
 
 
 _LISTED = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
+_LISTED_SQL = "token long, set long, n int"
 
 
 def _survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +220,36 @@ def _test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(schema, batch.column("a"), batch.column("b"), linked)
 
 
+def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each list (rows sorted by token) that may link with another one."""
+    found: list[tuple[int, int, int]] = []
+
+    def look(rows: list[tuple]) -> None:
+        if len(rows) < 2:
+            return
+        sizes = np.array([r[2] for r in rows])
+        marks = [np.frombuffer(r[3], np.uint8) for r in rows]
+        low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+        shared = np.minimum(most_shared(marks, marks), low)
+        good = _links(shared, low, high)
+        np.fill_diagonal(good, False)
+        found.extend(rows[i][:3] for i in np.flatnonzero(good.any(axis=1)))
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("token", "set", "n", "sketch")), strict=True):
+            if held and row[0] != held[0][0]:
+                look(held)
+                held = []
+            held.append(row)
+        if len(found) > 100_000:
+            yield record_batch(_LISTED, *zip(*found, strict=True))
+            found.clear()
+    look(held)
+    if found:
+        yield record_batch(_LISTED, *zip(*found, strict=True))
+
+
 def _near_sizes(m: str, n: str) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * PERCENT
 
@@ -264,14 +323,20 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
-    profile = saved(docs.mapInArrow(partial(_profile, width=width), "kind byte, a long, b long, n long"), "profile")
+    profile = saved(docs.mapInArrow(partial(_profile, width=width), _PROFILE_SQL), "profile")
     own = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"), "n")
     total, posted = own.agg(
         F.coalesce(F.sum("n"), F.lit(0)),
         F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0) + 1), F.lit(0)),
     ).first()
-    often = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
     counts = saved(profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "counts")
+    # The least count that at most MOST_FREQUENT shingles reach.
+    often, reached = -(-total // MOST_FREQUENT) + 1, 0
+    for r in counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect():
+        reached += r["count"]
+        if reached > MOST_FREQUENT:
+            break
+        often = min(often, r["n"])
     top = counts.where(F.col("n") >= often).toArrow()
     order = np.argsort(top.column("a").to_numpy().view(np.uint64))
     frequent = top.column("a").to_numpy().view(np.uint64)[order]
@@ -291,21 +356,26 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         PACKED_SQL,
     )
     listed = saved(
-        packed.repartition(tasks, "bucket").mapInArrow(_survivors, "token long, set long, n int").distinct(), "postings"
+        packed.repartition(tasks, "bucket").mapInArrow(_survivors, _LISTED_SQL).distinct(), "postings"
     )
-    # One list of each group of lists with the same members.
-    tokens = listed.groupBy("token").agg(
-        F.count("*").alias("m"), F.sum(F.xxhash64("set").bitwiseAND((1 << 40) - 1)).alias("mark")
+    lists = saved(_distinct_lists(listed), "lists")
+    sketches = profile.where("kind = 0").join(lists.select(F.col("set").alias("b")).distinct(), "b", "left_semi")
+    sketches = sketches.groupBy(F.col("b").alias("set")).agg(F.max("sketch").alias("sketch"))
+    compared = (
+        lists.where(F.col("m") <= BLOCK)
+        .join(sketches, "set")
+        .repartition(parts, "token")
+        .sortWithinPartitions("token")
+        .mapInArrow(_pruned, _LISTED_SQL)
     )
-    tokens = tokens.where("m > 1").groupBy("m", "mark").agg(F.min("token").alias("token")).drop("mark")
-    lists = saved(listed.join(tokens, "token"), "lists")
+    lists = saved(_distinct_lists(compared.unionByName(lists.where(F.col("m") > BLOCK).drop("m"))), "lists")
     # The sets in question, from one document each.
     one = own.join(lists.select("set").distinct(), "set", "left_semi").where("doc_id is not null")
-    one = one.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    one = saved(one.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    asked = docs.where("doc_id is not null").where(bit_filter(one, "doc_id")("doc_id")).join(one, "doc_id")
     members = saved(
-        docs.join(one, "doc_id").select("set", "text").mapInArrow(
-            partial(_wanted_sets, width=width), "set long, members binary"
-        ).dropDuplicates(["set"]),
+        asked.select("set", "text").mapInArrow(partial(_wanted_sets, width=width), "set long, members binary")
+        .dropDuplicates(["set"]),
         "sets",
     )
     # Sets of one doc_id belong together.
@@ -334,18 +404,30 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         links = links.unionByName(result.where("linked").select("a", "b"))
         labels = components(links)
     labelled = saved(_labelled(lists.where("m > 2"), labels), "labelled")
-    open_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_lists = open_lists.where("low <> high").select("token")
-    blocks = F.ceil(F.col("m") / float(BLOCK)).cast("int")
+    state = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_lists = saved(labelled.join(state.where("low <> high").select("token"), "token", "left_semi"), "open")
+    first = open_lists.groupBy("token").agg(F.min("set").alias("b"))
+    canopies = components(open_lists.join(first, "token").select(F.col("set").alias("a"), "b"))
+    sizes = canopies.groupBy("component").agg(F.count("*").alias("size"))
+    small_ones = canopies.join(sizes.where(F.col("size") <= CANOPY), "component")
+    small_ones = small_ones.select(F.col("node").alias("set"), F.col("component").alias("canopy"), "size")
+    grouped = open_lists.join(small_ones, "set", "left").select(
+        "set",
+        "label",
+        F.when(F.col("canopy").isNull(), F.struct(F.lit(0).alias("kind"), F.col("token").alias("number")))
+        .otherwise(F.struct(F.lit(1).alias("kind"), F.col("canopy").alias("number"))).alias("group"),
+        F.coalesce("size", "m").alias("m"),
+    ).distinct()
     dealt = (
-        labelled.join(open_lists, "token", "left_semi")
-        .withColumn("blocks", blocks)
+        grouped.withColumn("blocks", F.ceil(F.col("m") / float(BLOCK)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "set",
             "label",
-            F.concat_ws("-", "token", F.least("block", "partner"), F.greatest("block", "partner")).alias("pair"),
+            F.concat_ws(
+                "-", "group.kind", "group.number", F.least("block", "partner"), F.greatest("block", "partner")
+            ).alias("pair"),
             (F.col("block") > F.col("partner")).cast("int").alias("side"),
         )
         .join(members, "set")
@@ -367,6 +449,15 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
+def _distinct_lists(listed: DataFrame) -> DataFrame:
+    """Lists of two or more members with their number ``m``; of lists with the same members one stays."""
+    tokens = listed.groupBy("token").agg(
+        F.count("*").alias("m"), F.sum(F.xxhash64("set").bitwiseAND((1 << 40) - 1)).alias("mark")
+    )
+    tokens = tokens.where("m > 1").groupBy("m", "mark").agg(F.min("token").alias("token")).drop("mark")
+    return listed.join(tokens, "token")
+
+
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("label", F.col("set"))

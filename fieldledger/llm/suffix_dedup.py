@@ -15,8 +15,8 @@ A string of ``LENGTH`` bytes that starts at two places of the corpus is removed
    (the transform) and common prefixes are passed through once per round, in sequence.
    Anchors with more than ``CROWD`` different segments would not fit a task; their windows are counted by hash.
 4. Spans. The repeats of a segment are one span around its anchor. Spans go back to all places of the segment, are
-   merged per document and cut out. Texts are shuffled only where a filter of ``FILTER_BITS`` bits says that the
-   document may be wanted; the filter's size is fixed, at the cost of more texts shuffled where very many are wanted.
+   merged per document and cut out. Texts are shuffled only where a filter of fixed size says that the
+   document may be wanted.
 
 The sequential files of the external construction are arrays of one task here: groups are taken together up to
 ``BATCH`` segments, which bounds the memory, and nothing is written to a local disk.
@@ -28,17 +28,16 @@ gives an empty one; columns of other names are passed through by :func:`cleaned`
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers, unused
+from fieldledger.llm.common import bit_filter, partitions, record_batch, saved, slices, text_buffers, unused
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, prefix_hash, span_hash
 
@@ -59,8 +58,6 @@ _PLACES = pa.schema(
     + [("before", pa.int32()), ("after", pa.int32())]
 )
 _PLACES_SQL = "anchor long, segment long, doc long, at int, before int, after int"
-#: Bits of the filter that tells most documents which are not looked for; its size does not grow.
-FILTER_BITS = 1 << 26
 _SPANS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 _SPANS_SQL = "anchor long, segment long, low int, high int"
 
@@ -127,28 +124,6 @@ def _again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_PLACES, anchor, *(rows[c] for c in ("segment", "doc", "at", "before", "after")))
 
 
-def _maybe(bits: np.ndarray) -> Callable[[F.Column], F.Column]:
-    """A condition on document numbers that holds for all in the filter, and for few others while it is sparse."""
-
-    @F.pandas_udf("boolean")
-    def known(doc: pd.Series) -> pd.Series:
-        at = (doc.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return known
-
-
-def _filter(docs: DataFrame) -> Callable[[F.Column], F.Column]:
-    """Collects one bit per place of a document number, at most ``FILTER_BITS`` in all."""
-    at = F.pmod(F.col("doc"), F.lit(FILTER_BITS))
-    # Numbers are signed here and unsigned in _maybe; FILTER_BITS is a power of two, so the places are the same.
-    rows = docs.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(doc, {FILTER_BITS}) % 64 as int))").alias("bit"))
-    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return _maybe(bits)
-
-
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that each text is asked for."""
     schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary())])
@@ -272,7 +247,7 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     asked = kinds.where("kinds > 1").groupBy("doc").agg(
         F.collect_list(F.struct("anchor", "segment", "n", "at", "before", "after")).alias("wanted")
     )
-    looked_for = _filter(kinds.where("kinds > 1").select("doc"))
+    looked_for = bit_filter(kinds.where("kinds > 1"), "doc")
     segments = texts.where(looked_for("doc")).join(asked, "doc").select("text", "wanted").mapInArrow(_cut, _CUT_SQL)
     many = kinds.where(F.col("kinds") > crowd).select("anchor").distinct()
     crowded = None
@@ -335,7 +310,7 @@ def _with_spans(docs: DataFrame, crowd: int) -> tuple[DataFrame, str]:
     """``docs`` with a column of spans, and its name; documents that surely have none are not shuffled."""
     doc, name = unused(docs, "doc"), unused(docs, "spans")
     spans = saved(repeats(docs, crowd), "spans")
-    has_some = _filter(spans.select("doc"))
+    has_some = bit_filter(spans, "doc")
     spans = spans.select(F.col("doc").alias(doc), F.col("spans").alias(name))
     numbered = docs.withColumn(doc, _document())
     some = numbered.where(has_some(doc)).join(spans, doc, "left")
