@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+
 from fieldledger.llm import jaccard_join
 from tests.llm.helpers import cases, documents, edited, ordered, prose, spaced
 
@@ -53,7 +55,7 @@ def test_chains_and_sizes_at_the_threshold(spark):
 def test_blocks_and_small_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
-    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "CANOPY", 20)
     base = prose(9, 70)
     rows = [(i, edited(base, i, 1 + i % 3), None, None, None) for i in range(60)]
     assert found(documents(spark, rows)) == brute(rows)
@@ -70,3 +72,15 @@ def test_boundary_follows_the_cost():
     long_lists = jaccard_join.boundary([(n, 100) for n in range(1, 400)], 30.0)
     assert 0 <= few_lists < long_lists
     assert jaccard_join.boundary([], 1.0) == 0
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (1, 7, 60, 300, 5000)]
+    sets += [np.unique(np.concatenate((sets[3][:200], sets[4][:100]))), np.arange(900, dtype=np.uint64)]
+    bound = jaccard_join.most_shared(*[[jaccard_join.sketch(s) for s in sets]] * 2)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert bound[i, j] >= len(np.intersect1d(x, y))
+    few = jaccard_join.most_shared([jaccard_join.sketch(sets[3])], [jaccard_join.sketch(sets[5])])[0, 0]
+    assert few < 0.95 * 300
