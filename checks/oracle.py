@@ -3,15 +3,48 @@
 from __future__ import annotations
 
 from checks.views import with_views
-from fieldledger.functions.labels import LABELS, LOAN_STATUS, NO_LOAN
 
 # The moment that the outreach list is computed for.
 AS_OF = "2002-01-01 18:00:00"
+# Whom the scoped queries ask for.
+ONE_AGENT = 200_000_000_000_007
+ONE_CENTER = "C003"
 
 _WORD = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+"
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
+# The labels that the pages show, English and Bengali.
+EXPECTED_LABELS = {
+    "kyc_status": {"VERIFIED": ("Verified", "যাচাইকৃত"), "PENDING": ("Pending", "অপেক্ষমাণ")},
+    "loan_status": {
+        "Paid": ("Paid", "পরিশোধিত"), "Active Loan": ("Active", "সক্রিয়"),
+        "Loan Pending": ("Pending", "অপেক্ষমাণ"), "No Loan": ("No Loan", "কোনো ঋণ নেই"),
+    },
+    "dashboard_loan_status": {
+        "Paid": ("Paid", "পরিশোধিত"), "Active Loan": ("Active", "চলমান"),
+        "Loan Pending": ("Pending", "অপেক্ষমাণ"), "No Loan": ("No Loan", "কোনো ঋণ নেই"),
+    },
+    "pending_order": {"Yes": ("Yes", "হ্যাঁ"), "No": ("No", "না")},
+    "loan_state": {
+        "CLOSED": ("Closed", "সমাপ্ত"), "ACTIVE": ("Active", "সক্রিয়"), "PENDING": ("Pending", "অপেক্ষমাণ"),
+    },
+    "payment_state": {"PAID": ("Paid", "পরিশোধিত"), "OVERDUE": ("Overdue", "মেয়াদোত্তীর্ণ")},
+    "payment_status": {
+        "CONFIRMED": ("Confirmed", "নিশ্চিত"), "DELIVERED": ("Delivered", "ডেলিভারি সম্পন্ন"),
+        "PENDING": ("Pending", "অপেক্ষমাণ"),
+    },
+    "stock_status": {
+        "Out of Stock": ("Out of Stock", "স্টক শেষ"), "Low Stock": ("Low Stock", "স্বল্প মজুত"),
+        "In Stock": ("In Stock", "মজুত আছে"),
+    },
+    "role": {
+        "FARMER": ("Farmer", "কৃষক"), "AGENT": ("Agent", "এজেন্ট"), "ADMIN": ("Admin", "প্রশাসক"),
+        "ADVISOR": ("Advisor", "উপদেষ্টা"),
+    },
+}
+
+
 def caps(x: str) -> str:
     return (
         f"list_aggregate(list_transform(regexp_extract_all({x}, '{_WORD}'), "
@@ -27,8 +60,14 @@ def day(x: str) -> str:
     return f"strftime({x}, '%d-%b-%Y')"
 
 
-def amount(x: str) -> str:
-    return f"format('{{:,}}', cast(round({x}) as bigint))"
+# The width of an amount of so many digits, with commas and a sign.
+AMOUNT_WIDTH = {9: 12, 6: 8}
+
+
+def amount(x: str, digits: int = 9) -> str:
+    """Whole units with commas; more than ``digits`` digits do not fit and show as signs."""
+    shown = f"format('{{:,}}', cast(round({x}) as bigint))"
+    return f"case when abs(round({x})) >= 1{'0' * digits} then repeat('#', {AMOUNT_WIDTH[digits]}) else {shown} end"
 
 
 def strip(x: str) -> str:
@@ -36,13 +75,13 @@ def strip(x: str) -> str:
 
 
 def labels(domain: str, language: int, x: str, other: str) -> str:
-    cases = " ".join(f"when '{code}' then '{texts[language]}'" for code, texts in LABELS[domain].items())
+    cases = " ".join(f"when '{code}' then '{texts[language]}'" for code, texts in EXPECTED_LABELS[domain].items())
     return f"case {x} {cases} else {other} end"
 
 
 _NAME = full_name(caps("first_name"), caps("last_name"))
-_STOCK = """case when quantity = 0 then 'Out of Stock' when quantity between 1 and 9 then 'Low Stock'
-                 else 'In Stock' end"""
+# Fixed value: any other quantity below ten, also a negative one, is low.
+_STOCK = """case when quantity = 0 then 'Out of Stock' when quantity < 10 then 'Low Stock' else 'In Stock' end"""
 
 # Farmers with each of their KYC rows, or none.
 _KYC_STATE = """
@@ -81,7 +120,8 @@ badge as (select center_code, count(*) as pending_kyc from undecided group by 1)
 full_page as (
     select page.*, coalesce(pending_kyc, 0) as pending_kyc from page left join badge using (center_code))"""
 
-_LOAN_STATUS = f"coalesce(map {LOAN_STATUS}[loan_state], loan_state)"
+_LOAN_STATUS = """case loan_state when 'CLOSED' then 'Paid' when 'ACTIVE' then 'Active Loan'
+                     when 'PENDING' then 'Loan Pending' else loan_state end"""
 _MY_FARMERS = f"""
 , ranked_loan as (
     select *, row_number() over (
@@ -99,7 +139,7 @@ open_order as (
 list as (
     select field_agent.person_id, farmer.farmer_code as code, {_NAME} as name, login_phone as phone,
            coalesce(identity_verified, 'PENDING') as kyc_status,
-           case when loan_no is null then '{NO_LOAN}' else {_LOAN_STATUS} end as loan_status,
+           case when loan_no is null then 'No Loan' else {_LOAN_STATUS} end as loan_status,
            {day('due_date')} as due_date,
            case when open_order.farmer_code is null then 'No' else 'Yes' end as pending_order
     from farmer
@@ -160,9 +200,10 @@ select * replace ({labels('payment_status', 1, 'status', 'status')} as status,
 from purchases where farmer_code in (select farmer_code from profile)"""
 
 
-def _labelled(domain: str, item: str, code: str, table: str, other: tuple[str, str]) -> str:
+def _labelled(domain: str, item: str, code: str, table: str, other: tuple[str, str], part: str = "null") -> str:
     return f"""
-    select '{domain}' as domain, cast({item} as varchar) as item, {code} as code,
+    select '{domain}' as domain, cast({item} as varchar) as item, cast({part} as bigint) as installment_no,
+           {code} as code,
            {labels(domain, 0, code, other[0])} as label_en, {labels(domain, 1, code, other[1])} as label_bn
     from {table}"""
 
@@ -171,7 +212,9 @@ _STATUS_LABELS = " union all ".join(
     [
         _labelled("kyc_status", "kyc_id", "coalesce(identity_verified, 'PENDING')", "kyc", ("'-'", "'-'")),
         _labelled("loan_state", "loan_no", "loan_state", "loan", ("loan_state", "loan_state")),
-        _labelled("payment_state", "loan_no", "payment_state", "repayment", ("payment_state", "payment_state")),
+        _labelled(
+            "payment_state", "loan_no", "payment_state", "repayment", ("payment_state", "payment_state"), "installment_no"
+        ),
         _labelled(
             "payment_status", "purchase_id", "payment_status", "purchase", ("payment_status", "payment_status")
         ),
@@ -272,7 +315,7 @@ def _waiting(registered: str) -> str:
 
 def _stock(status: str) -> str:
     return f"""
-        select center_code, {caps('name')} as item, quantity as stock, {amount('unit_price')} as price,
+        select center_code, {caps('name')} as item, quantity as stock, {amount('unit_price', 6)} as price,
                {status} as status
         from inventory"""
 
@@ -323,7 +366,7 @@ ORACLE: dict[str, str] = {
                cast(round(date_diff('second', registration_date, timestamp '{AS_OF}') / 86400.0) as integer)
                    as days_since_reg
         from undecided join person using (person_id)
-        where farmer_code not in (select farmer_code from loan)""",
+        where not exists (from loan where loan.farmer_code = undecided.farmer_code)""",
         "farmer", "kyc", "person", "loan",
     ),
     "pending_purchases": with_views(
@@ -363,7 +406,7 @@ ORACLE: dict[str, str] = {
     ),
     "kyc_decisions": with_views(_KYC_DECISIONS, "kyc", "kyc_decision", "field_agent"),
     "kyc_unmatched_decisions": with_views(
-        "select * from kyc_decision where farmer_code not in (select farmer_code from kyc)", "kyc", "kyc_decision"
+        "select * from kyc_decision d where not exists (from kyc where kyc.farmer_code = d.farmer_code)", "kyc", "kyc_decision"
     ),
     "last_login": with_views(_LAST_LOGIN, "person", "login_event"),
     "login_identity": with_views(f"{_IDENTITY} select * from resolved", "person", "login_event"),
@@ -389,3 +432,16 @@ ORACLE: dict[str, str] = {
 # The streams must end where the batches do.
 ORACLE["kyc_decisions_stream"] = ORACLE["kyc_decisions"]
 ORACLE["last_login_stream"] = ORACLE["last_login"]
+
+
+def _scoped(name: str, key: str, value: str) -> str:
+    return f"select * exclude ({key}) from ({ORACLE[name]}) where {key} = {value}"
+
+
+ORACLE |= {
+    "my_farmers_of_agent": _scoped("my_farmers", "person_id", str(ONE_AGENT)),
+    "agent_page_of_agent": _scoped("agent_page", "person_id", str(ONE_AGENT)),
+    "pending_kyc_of_center": _scoped("pending_kyc", "center_code", f"'{ONE_CENTER}'"),
+    "outreach_of_center": _scoped("outreach", "center_code", f"'{ONE_CENTER}'"),
+    "pending_purchases_of_center": _scoped("pending_purchases", "center_code", f"'{ONE_CENTER}'"),
+}

@@ -70,9 +70,10 @@ VIEWS: dict[str, str] = {
         from base""",
     "loan": f"""
         with dated as (
-            select *, cast(cast(o_orderdate as date) as timestamp) as day
-            from orders where o_orderkey % 3 = 0 and o_custkey % 4 <> 0)
-        select o_orderkey as loan_no, {_code('F', 'o_custkey', 8)} as farmer_code,
+            select *, cast(cast(o_orderdate as date) as timestamp) as day,
+                   case when o_custkey % 4 = 0 then o_custkey + 1 else o_custkey end as borrower
+            from orders where o_orderkey % 3 = 0)
+        select o_orderkey as loan_no, {_code('F', 'borrower', 8)} as farmer_code,
                cast(o_totalprice as decimal(18,2)) as amount, cast(5 + o_orderkey % 10 as double) as interest_rate,
                cast(6 + o_orderkey % 31 as integer) as tenure_months, lower(o_orderpriority) as purpose,
                case when o_orderkey % 41 = 0 then 'DEFAULTED' when o_orderstatus = 'P' then 'PENDING'
@@ -90,14 +91,17 @@ VIEWS: dict[str, str] = {
                cast(l_quantity * 10 as decimal(18,2)) as late_fee
         from lineitem where l_orderkey % 3 = 0""",
     "purchase": f"""
-        select o_orderkey as purchase_id, {_code('F', 'o_custkey', 8)} as farmer_code,
-               {_code('A', f'o_custkey % {_AGENTS}', 6)} as agent_code, o_orderdate as purchase_date,
+        with bought as (
+            select *, case when o_custkey % 3 = 2 then o_custkey - 1 else o_custkey end as buyer
+            from orders where o_orderkey % 3 <> 0)
+        select o_orderkey as purchase_id, {_code('F', 'buyer', 8)} as farmer_code,
+               {_code('A', f'buyer % {_AGENTS}', 6)} as agent_code, o_orderdate as purchase_date,
                case when o_orderpriority <> '4-NOT SPECIFIED' then substr(o_orderpriority, 3) end as payment_method,
                case when o_orderkey % 43 = 0 then null when o_orderstatus = 'P' then 'CONFIRMED'
                     when o_orderstatus = 'F' then 'DELIVERED' when o_orderkey % 2 = 0 then 'CANCELLED'
                     else 'PENDING' end as payment_status,
                case when o_orderkey % 5 <> 0 then 'TX' || cast(o_orderkey as varchar) end as transaction_reference
-        from orders where o_orderkey % 3 <> 0 and o_custkey % 3 <> 2""",
+        from bought""",
     "ordered_item": """
         select l_orderkey as purchase_id, l_partkey as item_id, cast(l_extendedprice as decimal(18,2)) as total_cost
         from lineitem where l_orderkey % 3 <> 0""",

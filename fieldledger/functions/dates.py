@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def as_of_column(as_of: datetime | None) -> Column:
-    """The given moment, or the clock of the session, read once per query."""
+    """The given moment, in UTC if it has a zone, or the clock of the session, read once per query."""
     if as_of is None:
         return F.localtimestamp()
-    return F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    moment = as_of.astimezone(UTC) if as_of.tzinfo else as_of
+    return F.lit(moment.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def day_mon_year(value: Column) -> Column:

@@ -4,6 +4,7 @@ from fieldledger.operators.accounts import (
     apply_last_login,
     last_logins,
     register,
+    registration_outcome,
     resolve_login_identity,
     validate_registrations,
 )
@@ -68,6 +69,7 @@ __all__ = [
     "pending_purchases",
     "ranking_position",
     "register",
+    "registration_outcome",
     "resolve_login_identity",
     "status_labels",
     "unmatched_decisions",

@@ -148,36 +148,54 @@ def _first_come(valid: DataFrame) -> DataFrame:
     left = valid.groupBy("phone", "username").agg(F.min(moment).alias("first"))
     rounds: list[DataFrame] = []
     while True:
-        by_phone = left.groupBy("phone").agg(first)
-        by_username = left.groupBy("username").agg(first)
-        certain = cut(by_phone.join(by_username, "first"))
-        rounds.append(certain)
-        left = cut(
-            left.join(certain.select("phone"), "phone", "left_anti").join(
-                certain.select("username"), "username", "left_anti"
-            )
+        by_phone = left.groupBy("phone").agg(F.min("first").alias("first_of_phone"))
+        by_username = left.groupBy("username").agg(F.min("first").alias("first_of_username"))
+        certain = (F.col("first") == F.col("first_of_phone")) & (F.col("first") == F.col("first_of_username"))
+        judged = cut(
+            left.join(by_phone, "phone").join(by_username, "username")
+            .select("phone", "username", "first", certain.alias("certain"))
+        )
+        accepted = judged.where("certain").select("phone", "username", "first")
+        rounds.append(accepted)
+        left = (
+            judged.where("not certain")
+            .join(accepted.select("phone"), "phone", "left_anti")
+            .join(accepted.select("username"), "username", "left_anti")
+            .select("phone", "username", "first")
         )
         if left.isEmpty():
             return reduce(DataFrame.unionByName, rounds)
 
 
-def register(applications: DataFrame, person: DataFrame, phone: DataFrame) -> Registration:
-    """Accept applications first come, first served on phone and username.
-
-    New ids count up from the highest id in use, in the order of submission.
-    """
+def _judged(applications: DataFrame, person: DataFrame) -> DataFrame:
     checked = cut(validate_registrations(applications, person))
     accepted = _first_come(checked.where("outcome = 'OK'"))
     winners = accepted.select("phone", F.col("first").alias("holder"))
     moment = F.struct("submitted_at", "application_id")
     # The phone is looked at before the username, also against applications accepted earlier.
     valid_phone = F.col("outcome").isin("OK", "DUP_USERNAME")
-    judged = lookup(checked, winners, "phone").withColumn(
+    return lookup(checked, winners, "phone").withColumn(
         "outcome",
         F.when(valid_phone & (F.col("holder") < moment), "DUP_PHONE")
         .when((F.col("outcome") == "OK") & ~F.col("holder").eqNullSafe(moment), "DUP_USERNAME")
         .otherwise(F.col("outcome")),
     )
+
+
+def registration_outcome(applications: DataFrame, person: DataFrame) -> DataFrame:
+    """What became of each application. Runs jobs while it is built: one table of the checked applications and one
+    per round in the shared folder."""
+    columns = ("application_id", "submitted_at", "phone", "username", "outcome")
+    return _judged(applications, person).select(*columns)
+
+
+def register(applications: DataFrame, person: DataFrame, phone: DataFrame) -> Registration:
+    """Accept applications first come, first served on phone and username.
+
+    New ids count up from the highest id in use, in the order of submission. Runs jobs while it is built, as
+    :func:`registration_outcome` and the numbering do.
+    """
+    judged = _judged(applications, person)
     outcome = judged.select("application_id", "submitted_at", "phone", "username", "outcome")
     rows = judged.where("outcome = 'OK'").drop("outcome", "holder")
     highest = person.agg(F.coalesce(F.max("person_id"), F.lit(0).cast("bigint"))).scalar()

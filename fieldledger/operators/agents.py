@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions import full_name, or_default
-from fieldledger.operators.queues import pending_kyc_count
-from fieldledger.plans import loans_per_farmer, lookup, numbered, ranked
+from fieldledger.operators.queues import pending_kyc_count, pending_per_center
+from fieldledger.plans import loans_per_farmer, lookup, numbered, of_farmers, ranked, the_one
 
 COUNTS = ("total_farmers", "kyc_done", "loans_approved", "pending_loans", "pending_deliveries")
 PROFILE = ("agent_code", "center_name", "upazila", "district", "working_status", "login_phone", "join_date")
@@ -88,21 +88,31 @@ def _dashboard(tables: Mapping[str, DataFrame], scope: int | None) -> DataFrame:
 def agent_dashboard(tables: Mapping[str, DataFrame], scope: int | None = None) -> DataFrame:
     """One row per agent: profile and the five counts."""
     rows = _dashboard(tables, scope).drop("center_code")
-    return rows if scope is None else rows.drop("person_id").limit(1)
+    return rows if scope is None else the_one(rows.drop("person_id"), f"agent code of person {scope}")
 
 
 def agent_page(tables: Mapping[str, DataFrame], scope: int | None = None) -> DataFrame:
-    """The dashboard with ``pending_kyc`` of the agent's center, 0 without a center."""
+    """The dashboard with ``pending_kyc`` of the agent's center, 0 without a center or an agent code."""
     rows = _dashboard(tables, scope)
-    rows = lookup(rows, pending_kyc_count(tables), "center_code")
-    rows = rows.withColumn("pending_kyc", F.coalesce("pending_kyc", F.lit(0).cast("bigint")))
+    if scope is None:
+        pending = pending_kyc_count(tables)
+    else:
+        centers = _agents(tables, scope).select("center_code").distinct()
+        farmers = tables["farmer"].select("center_code", "farmer_code").join(centers, "center_code", "left_semi")
+        pending = pending_per_center(farmers, of_farmers(tables["kyc"], farmers))
+    rows = lookup(rows, pending, "center_code")
+    shown = F.when(F.col("agent_code").isNotNull(), F.col("pending_kyc"))
+    rows = rows.withColumn("pending_kyc", F.coalesce(shown, F.lit(0).cast("bigint")))
     columns = (*PROFILE, *COUNTS, "pending_kyc")
-    return rows.select("person_id", *columns) if scope is None else rows.select(*columns).limit(1)
+    if scope is None:
+        return rows.select("person_id", *columns)
+    return the_one(rows.select(*columns), f"agent code of person {scope}")
 
 
 def dashboard_defaults(tables: Mapping[str, DataFrame], scope: int | None = None) -> DataFrame:
     """The agent page with every missing value replaced by what the page shows for it."""
     shown = {
+        "agent_code": or_default("agent_code", "N/A"),
         "center_name": or_default("center_name", "Not Assigned"),
         "upazila": or_default("upazila", "N/A"),
         "district": or_default("district", "N/A"),
@@ -119,7 +129,7 @@ def agent_lookup(tables: Mapping[str, DataFrame], scope: int | None = None) -> D
     rows = _agents(tables, scope)
     if scope is None:
         return rows.select("person_id", "agent_code", "center_code")
-    return rows.select("agent_code", "center_code").limit(1)
+    return the_one(rows.select("agent_code", "center_code"), f"agent code of person {scope}")
 
 
 def _success(tables: Mapping[str, DataFrame]) -> DataFrame:

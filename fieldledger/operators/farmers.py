@@ -23,7 +23,7 @@ from fieldledger.functions import (
     stock_status,
     word_caps,
 )
-from fieldledger.plans import farmer_person, kyc_rows, latest_loan, present, replicate
+from fieldledger.plans import farmer_person, kyc_rows, latest_loan, of_farmers, present, replicate, the_one
 
 
 def _code_of(tables: Mapping[str, DataFrame], person_id: int) -> Column:
@@ -49,9 +49,12 @@ def my_farmers(
     Loans, orders and KYC rows are brought to one row per farmer before the joins, which then all run
     on the same partitioning by farmer.
     """
+    farmers = _agent_farmers(tables, scope)
+    loan, purchase, kyc = (
+        tables[name] if scope is None else of_farmers(tables[name], farmers) for name in ("loan", "purchase", "kyc")
+    )
     open_orders = (
-        tables["purchase"]
-        .where(F.col("farmer_code").isNotNull() & ~F.col("payment_status").isin("DELIVERED", "CANCELLED"))
+        purchase.where(F.col("farmer_code").isNotNull() & ~F.col("payment_status").isin("DELIVERED", "CANCELLED"))
         .select("farmer_code")
         .distinct()
         .withColumn("has_order", F.lit(True))
@@ -59,12 +62,8 @@ def my_farmers(
     person = tables["person"].select(
         F.col("person_id").alias("farmer_person_id"), "first_name", "last_name", "login_phone"
     )
-    farmers = (
-        _agent_farmers(tables, scope)
-        .join(latest_loan(tables["loan"]), "farmer_code", "left")
-        .join(open_orders, "farmer_code", "left")
-    )
-    rows = replicate(kyc_rows(farmers, tables["kyc"]).join(person, "farmer_person_id"), "copies")
+    listed = farmers.join(latest_loan(loan), "farmer_code", "left").join(open_orders, "farmer_code", "left")
+    rows = replicate(kyc_rows(listed, kyc).join(person, "farmer_person_id"), "copies")
     return present(
         rows,
         "person_id",
@@ -160,7 +159,7 @@ def farmer_detail(tables: Mapping[str, DataFrame], scope: str | None = None) ->
         none.alias("referral_date"),
         none.alias("referral_status"),
     )
-    return rows if scope is None else rows.limit(1)
+    return rows if scope is None else the_one(rows, f"farmer with the code {scope}")
 
 
 def _date_order(column: str, chronological: bool) -> Column:
@@ -293,10 +292,11 @@ def community_posts(
 def status_labels(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The label, in both languages, of every status shown on the detail, stock and role pages."""
 
-    def labelled(table: str, item: str, domain: str, code: Column) -> DataFrame:
+    def labelled(table: str, item: str, domain: str, code: Column, part: Column | None = None) -> DataFrame:
         return tables[table].select(
             F.lit(domain).alias("domain"),
             F.col(item).cast("string").alias("item"),
+            (F.lit(None) if part is None else part).cast("bigint").alias("installment_no"),
             code.alias("code"),
             label(domain, code, "en").alias("label_en"),
             label(domain, code, "bn").alias("label_bn"),
@@ -306,7 +306,9 @@ def status_labels(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = [
         labelled("kyc", "kyc_id", "kyc_status", F.coalesce(blank_to_null("identity_verified"), F.lit("PENDING"))),
         labelled("loan", "loan_no", "loan_state", F.col("loan_state")),
-        labelled("repayment", "loan_no", "payment_state", F.col("payment_state")),
+        labelled(
+            "repayment", "loan_no", "payment_state", F.col("payment_state"), F.col("installment_no")
+        ),
         labelled("purchase", "purchase_id", "payment_status", F.col("payment_status")),
         labelled("inventory", "item_id", "stock_status", stock),
         labelled("person", "person_id", "role", F.col("role")),

@@ -18,18 +18,17 @@ DOCUMENTS = ("remarks", "nid_front_ref", "nid_back_ref", "land_dolil_ref", "land
 def fold_decisions(decisions: DataFrame) -> DataFrame:
     """One row per farmer: the last decision, and the documents of the last VERIFIED one.
 
-    Both are maxima, so they can be taken in any grouping and order: map-side, in the reducers, and
-    over the micro-batches of a stream. ``documents`` is NULL where there was no VERIFIED decision,
+    Both begin with their moment and are maxima, so folds can be merged in any grouping and order, also with
+    themselves: map-side, in the reducers, and over whatever a stream has written. ``documents`` is NULL where there was no VERIFIED decision,
     which differs from documents that are all NULL.
     """
-    moment = F.struct("decided_at", "decision_id")
     verified = F.col("decision") == "VERIFIED"
     return (
         decisions.where(F.col("decision").isin("VERIFIED", "REJECTED"))
         .groupBy("farmer_code")
         .agg(
-            F.max_by(F.struct("decision", "person_id", "decided_at"), moment).alias("last"),
-            F.max_by(F.struct(*DOCUMENTS), F.when(verified, moment)).alias("documents"),
+            F.max(F.struct("decided_at", "decision_id", "decision", "person_id")).alias("last"),
+            F.max(F.when(verified, F.struct("decided_at", "decision_id", *DOCUMENTS))).alias("documents"),
         )
     )
 

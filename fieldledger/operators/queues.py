@@ -22,7 +22,7 @@ from fieldledger.functions import (
     stock_status,
     word_caps,
 )
-from fieldledger.plans import farmer_person, kyc_copies, present, replicate, with_loan, without_loan
+from fieldledger.plans import farmer_person, kyc_copies, of_farmers, present, replicate, with_loan, without_loan
 
 
 def _in_center(df: DataFrame, scope: str | None) -> DataFrame:
@@ -39,12 +39,21 @@ def _with_person(farmers: DataFrame, tables: Mapping[str, DataFrame]) -> DataFra
     return farmers.join(person, "person_id")
 
 
+def pending_per_center(farmers: DataFrame, kyc: DataFrame) -> DataFrame:
+    return kyc_copies(farmers, kyc).groupBy("center_code").agg(F.sum("copies").alias("pending_kyc"))
+
+
+def _of(df: DataFrame, farmers: DataFrame, scope: str | None) -> DataFrame:
+    """What belongs to the farmers of one center; all of it without a scope."""
+    return df if scope is None else of_farmers(df, farmers)
+
+
 def pending_kyc_count(tables: Mapping[str, DataFrame], scope: str | None = None) -> DataFrame:
     """Farmers of a center without a decided KYC, with or without a loan."""
     farmers = _in_center(tables["farmer"], scope).select("center_code", "farmer_code")
-    pending = kyc_copies(farmers, tables["kyc"])
     if scope is None:
-        return pending.groupBy("center_code").agg(F.sum("copies").alias("pending_kyc"))
+        return pending_per_center(farmers, tables["kyc"])
+    pending = kyc_copies(farmers, of_farmers(tables["kyc"], farmers))
     return pending.agg(F.coalesce(F.sum("copies"), F.lit(0).cast("bigint")).alias("pending_kyc"))
 
 
@@ -55,7 +64,8 @@ def pending_kyc(
     farmers = _in_center(tables["farmer"], scope).select(
         "center_code", "farmer_code", "person_id", "registration_date"
     )
-    waiting = with_loan(kyc_copies(farmers, tables["kyc"]), tables["loan"])
+    kyc, loan = (_of(tables[name], farmers, scope) for name in ("kyc", "loan"))
+    waiting = with_loan(kyc_copies(farmers, kyc), loan)
     rows = replicate(_with_person(waiting, tables), "copies")
     return present(
         rows,
@@ -146,7 +156,8 @@ def outreach(
     farmers = _in_center(tables["farmer"], scope).select(
         "center_code", "farmer_code", "person_id", "registration_date"
     )
-    untouched = without_loan(kyc_copies(farmers, tables["kyc"]), tables["loan"])
+    kyc, loan = (_of(tables[name], farmers, scope) for name in ("kyc", "loan"))
+    untouched = without_loan(kyc_copies(farmers, kyc), loan)
     rows = replicate(_with_person(untouched, tables), "copies").withColumn(
         "days_since_reg", days_since(as_of_column(as_of), F.col("registration_date"))
     )
@@ -170,19 +181,19 @@ def pending_purchases(
     tables: Mapping[str, DataFrame], scope: str | None = None, ordered: bool | None = None
 ) -> DataFrame:
     """Confirmed purchases of a center's farmers with their totals, to be delivered."""
-    totals = (
-        tables["ordered_item"]
-        .where(F.col("purchase_id").isNotNull())
-        .groupBy("purchase_id")
-        .agg(F.sum("total_cost").alias("total"))
-    )
     confirmed = (
         tables["purchase"]
         .where("payment_status = 'CONFIRMED'")
         .select("purchase_id", "farmer_code", "purchase_date", "payment_method")
-        .join(totals, "purchase_id", "left")
     )
-    rows = confirmed.join(_in_center(farmer_person(tables), scope), "farmer_code")
+    items = tables["ordered_item"].where(F.col("purchase_id").isNotNull())
+    if scope is not None:
+        confirmed = of_farmers(confirmed, _in_center(tables["farmer"], scope))
+        items = items.join(confirmed.select("purchase_id"), "purchase_id", "left_semi")
+    totals = items.groupBy("purchase_id").agg(F.sum("total_cost").alias("total"))
+    rows = confirmed.join(totals, "purchase_id", "left").join(
+        _in_center(farmer_person(tables), scope), "farmer_code"
+    )
     return present(
         rows,
         "center_code",

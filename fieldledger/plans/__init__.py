@@ -8,7 +8,9 @@ from fieldledger.plans.fragments import (
     loans_per_farmer,
     lookup,
     needed,
+    of_farmers,
     replicate,
+    the_one,
     with_loan,
     without_loan,
 )
@@ -23,9 +25,11 @@ __all__ = [
     "lookup",
     "needed",
     "numbered",
+    "of_farmers",
     "present",
     "ranked",
     "replicate",
+    "the_one",
     "with_loan",
     "without_loan",
 ]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Most copies of a row that one array holds while rows are replicated.
-_COPIES_AT_ONCE = 10_000
+_COPIES_AT_ONCE = 1_000
 
 
 def farmer_person(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -125,13 +125,28 @@ def without_loan(farmers: DataFrame, loan: DataFrame) -> DataFrame:
     return farmers.join(owners, "farmer_code", "left_anti")
 
 
+def of_farmers(df: DataFrame, farmers: DataFrame) -> DataFrame:
+    """The rows of ``df`` that belong to one of ``farmers``; below an aggregation it spares the others."""
+    return df.join(farmers.select("farmer_code"), "farmer_code", "left_semi")
+
+
+def the_one(rows: DataFrame, what: str) -> DataFrame:
+    """``rows`` if there is at most one; two are an error when the query runs."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*rows.columns)).alias("row")).where("n > 0")
+    error = F.raise_error(F.lit(f"more than one {what}"))
+    return found.select(F.when(F.col("n") > 1, error).otherwise(F.col("row")).alias("row")).select("row.*")
+
+
 def replicate(df: DataFrame, copies: str) -> DataFrame:
-    """Each row ``copies`` times. Two short arrays, so a large number needs little memory."""
+    """Each row ``copies`` times, in two steps: rows are dealt to tasks by chunks of copies in between, so a large
+    number of copies of one row is made by many tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     step = F.lit(_COPIES_AT_ONCE).cast("bigint")
     first = F.lit(0).cast("bigint")
     left = F.col(copies) - F.col("_chunk") * step
     return (
         df.withColumn("_chunk", F.explode(F.sequence(first, F.floor((F.col(copies) - 1) / step))))
+        .repartition(parts, "farmer_code", "_chunk")
         .withColumn("_copy", F.explode(F.sequence(first + 1, F.least(step, left))))
         .drop("_chunk", "_copy", copies)
     )

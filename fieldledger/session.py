@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Checkpoints whose DataFrame is gone are deleted.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Streaming state on disk, so that it may be larger than the memory of the executors.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,13 +40,13 @@ def build_session(app_name: str = "fieldledger", master: str | None = None, **ex
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a machine-local folder
-    is lost with its machine.
+    Only a session in one process may fall back to a temporary folder, for trials; nobody clears it. On a cluster a
+    machine-local folder is lost with its machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fieldledger-")
     if context.getCheckpointDir() is None:

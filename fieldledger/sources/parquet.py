@@ -18,12 +18,20 @@ def table_path(base: str, name: str, version: int | None = None) -> str:
     return path if version is None else f"{path}/version={version}"
 
 
-def parquet_tables(spark: SparkSession, base: str, versions: Mapping[str, int] | None = None) -> Tables:
-    """All tables below ``base``; ``versions`` picks a version where a table has several."""
+def parquet_tables(
+    spark: SparkSession, base: str, versions: Mapping[str, int] | None = None, blank_is_null: bool = False
+) -> Tables:
+    """All tables below ``base``; ``versions`` picks a version where a table has several.
+
+    ``blank_is_null`` reads empty text as NULL, for tables that :func:`write_table` has not written."""
     versions = versions or {}
 
     def opener(name: str):
-        return lambda: spark.read.schema(SCHEMAS[name]).parquet(table_path(base, name, versions.get(name)))
+        def read() -> DataFrame:
+            df = spark.read.schema(SCHEMAS[name]).parquet(table_path(base, name, versions.get(name)))
+            return _empty_text_to_null(df) if blank_is_null else df
+
+        return read
 
     return Tables({name: opener(name) for name in SCHEMAS})
 

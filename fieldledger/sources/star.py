@@ -159,14 +159,18 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
             f"case when {verified} then 'PENDING' end land_legal_status",
         )
 
+    # Every order is a loan or a purchase. Some farmers have no loan, others no purchase: theirs go to a neighbour.
+    borrower = "case when o_custkey % 4 = 0 then o_custkey + 1 else o_custkey end"
+    buyer = "case when o_custkey % 3 = 2 then o_custkey - 1 else o_custkey end"
+
     def loan() -> DataFrame:
         day = "cast(cast(o_orderdate as date) as timestamp_ntz)"
         return (
             raw["orders"]
-            .where("o_orderkey % 3 = 0 and o_custkey % 4 <> 0")
+            .where("o_orderkey % 3 = 0")
             .selectExpr(
                 "o_orderkey loan_no",
-                f"{_code('F', 'o_custkey', 8)} farmer_code",
+                f"{_code('F', borrower, 8)} farmer_code",
                 "cast(o_totalprice as decimal(18,2)) amount",
                 "cast(5 + o_orderkey % 10 as double) interest_rate",
                 "cast(6 + o_orderkey % 31 as int) tenure_months",
@@ -199,11 +203,12 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
     def purchase() -> DataFrame:
         return (
             raw["orders"]
-            .where("o_orderkey % 3 <> 0 and o_custkey % 3 <> 2")
+            .where("o_orderkey % 3 <> 0")
+            .withColumn("buyer", F.expr(buyer))
             .select(
                 F.col("o_orderkey").alias("purchase_id"),
-                F.expr(_code("F", "o_custkey", 8)).alias("farmer_code"),
-                agent_of("o_custkey").alias("agent_code"),
+                F.expr(_code("F", "buyer", 8)).alias("farmer_code"),
+                agent_of("buyer").alias("agent_code"),
                 F.expr("cast(o_orderdate as timestamp_ntz)").alias("purchase_date"),
                 F.expr(
                     "case when o_orderpriority = '4-NOT SPECIFIED' then null else substr(o_orderpriority, 3) end"

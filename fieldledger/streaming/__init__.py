@@ -1,6 +1,7 @@
 """Decisions and logins as streams: running folds, and tables read through them."""
 
 from fieldledger.streaming.folds import (
+    compact_folds,
     current_kyc,
     current_person,
     latest_folds,
@@ -8,4 +9,11 @@ from fieldledger.streaming.folds import (
     start_login_folds,
 )
 
-__all__ = ["current_kyc", "current_person", "latest_folds", "start_decision_folds", "start_login_folds"]
+__all__ = [
+    "compact_folds",
+    "current_kyc",
+    "current_person",
+    "latest_folds",
+    "start_decision_folds",
+    "start_login_folds",
+]

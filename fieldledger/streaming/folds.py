@@ -1,14 +1,16 @@
 """Running folds of decision and login streams.
 
-Each micro-batch writes the folds that it changed to ``batch_id=<n>`` of a Parquet folder, so its
-cost follows the batch and not the KYC or person table. A repeated batch overwrites its own folder.
-The tables are read by joining the newest fold of each key; to compact, write what is read as the
-next table version. Folds are maxima over all input so far: late or reordered events change
-nothing, and no watermark is needed for a right answer.
+Each micro-batch writes the folds that it changed to ``run=<query id>/batch_id=<n>`` of a Parquet folder, so its
+cost follows the batch and not the KYC or person table. A repeated batch overwrites its own folder, and a stream
+with another checkpoint writes beside the first. Folds are maxima that begin with their moment: they are merged by
+maximum when they are read, so late, reordered or repeated events change nothing, and no watermark is needed for a
+right answer. :func:`compact_folds` writes the merged folds once.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,16 +20,24 @@ from fieldledger.operators.kyc import apply_fold, fold_decisions
 
 
 def _start(folded: DataFrame, folder: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    run: list[str] = []
+    named = threading.Event()
+
     def write_batch(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        named.wait()
+        changed.write.mode("overwrite").parquet(f"{folder}/run={run[0]}/batch_id={batch_id}")
 
-    return (
+    query = (
         folded.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(write_batch)
         .start()
     )
+    # The id is kept in the checkpoint: the same after a restart, another one with another checkpoint.
+    run.append(query.id)
+    named.set()
+    return query
 
 
 def start_decision_folds(
@@ -45,14 +55,18 @@ def start_login_folds(
 
 
 def latest_folds(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The newest fold of each key over all batches written so far."""
+    """The fold of each key over all that was written so far: the maximum of each value."""
     folds = spark.read.parquet(folder)
-    values = [c for c in folds.columns if c not in (key, "batch_id")]
-    return (
-        folds.groupBy(key)
-        .agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("newest"))
-        .select(key, "newest.*")
-    )
+    values = [c for c in folds.columns if c not in (key, "run", "batch_id")]
+    return folds.groupBy(key).agg(*(F.max(c).alias(c) for c in values))
+
+
+def compact_folds(spark: SparkSession, folder: str, key: str, into: str) -> str:
+    """Write the merged folds of ``folder`` as the first run of the new folder ``into`` and return it.
+
+    Stop the stream before, and start it again with the same checkpoint and the new folder."""
+    latest_folds(spark, folder, key).write.parquet(f"{into}/run=compacted/batch_id=0")
+    return into
 
 
 def current_kyc(kyc: DataFrame, folder: str, field_agent: DataFrame) -> DataFrame:

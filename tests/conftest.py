@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import sys
 from pathlib import Path
 
@@ -7,6 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+import __spark_entry__ as contract
 from checks.compare import duck
 from fieldledger.schemas import SCHEMAS
 from fieldledger.session import build_session
@@ -15,6 +17,11 @@ from fieldledger.sources import Tables, star_tables
 DATA = "/root/testdata/sf0.01"
 
 
+def field_queries() -> list[str]:
+    """The registered queries but those on training data, which have tests of their own."""
+    return [n for n in contract.queries() if not re.match(r"op\d+_|pipeline$", n)]
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldledger import functions as fn
-from fieldledger.functions.labels import LABELS
+from checks.oracle import EXPECTED_LABELS
 
 
 def values(spark, column, rows, ddl="x STRING"):
@@ -113,7 +113,7 @@ def test_labels(spark):
     def shown(domain, code, language="bn"):
         return values(spark, fn.label(domain, F.col("x"), language), [code])[0]
 
-    for domain, codes in LABELS.items():
+    for domain, codes in EXPECTED_LABELS.items():
         for code, (english, bengali) in codes.items():
             assert shown(domain, code, "en") == english
             assert re.search(r"[ঀ-৿]", bengali) and shown(domain, code) == bengali

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from fieldledger import operators as op
-from tests.conftest import DATA
+from tests.conftest import DATA, field_queries
 
 
 def initial_plan(df):
@@ -29,7 +29,7 @@ def shuffled_joins(settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
 
 
-BATCH = [n for n in contract.queries() if not n.endswith("_stream") and not n.startswith("registration")]
+BATCH = [n for n in field_queries() if not n.endswith("_stream") and not n.startswith("registration")]
 
 
 @pytest.mark.parametrize("name", BATCH)

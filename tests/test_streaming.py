@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldledger import operators as op
 from fieldledger.schemas import SCHEMAS
-from fieldledger.streaming import current_kyc, current_person, latest_folds, start_decision_folds, start_login_folds
+from fieldledger.streaming import compact_folds, current_kyc, current_person, latest_folds, start_decision_folds, start_login_folds
 from tests.test_writes import AGENTS, FIELD_AGENTS, START, as_dicts, attempt, one_at_a_time, person, random_case
 
 
@@ -65,3 +65,30 @@ def test_the_newest_fold_of_a_key_counts(spark, tmp_path):
         spark.createDataFrame(rows, "identity STRING, login_at TIMESTAMP_NTZ").write.parquet(f"{tmp_path}/batch_id={batch}")
     got = latest_folds(spark, str(tmp_path), "identity").collect()
     assert [r.login_at for r in got] == [START + timedelta(minutes=3)]
+
+
+def test_another_checkpoint_over_the_same_folder_loses_nothing(spark, made, tmp_path):
+    kyc, decisions = random_case(13)
+    t = made(kyc=kyc, field_agent=FIELD_AGENTS)
+    ordered = sorted(decisions, key=lambda d: (d["decided_at"], d["decision_id"]))
+    half = len(ordered) // 2
+    for name, part, batches in (("a", ordered[:half], 3), ("b", ordered[half:], 1), ("c", ordered[:half], 1)):
+        stream = files(spark, list(part), SCHEMAS["kyc_decision"], f"{tmp_path}/in-{name}", batches)
+        start_decision_folds(stream, f"{tmp_path}/folds", f"{tmp_path}/checkpoint-{name}").awaitTermination()
+    got = current_kyc(t["kyc"], f"{tmp_path}/folds", t["field_agent"])
+    assert as_dicts(got) == one_at_a_time(kyc, decisions, AGENTS)
+
+
+def test_compaction_between_batches(spark, made, tmp_path):
+    kyc, decisions = random_case(14)
+    t = made(kyc=kyc, field_agent=FIELD_AGENTS)
+    checkpoint = f"{tmp_path}/checkpoint"
+    files(spark, decisions[:20], SCHEMAS["kyc_decision"], f"{tmp_path}/in", 3)
+    stream = spark.readStream.schema(SCHEMAS["kyc_decision"]).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start_decision_folds(stream, f"{tmp_path}/folds", checkpoint).awaitTermination()
+    folder = compact_folds(spark, f"{tmp_path}/folds", "farmer_code", f"{tmp_path}/compact")
+    assert spark.read.parquet(folder).select("batch_id", "run").distinct().count() == 1
+    files(spark, decisions[20:], SCHEMAS["kyc_decision"], f"{tmp_path}/in", 2)
+    start_decision_folds(stream, folder, checkpoint).awaitTermination()
+    got = current_kyc(t["kyc"], folder, t["field_agent"])
+    assert as_dicts(got) == one_at_a_time(kyc, decisions, AGENTS)
