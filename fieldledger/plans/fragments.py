@@ -146,7 +146,7 @@ def replicate(df: DataFrame, copies: str) -> DataFrame:
     left = F.col(copies) - F.col("_chunk") * step
     return (
         df.withColumn("_chunk", F.explode(F.sequence(first, F.floor((F.col(copies) - 1) / step))))
-        .repartition(parts, "farmer_code", "_chunk")
+        .repartition(parts, *df.columns, "_chunk")
         .withColumn("_copy", F.explode(F.sequence(first + 1, F.least(step, left))))
         .drop("_chunk", "_copy", copies)
     )
