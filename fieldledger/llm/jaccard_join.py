@@ -43,8 +43,8 @@ from fieldledger.llm.words import mix, shingle_sets
 
 WIDTH = 4
 PERCENT = 85
-MOST_FREQUENT = 1 << 20
-COUNTED = 1 << 22
+MOST_FREQUENT = 1 << 19
+COUNTED = 1 << 21
 KNOWN = 1 << 16
 A_TASK = 1 << 21
 STAR_ROUNDS = 2
@@ -368,16 +368,17 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .sortWithinPartitions("token")
         .mapInArrow(_pruned, _LISTED_SQL)
     )
-    lists = saved(_distinct_lists(compared.unionByName(lists.where(F.col("m") > BLOCK).drop("m"))), "lists")
+    pruned = saved(compared.unionByName(lists.where(F.col("m") > BLOCK).drop("m")), "pruned")
+    lists = saved(_distinct_lists(pruned), "lists")
     # The sets in question, from one document each.
     one = own.join(lists.select("set").distinct(), "set", "left_semi").where("doc_id is not null")
     one = saved(one.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "chosen")
     asked = docs.where("doc_id is not null").where(bit_filter(one, "doc_id")("doc_id")).join(one, "doc_id")
     members = saved(
-        asked.select("set", "text").mapInArrow(partial(_wanted_sets, width=width), "set long, members binary")
-        .dropDuplicates(["set"]),
-        "sets",
+        asked.select("set", "text").mapInArrow(partial(_wanted_sets, width=width), "set long, members binary"), "sets"
     )
+    if members.count() > members.select("set").distinct().count():  # rows that repeat a doc_id
+        members = saved(members.dropDuplicates(["set"]), "sets")
     # Sets of one doc_id belong together.
     several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b"))
     several = several.where("a <> b").join(own.where("n > 0"), "doc_id").select("a", F.col("set").alias("b"))
@@ -397,8 +398,9 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        x = members.select(F.col("set").alias("a"), F.col("members").alias("x"))
-        y = members.select(F.col("set").alias("b"), F.col("members").alias("y"))
+        pairs = saved(pairs, "pairs")
+        x = members.where(bit_filter(pairs, "a")("set")).select(F.col("set").alias("a"), F.col("members").alias("x"))
+        y = members.where(bit_filter(pairs, "b")("set")).select(F.col("set").alias("b"), F.col("members").alias("y"))
         result = saved(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long, linked boolean"), "tested")
         tested = result.drop("linked") if tested is None else tested.unionByName(result.drop("linked"))
         links = links.unionByName(result.where("linked").select("a", "b"))
@@ -418,6 +420,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .otherwise(F.struct(F.lit(1).alias("kind"), F.col("canopy").alias("number"))).alias("group"),
         F.coalesce("size", "m").alias("m"),
     ).distinct()
+    grouped = saved(grouped, "groups")
     dealt = (
         grouped.withColumn("blocks", F.ceil(F.col("m") / float(BLOCK)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
@@ -430,7 +433,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             ).alias("pair"),
             (F.col("block") > F.col("partner")).cast("int").alias("side"),
         )
-        .join(members, "set")
+        .join(members.where(bit_filter(grouped, "set")("set")), "set")
         .repartition(parts, "pair")
         .sortWithinPartitions("pair")
         .select("pair", "side", "label", "members")
