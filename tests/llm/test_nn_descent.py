@@ -88,3 +88,10 @@ def test_components(spark, seed):
             parent[a] = parent[b] = min(parent[a], parent[b])
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: parent[x] for x in linked}
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    from fieldledger.llm import graph
+
+    monkeypatch.setattr(graph, "A_TASK", 7)
+    test_components(spark, 5)
