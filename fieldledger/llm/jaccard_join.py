@@ -49,6 +49,7 @@ KNOWN = 1 << 16
 A_TASK = 1 << 21
 STAR_ROUNDS = 2
 BLOCK = 1024
+BLOCK_MEMBERS = 1 << 19
 CANOPY = 8192
 
 _PROFILE = pa.schema(
@@ -221,7 +222,7 @@ def _test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each list (rows sorted by token) that may link with another one."""
+    """Members of each list (rows sorted by token) that may link with one of another label."""
     found: list[tuple[int, int, int]] = []
 
     def look(rows: list[tuple]) -> None:
@@ -231,13 +232,13 @@ def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = [np.frombuffer(r[3], np.uint8) for r in rows]
         low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
         shared = np.minimum(most_shared(marks, marks), low)
-        good = _links(shared, low, high)
-        np.fill_diagonal(good, False)
+        labels = np.array([r[4] for r in rows])
+        good = _links(shared, low, high) & (labels[:, None] != labels[None, :])
         found.extend(rows[i][:3] for i in np.flatnonzero(good.any(axis=1)))
 
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("token", "set", "n", "sketch")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("token", "set", "n", "sketch", "label")), strict=True):
             if held and row[0] != held[0][0]:
                 look(held)
                 held = []
@@ -361,15 +362,8 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lists = saved(_distinct_lists(listed), "lists")
     sketches = profile.where("kind = 0").join(lists.select(F.col("set").alias("b")).distinct(), "b", "left_semi")
     sketches = sketches.groupBy(F.col("b").alias("set")).agg(F.max("sketch").alias("sketch"))
-    compared = (
-        lists.where(F.col("m") <= BLOCK)
-        .join(sketches, "set")
-        .repartition(parts, "token")
-        .sortWithinPartitions("token")
-        .mapInArrow(_pruned, _LISTED_SQL)
-    )
-    pruned = saved(compared.unionByName(lists.where(F.col("m") > BLOCK).drop("m")), "pruned")
-    lists = saved(_distinct_lists(pruned), "lists")
+    sketches = saved(sketches, "sketches")
+    lists = saved(_distinct_lists(_without_far(_labelled(lists, None), sketches, parts)), "lists")
     # The sets in question, from one document each.
     one = own.join(lists.select("set").distinct(), "set", "left_semi").where("doc_id is not null")
     one = saved(one.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "chosen")
@@ -405,24 +399,29 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         tested = result.drop("linked") if tested is None else tested.unionByName(result.drop("linked"))
         links = links.unionByName(result.where("linked").select("a", "b"))
         labels = components(links)
+    # Lists with several components are left, and of these the members that may link with another component.
     labelled = saved(_labelled(lists.where("m > 2"), labels), "labelled")
     state = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_lists = saved(labelled.join(state.where("low <> high").select("token"), "token", "left_semi"), "open")
+    labelled = labelled.join(state.where("low <> high").select("token"), "token", "left_semi")
+    open_lists = saved(_labelled(_distinct_lists(_without_far(labelled, sketches, parts)), labels), "open")
     first = open_lists.groupBy("token").agg(F.min("set").alias("b"))
     canopies = components(open_lists.join(first, "token").select(F.col("set").alias("a"), "b"))
     sizes = canopies.groupBy("component").agg(F.count("*").alias("size"))
     small_ones = canopies.join(sizes.where(F.col("size") <= CANOPY), "component")
-    small_ones = small_ones.select(F.col("node").alias("set"), F.col("component").alias("canopy"), "size")
+    small_ones = small_ones.select(F.col("node").alias("set"), F.col("component").alias("canopy"))
     grouped = open_lists.join(small_ones, "set", "left").select(
         "set",
+        "n",
         "label",
         F.when(F.col("canopy").isNull(), F.struct(F.lit(0).alias("kind"), F.col("token").alias("number")))
         .otherwise(F.struct(F.lit(1).alias("kind"), F.col("canopy").alias("number"))).alias("group"),
-        F.coalesce("size", "m").alias("m"),
     ).distinct()
     grouped = saved(grouped, "groups")
+    # A block has about BLOCK sets and BLOCK_MEMBERS shingles at most.
+    most = F.greatest(F.count("*") / float(BLOCK), F.sum("n") / float(BLOCK_MEMBERS))
+    blocks = grouped.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"))
     dealt = (
-        grouped.withColumn("blocks", F.ceil(F.col("m") / float(BLOCK)).cast("int"))
+        grouped.join(blocks, "group")
         .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -461,6 +460,18 @@ def _distinct_lists(listed: DataFrame) -> DataFrame:
     return listed.join(tokens, "token")
 
 
+def _without_far(labelled: DataFrame, sketches: DataFrame, parts: int) -> DataFrame:
+    """Lists of up to ``BLOCK`` sets without the members that can link with none of another label; longer ones whole."""
+    compared = (
+        labelled.where(F.col("m") <= BLOCK)
+        .join(sketches, "set")
+        .repartition(parts, "token")
+        .sortWithinPartitions("token")
+        .mapInArrow(_pruned, _LISTED_SQL)
+    )
+    return saved(compared.unionByName(labelled.where(F.col("m") > BLOCK).select("token", "set", "n")), "pruned")
+
+
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("label", F.col("set"))
