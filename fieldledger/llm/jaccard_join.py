@@ -251,6 +251,18 @@ def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_LISTED, *zip(*found, strict=True))
 
 
+def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches don't rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        keep = []
+        for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True):
+            shared = most_shared([np.frombuffer(x, np.uint8)], [np.frombuffer(y, np.uint8)])[0, 0]
+            keep.append(bool(_links(min(int(shared), m, n), m, n)))
+        part = batch.filter(pa.array(keep, pa.bool_()))
+        yield record_batch(schema, part.column("a"), part.column("b"))
+
+
 def _near_sizes(m: str, n: str) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * PERCENT
 
@@ -387,12 +399,17 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         pairs = (
             labelled.join(centre, "token")
             .where((F.col("label") != F.col("c.label")) & _near_sizes("n", "c.n"))
-            .select(F.greatest("set", "c.set").alias("a"), F.least("set", "c.set").alias("b"))
+            .select(
+                F.greatest("set", "c.set").alias("a"), F.least("set", "c.set").alias("b"),
+                F.least("n", "c.n").alias("m"), F.greatest("n", "c.n").alias("n"),
+            )
             .distinct()
         )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        x = sketches.select(F.col("set").alias("a"), F.col("sketch").alias("x"))
+        y = sketches.select(F.col("set").alias("b"), F.col("sketch").alias("y"))
+        pairs = saved(pairs.join(x, "a").join(y, "b").mapInArrow(_possible, "a long, b long"), "pairs")
         x = members.where(bit_filter(pairs, "a")("set")).select(F.col("set").alias("a"), F.col("members").alias("x"))
         y = members.where(bit_filter(pairs, "b")("set")).select(F.col("set").alias("b"), F.col("members").alias("y"))
         result = saved(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long, linked boolean"), "tested")
