@@ -17,7 +17,7 @@ A_TASK = 1 << 19
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _hung(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def hung(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the same components in which every node but the smallest hangs on the smallest one."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
@@ -32,7 +32,7 @@ def _hung(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         while (label[label] != label).any():
             label = label[label]
     own = np.flatnonzero(label != np.arange(len(nodes)))
-    return record_batch(_LINKS, nodes[own], nodes[label[own]])
+    return nodes[own], nodes[label[own]]
 
 
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,10 +42,10 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         total += len(batch)
         if total >= A_TASK:
-            yield _hung(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")))
+            yield record_batch(_LINKS, *hung(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b"))))
             held, total = [], 0
     if total:
-        yield _hung(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")))
+        yield record_batch(_LINKS, *hung(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b"))))
 
 
 def _state(links: DataFrame) -> tuple:

@@ -7,10 +7,13 @@ least ``2 * t * t - 1``: two nodes that both reach the threshold ``t`` with a th
    threshold meet with probability ``1 - MISS``. Cells that hold far more nodes are split by a salt. Within a cell,
    nodes sorted by a random projection are compared in overlapping runs.
 2. Descent. Each round joins every list with the vectors of its members and those that list the node, compares
-   them with one another and merges what they learn into their lists, until few links are new.
-3. Saturation. A list full of links may hide more. Lists are enlarged without limit by comparing all nodes of a
+   them with one another and merges what they learn into their lists, until few links are new. Lists are cut to
+   ``LIST``, links are not: of the links of each run of compared nodes a spanning forest is kept for the components.
+3. Touching groups. A list full of links holds none to a group further away. Nodes with such lists search again,
+   from start and descent, for their nearest ones in other components only, until none of these is a link.
+4. Saturation. A list full of links may hide more. Lists are enlarged without limit by comparing all nodes of a
    component that has a full list, block against block; that gives counts of links, pairs are not emitted.
-4. Audit. The links of ``AUDIT`` nodes, chosen by a hash, are found by brute force; if the graph connects less than
+5. Audit. The links of ``AUDIT`` nodes, chosen by a hash, are found by brute force; if the graph connects less than
    ``RECALL`` of them, another set of tables is added and the descent goes on.
 
 Every link is decided by the cosine in double precision. Cases: vectors that are null, zero or hold null or
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.llm.common import partitions, record_batch, saved
-from fieldledger.llm.graph import components
+from fieldledger.llm.graph import components, hung
 
 CELL = 64
 RUN = 128
@@ -44,10 +47,17 @@ RECALL = 0.97
 TRIES = 4
 BLOCK = 1024
 
-_CELLS = pa.schema([("cell", pa.int64()), ("at", pa.float64()), ("node", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
-_CELLS_SQL = "cell long, at double, node long, n long, v binary"
-_LISTS = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("cos", pa.list_(pa.float64())), ("ns", pa.list_(pa.int64()))])
-_LISTS_SQL = "node long, ids array<long>, cos array<double>, ns array<long>"
+_CELLS = pa.schema(
+    [("cell", pa.int64()), ("at", pa.float64()), ("node", pa.int64())]
+    + [("own", pa.int64()), ("n", pa.int64()), ("v", pa.binary())]
+)
+_CELLS_SQL = "cell long, at double, node long, own long, n long, v binary"
+#: ``joined``: nodes that this one is linked with, directly or through others, of every run it was compared in.
+_LISTS = pa.schema(
+    [("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("cos", pa.list_(pa.float64())), ("ns", pa.list_(pa.int64()))]
+    + [("joined", pa.list_(pa.int64()))]
+)
+_LISTS_SQL = "node long, ids array<long>, cos array<double>, ns array<long>, joined array<long>"
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -94,7 +104,7 @@ def _deal(batches: Iterable[pa.RecordBatch], bits: int, tables: int, seed: int)
             at = x @ lines.T
             for t in range(tables):
                 cell = (code[:, t] * tables + t) * 65537 + int(size)
-                yield record_batch(_CELLS, cell, at[:, t], *(part.column(c) for c in ("node", "n", "v")))
+                yield record_batch(_CELLS, cell, at[:, t], *(part.column(c) for c in ("node", "own", "n", "v")))
 
 
 def _best(node: int, ids: np.ndarray, cos: np.ndarray, ns: np.ndarray, most: int) -> tuple:
@@ -103,14 +113,19 @@ def _best(node: int, ids: np.ndarray, cos: np.ndarray, ns: np.ndarray, most: int
     return node, ids[order], cos[first][order], ns[first][order]
 
 
-def _compare(ids: np.ndarray, ns: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple]:
-    """For each node its nearest ones among the others."""
+def _compare(
+    ids: np.ndarray, own: np.ndarray, ns: np.ndarray, x: np.ndarray, threshold: float, least: float
+) -> Iterator[tuple]:
+    """For each node its nearest ones among those of another ``own``, and the node that its links here lead to."""
     cos = x @ x.T
-    np.fill_diagonal(cos, -2)
-    cos[ids[:, None] == ids[None, :]] = -2
+    cos[own[:, None] == own[None, :]] = -2
+    linked = np.nonzero(cos >= threshold)
+    leads = hung(ids[linked[0]], ids[linked[1]]) if len(linked[0]) else ()
+    root = dict(zip(*(c.tolist() for c in leads), strict=True)) if leads else {}
     for i in np.flatnonzero((cos >= least).any(axis=1)):
         near = np.flatnonzero(cos[i] >= least)
-        yield _best(int(ids[i]), ids[near], cos[i, near], ns[near], LIST)
+        node = int(ids[i])
+        yield *_best(node, ids[near], cos[i, near], ns[near], LIST), [root[node]] if node in root else []
 
 
 def _lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -146,31 +161,35 @@ def _stack(rows: list[dict]) -> np.ndarray:
     return np.array([np.frombuffer(r["v"], np.float64) for r in rows])
 
 
-def _start(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _start(batches: Iterable[pa.RecordBatch], threshold: float, least: float) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(batches, "cell", RUN):
         if len(rows) > 1:
-            yield from _lists(list(_compare(*_columns(rows, "node", "n"), _stack(rows), least)))
+            yield from _lists(list(_compare(*_columns(rows, "node", "own", "n"), _stack(rows), threshold, least)))
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for node, rows in _grouped(batches, "node", 256):
         parts = [np.concatenate([np.array(r[c], t) for r in rows]) for c, t in (("ids", np.int64), ("cos", float), ("ns", np.int64))]
-        yield from _lists([_best(node, *parts, LIST)])
+        joined = np.unique(np.concatenate([np.array(r["joined"], np.int64) for r in rows]))
+        yield from _lists([(*_best(node, *parts, LIST), joined)])
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """One list per node. A node found in very many places is first merged within what each task holds."""
+def _merged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One list per node, stored, and the links that the runs were joined by. A node found in very many places is
+    first merged within what each task holds; its links leave it there."""
     parts = partitions(found.sparkSession)
-    near = found.sortWithinPartitions("node").mapInArrow(_merge, _LISTS_SQL)
+    near = saved(found.sortWithinPartitions("node").mapInArrow(_merge, _LISTS_SQL), "found")
+    joined = near.select(F.col("node").alias("a"), F.explode("joined").alias("b")).distinct()
+    near = near.withColumn("joined", F.array().cast("array<long>"))
     near = near.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_merge, _LISTS_SQL)
     # Long runs of one node overlap and leave several lists; the last merge sees few of them.
-    return near.sortWithinPartitions("node").mapInArrow(_merge, _LISTS_SQL)
+    return saved(near.sortWithinPartitions("node").mapInArrow(_merge, _LISTS_SQL), "lists"), saved(joined, "joined")
 
 
-def _round(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _round(batches: Iterable[pa.RecordBatch], threshold: float, least: float) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(batches, "at", RUN):
         if len(rows) > 1:
-            yield from _lists(list(_compare(*_columns(rows, "node", "n"), _stack(rows), least)))
+            yield from _lists(list(_compare(*_columns(rows, "node", "own", "n"), _stack(rows), threshold, least)))
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -180,6 +199,7 @@ def _pairs(lists: DataFrame) -> DataFrame:
 
 
 def _tables(nodes: DataFrame, count: int, threshold: float, least: float, seed: int) -> DataFrame:
+    """Lists of what the cells of one set of tables hold, not merged."""
     bits = max(1, round(math.log2(max(2, count / CELL))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     tables = max(2, math.ceil(math.log(MISS) / math.log(1 - meet)))
@@ -195,24 +215,62 @@ def _tables(nodes: DataFrame, count: int, threshold: float, least: float, seed:
     runs = (
         salted.repartition(partitions(nodes.sparkSession), "cell", "salt")
         .sortWithinPartitions("cell", "salt", "at", "node")
-        .select("cell", "at", "node", "n", "v")
+        .select("cell", "at", "node", "own", "n", "v")
     )
-    return _merged(runs.mapInArrow(partial(_start, least=least), _LISTS_SQL))
+    return runs.mapInArrow(partial(_start, threshold=threshold, least=least), _LISTS_SQL)
 
 
-def _descend(nodes: DataFrame, lists: DataFrame, least: float) -> DataFrame:
-    """One round: members of a list, and those that list the same node, learn of one another."""
-    pairs = _pairs(lists).select("node", "other")
+def _descend(
+    nodes: DataFrame, lists: DataFrame, threshold: float, least: float, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """One round: members of a list (or of one in ``known``), and those that list the same node, learn of one another."""
+    pairs = _pairs(lists if known is None else lists.unionByName(known)).select("node", "other")
     seen = pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
     seen = seen.unionByName(lists.select("node", F.col("node").alias("other"))).distinct()
     meet = (
         seen.withColumnRenamed("node", "at")
-        .join(nodes.select(F.col("node").alias("other"), "n", "v"), "other")
-        .select("at", F.col("other").alias("node"), "n", "v")
+        .join(nodes.select(F.col("node").alias("other"), "own", "n", "v"), "other")
+        .select("at", F.col("other").alias("node"), "own", "n", "v")
         .repartition(partitions(nodes.sparkSession), "at")
         .sortWithinPartitions("at", F.xxhash64("node"))
     )
-    return _merged(meet.mapInArrow(partial(_round, least=least), _LISTS_SQL).unionByName(lists))
+    found = meet.mapInArrow(partial(_round, threshold=threshold, least=least), _LISTS_SQL)
+    return _merged(found.unionByName(lists))
+
+
+def _across(
+    nodes: DataFrame, lists: DataFrame, links: DataFrame, threshold: float, least: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those between their components that full lists hid, and the components of all. Such a link has a full list at
+    both ends, so only these nodes search, and only for nodes of other components."""
+    groups = saved(components(links), "groups")
+    full = saved(
+        nodes.drop("own").join(lists.where((F.size("ids") >= LIST) & (F.array_min("cos") >= threshold)).select("node"), "node"),
+        "full",
+    )
+    near = saved(lists.join(full.select("node"), "node", "left_semi"), "lists")
+    count = full.count()
+    while count:
+        apart = saved(full.join(groups.withColumnRenamed("component", "own"), "node"), "apart")
+        if apart.select("own").distinct().limit(2).count() < 2:
+            break
+        other, fresh = _merged(_tables(apart, count, threshold, least, seed))
+        reached = _reach(other)
+        for _ in range(ROUNDS if reached else 0):
+            other, more = _descend(apart, other, threshold, least, near)
+            fresh = fresh.unionByName(more)
+            before, reached = reached, _reach(other)
+            if reached - before <= FEW * reached:
+                break
+        if fresh.isEmpty():
+            break
+        links = links.unionByName(fresh)
+        groups = saved(components(links), "groups")
+    return links, groups
+
+
+def _reach(lists: DataFrame) -> float:
+    return lists.agg(F.sum(F.aggregate("cos", F.lit(0.0), lambda a, c: a + c))).first()[0] or 0.0
 
 
 def _links(lists: DataFrame, threshold: float) -> DataFrame:
@@ -305,25 +363,27 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, seed: int = 1) ->
         "nodes",
     )
     # A node's number is the smallest id of its rows; an id with several forms would be several nodes of one number.
-    nodes = forms
+    nodes = forms.withColumn("own", F.col("node"))
     count = nodes.count()
-    lists, groups = None, None
+    lists, groups, links = None, None, None
     for attempt in range(TRIES):
         found = _tables(nodes, count, threshold, least, seed + attempt)
-        lists = saved(found if lists is None else _merged(found.unionByName(lists)), "lists")
+        lists, joined = _merged(found if lists is None else found.unionByName(lists))
+        links = joined if links is None else links.unionByName(joined)
         known = _links(lists, threshold).count()
         for _ in range(ROUNDS):
-            lists = saved(_descend(nodes, lists, least), "lists")
+            lists, joined = _descend(nodes, lists, threshold, least)
+            links = links.unionByName(joined)
             before, known = known, _links(lists, threshold).count()
             if known - before <= FEW * known:
                 break
-        groups = saved(components(_links(lists, threshold)), "groups")
+        links, groups = _across(nodes, lists, links, threshold, least, seed + attempt)
         if audit(nodes, groups, threshold) >= RECALL:
             break
-    links = saved(_counted(nodes, lists, groups, threshold), "counts")
+    counts = saved(_counted(nodes, lists, groups, threshold), "counts")
     state = (
         nodes.join(groups, "node", "left")
-        .join(links, "node", "left")
+        .join(counts, "node", "left")
         .select("v", "n", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     own = vectors.select("vec_id", "v").join(state, "v").groupBy("vec_id").agg(

@@ -61,6 +61,22 @@ def test_crowded_cells_and_blocks(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def touching(size, cosine, spread, seed, width=24):
+    """Two groups around centres of the given cosine: most links across, but none among the 12 nearest of a node."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(width, 2)))[0].T
+    centres = [a, cosine * a + math.sqrt(1 - cosine * cosine) * b]
+    return [(3 * i + 1, (centres[i % 2] + spread * rng.normal(size=width)).tolist()) for i in range(2 * size)]
+
+
+@pytest.mark.parametrize("size,cosine,spread", [(40, 0.965, 0.004), (40, 0.945, 0.008), (300, 0.94, 0.008)])
+def test_touching_groups(spark, size, cosine, spread):
+    rows = touching(size, cosine, spread, 4)
+    want = brute(rows)
+    assert {c for _, _, c in want} == {1}
+    assert found(spark, rows) == want
+
+
 def test_recall_near_the_threshold(spark):
     rows = clustered([3] * 120, 0.15, 3)
     want, got = brute(rows), found(spark, rows)
