@@ -67,7 +67,7 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT).findall
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
@@ -100,6 +100,9 @@ class _Words(dict):
         """All ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(a in text for a in self.added):
+            # Added tokens are cut out before words are split, and may take the space beside them.
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = text.split(" ") if _TWO_SPACES.search(text) is None else _BREAK.split(text)
         first = self.encode(pieces[0]) if pieces[0] else b""
         return first + b"".join(map(self.__getitem__, pieces[1:]))

@@ -131,3 +131,18 @@ def test_store_of_nothing_and_wrong_dictionary(spark):
     spark.createDataFrame([("00", bytearray(b"x"))], "dict_hash string, dictionary binary").write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError):
         token_store.read_store(spark, path)
+
+
+def test_added_tokens_equal_the_unchanged_library(spark):
+    plain = Tokenizer.from_file(BYTES)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "日本 <|endoftext|>語", "<|endoftext| >", "tail"]
+    for text in texts:
+        assert byte_ids(text) == plain.encode(text, add_special_tokens=False).ids
+    path = fresh_dir(spark, "store")
+    token_store.write_store(documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), path, BYTES)
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = plain.encode(t, add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), ids))
+        start += len(ids)
+    assert sorted(tuple(r) for r in token_store.read_store(spark, path).collect()) == want
