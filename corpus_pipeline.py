@@ -1,7 +1,7 @@
 """A training corpus built from ``documents``: five stages, each stored as Parquet and read again by the next.
 
 1. quality classifier: documents scored below the threshold go.
-2. n-gram Jaccard join: of each group of near copies the document with the smallest doc_id stays; rows without a
+2. n-gram Jaccard join, on shingles of ``NEAR_WORDS`` words and a similarity of ``NEAR_PERCENT`` / 100: of each group of near copies the document with the smallest doc_id stays; rows without a
    doc_id stay, rows that repeat one become one.
 3. suffix-array dedup: byte strings that repeat anywhere in what is left are cut out of the texts.
 4. mixing: documents are taken as often as their source's target weight asks, and shuffled over shards.
@@ -24,6 +24,11 @@ from fieldledger.llm.common import reach_workers, saved, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: The near-copy stage; the operator by itself has other defaults.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,7 +36,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
-    found = jaccard_join.similar(docs).where("component_id = doc_id")
+    found = jaccard_join.similar(docs, NEAR_WORDS, NEAR_PERCENT).where("component_id = doc_id")
     named = docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     named = named.select(*[f"`{c}`" for c in docs.columns])
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

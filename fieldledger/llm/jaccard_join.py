@@ -1,7 +1,7 @@
 """N-gram Jaccard join of documents: small sets by subsets of fixed size, large sets by inverted lists.
 
-A document's set holds its distinct shingles of four words, as 64-bit hashes. Two sets link when their Jaccard
-similarity is at least ``PERCENT`` / 100; linked documents form components.
+A document's set holds its distinct shingles of ``width`` words (four by default), as 64-bit hashes. Two sets link when
+their Jaccard similarity is at least ``percent`` / 100 (``PERCENT`` by default); linked documents form components.
 
 1. Equal sets are one set, named by a 64-bit hash of all its shingles.
 2. Shingles are ordered: frequent ones last, by frequency, the others first, by hash. All documents count; what a
@@ -21,7 +21,7 @@ similarity is at least ``PERCENT`` / 100; linked documents form components.
    pairs of a group are never rows.
 
 Comparisons are exact on the hashes. Cases: an empty set (null text, no words) links with nothing; fewer words than
-four make one shingle; documents without doc_id link with nothing and have no component; rows that repeat a doc_id
+a shingle has make one; documents without doc_id link with nothing and have no component; rows that repeat a doc_id
 are one node with several sets; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -125,20 +125,20 @@ def _profile(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield counted()
 
 
-def _need(n: int) -> int:
+def _need(n: int, percent: int) -> int:
     """Shingles that a set of ``n`` shares at least with any that it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def boundary(sizes: list[tuple[int, int]], scan: float) -> int:
+def boundary(sizes: list[tuple[int, int]], scan: float, percent: int = PERCENT) -> int:
     """The largest small set: for pairs of size and number, subsets cost one row each, a posting in an inverted list
     itself and ``scan`` entries of its list."""
     best, least, subsets = 0, math.inf, 0.0
-    lists = [(n, k * (n - _need(n) + 1) * (1 + scan)) for n, k in sorted(sizes)]
+    lists = [(n, k * (n - _need(n, percent) + 1) * (1 + scan)) for n, k in sorted(sizes)]
     for i, (n, k) in enumerate([(0, 0), *sorted(sizes)]):
-        p = n - _need(n) + 2
+        p = n - _need(n, percent) + 2
         subsets += k * p * (p - 1) / 2
-        cost = subsets + sum(c for m, c in lists if 100 * m > PERCENT * n)
+        cost = subsets + sum(c for m, c in lists if 100 * m > percent * n)
         if cost < least:
             best, least = n, cost
         if subsets > least:
@@ -146,9 +146,9 @@ def boundary(sizes: list[tuple[int, int]], scan: float) -> int:
     return best
 
 
-def _signatures(s: np.ndarray, frequent: np.ndarray, places: np.ndarray, small: int) -> np.ndarray:
+def _signatures(s: np.ndarray, frequent: np.ndarray, places: np.ndarray, small: int, percent: int) -> np.ndarray:
     n = len(s)
-    first = n - _need(n) + 1
+    first = n - _need(n, percent) + 1
     at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
     hit = frequent[at] == s if len(frequent) else np.zeros(n, bool)
     order = s[~hit][: first + 1]
@@ -156,7 +156,7 @@ def _signatures(s: np.ndarray, frequent: np.ndarray, places: np.ndarray, small:
         often = s[hit]
         order = np.concatenate((order, often[np.argsort(places[at[hit]], kind="stable")][: first + 1 - len(order)]))
     out = []
-    if 100 * n > PERCENT * small:
+    if 100 * n > percent * small:
         out.append(order[:first])
     if 2 <= n <= small:
         i, j = np.triu_indices(min(first + 1, n), 1)
@@ -164,7 +164,9 @@ def _signatures(s: np.ndarray, frequent: np.ndarray, places: np.ndarray, small:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _signed(batches, width: int, frequent: np.ndarray, places: np.ndarray, small: int) -> Iterator[np.ndarray]:
+def _signed(
+    batches, width: int, percent: int, frequent: np.ndarray, places: np.ndarray, small: int
+) -> Iterator[np.ndarray]:
     """The postings of each slice of a task; an equal set is posted once for all that are met again soon."""
     known: set[int] = set()
     for part, sets, names in _sets(batches, width):
@@ -174,7 +176,7 @@ def _signed(batches, width: int, frequent: np.ndarray, places: np.ndarray, small
             if not len(s) or not ok or name in known:
                 continue
             known.add(name)
-            tokens = np.unique(_signatures(s, frequent, places, small))
+            tokens = np.unique(_signatures(s, frequent, places, small, percent))
             rows = np.empty(len(tokens), _POSTING)
             rows["key"], rows["set"], rows["n"], rows["seen"] = tokens, name, len(s), 1
             found.append(rows)
@@ -184,8 +186,8 @@ def _signed(batches, width: int, frequent: np.ndarray, places: np.ndarray, small
             yield np.concatenate(found)
 
 
-def _postings(batches, width: int, frequent: np.ndarray, places: np.ndarray, small: int, buckets: int):
-    return dealt(_signed(batches, width, frequent, places, small), buckets)
+def _postings(batches, width: int, percent: int, frequent: np.ndarray, places: np.ndarray, small: int, buckets: int):
+    return dealt(_signed(batches, width, percent, frequent, places, small), buckets)
 
 
 _LISTED = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
@@ -205,11 +207,11 @@ def _wanted_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.R
         yield record_batch(schema, names[right], [sets[i].tobytes() for i in right])
 
 
-def _links(shared: np.ndarray | int, m: np.ndarray | int, n: np.ndarray | int) -> np.ndarray | bool:
-    return 100 * shared >= PERCENT * (m + n - shared)
+def _links(shared: np.ndarray | int, m: np.ndarray | int, n: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    return 100 * shared >= percent * (m + n - shared)
 
 
-def _test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _test(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
     for batch in batches:
         linked = []
@@ -217,11 +219,11 @@ def _test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.concatenate((x, y))
             both.sort(kind="stable")
-            linked.append(bool(_links(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
+            linked.append(bool(_links(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)))
         yield record_batch(schema, batch.column("a"), batch.column("b"), linked)
 
 
-def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pruned(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Members of each list (rows sorted by token) that may link with one of another label."""
     found: list[tuple[int, int, int]] = []
 
@@ -233,7 +235,7 @@ def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
         shared = np.minimum(most_shared(marks, marks), low)
         labels = np.array([r[4] for r in rows])
-        good = _links(shared, low, high) & (labels[:, None] != labels[None, :])
+        good = _links(shared, low, high, percent) & (labels[:, None] != labels[None, :])
         found.extend(rows[i][:3] for i in np.flatnonzero(good.any(axis=1)))
 
     held: list[tuple] = []
@@ -251,20 +253,20 @@ def _pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_LISTED, *zip(*found, strict=True))
 
 
-def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that their sketches don't rule out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         keep = []
         for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True):
             shared = most_shared([np.frombuffer(x, np.uint8)], [np.frombuffer(y, np.uint8)])[0, 0]
-            keep.append(bool(_links(min(int(shared), m, n), m, n)))
+            keep.append(bool(_links(min(int(shared), m, n), m, n, percent)))
         part = batch.filter(pa.array(keep, pa.bool_()))
         yield record_batch(schema, part.column("a"), part.column("b"))
 
 
-def _near_sizes(m: str, n: str) -> Column:
-    return F.least(m, n) * 100 >= F.greatest(m, n) * PERCENT
+def _near_sizes(m: str, n: str, percent: int) -> Column:
+    return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -286,7 +288,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _joined(rows: list[dict]) -> list[tuple[int, int]]:
+def _joined(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     """Links between members of different components of one list, as many as join the components."""
     sides = [[r for r in rows if r["side"] == s] for s in (0, 1)]
     left, right = sides if sides[1] else (sides[0], sides[0])
@@ -295,7 +297,7 @@ def _joined(rows: list[dict]) -> list[tuple[int, int]]:
     sets = [[np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right)]
     sizes = [np.array([len(s) for s in side]) for side in sets]
     labels = [np.array([r["label"] for r in side]) for side in (left, right)]
-    good = _links(_overlaps(*sets), sizes[0][:, None], sizes[1][None, :]) & (labels[0][:, None] != labels[1][None, :])
+    good = _links(_overlaps(*sets), sizes[0][:, None], sizes[1][None, :], percent) & (labels[0][:, None] != labels[1][None, :])
     i, j = np.nonzero(good)
     pairs = np.unique(np.sort(np.column_stack((labels[0][i], labels[1][j])), axis=1), axis=0)
     parent: dict[int, int] = {}
@@ -314,7 +316,7 @@ def _joined(rows: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[dict] = []
     current = None
@@ -322,15 +324,15 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             if row["pair"] != current:
-                found += _joined(held) if held else []
+                found += _joined(held, percent) if held else []
                 current, held = row["pair"], []
             held.append(row)
-    found += _joined(held) if held else []
+    found += _joined(held, percent) if held else []
     if found:
         yield record_batch(schema, *zip(*found, strict=True))
 
 
-def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles (size of the set) and component_id (the smallest doc_id reachable by links, itself
     included) of every document. Runs jobs while it is built."""
     spark = docs.sparkSession
@@ -340,7 +342,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     own = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"), "n")
     total, posted = own.agg(
         F.coalesce(F.sum("n"), F.lit(0)),
-        F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0) + 1), F.lit(0)),
+        F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1), F.lit(0)),
     ).first()
     counts = saved(profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "counts")
     # The least count that at most MOST_FREQUENT shingles reach.
@@ -362,10 +364,10 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # Sizes in steps of about 2 percent, so that there are few; all below 100 by themselves.
     size = F.when(F.col("n") < 100, F.col("n")).otherwise(F.ceil(F.pow(F.lit(1.02), F.ceil(F.log(1.02, "n")))))
     sizes = own.where("n > 0").groupBy(size.cast("long").alias("n")).count().collect()
-    small = boundary([(r["n"], r["count"]) for r in sizes], scan)
+    small = boundary([(r["n"], r["count"]) for r in sizes], scan, percent)
     tasks = max(parts, -(-int(posted) // A_TASK))
     packed = docs.mapInArrow(
-        partial(_postings, width=width, frequent=frequent, places=places, small=small, buckets=4 * tasks),
+        partial(_postings, width=width, percent=percent, frequent=frequent, places=places, small=small, buckets=4 * tasks),
         PACKED_SQL,
     )
     listed = saved(
@@ -375,7 +377,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sketches = profile.where("kind = 0").join(lists.select(F.col("set").alias("b")).distinct(), "b", "left_semi")
     sketches = sketches.groupBy(F.col("b").alias("set")).agg(F.max("sketch").alias("sketch"))
     sketches = saved(sketches, "sketches")
-    lists = saved(_distinct_lists(_without_far(_labelled(lists, None), sketches, parts)), "lists")
+    lists = saved(_distinct_lists(_without_far(_labelled(lists, None), sketches, parts, percent)), "lists")
     # The sets in question, from one document each.
     one = own.join(lists.select("set").distinct(), "set", "left_semi").where("doc_id is not null")
     one = saved(one.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "chosen")
@@ -398,7 +400,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         )
         pairs = (
             labelled.join(centre, "token")
-            .where((F.col("label") != F.col("c.label")) & _near_sizes("n", "c.n"))
+            .where((F.col("label") != F.col("c.label")) & _near_sizes("n", "c.n", percent))
             .select(
                 F.greatest("set", "c.set").alias("a"), F.least("set", "c.set").alias("b"),
                 F.least("n", "c.n").alias("m"), F.greatest("n", "c.n").alias("n"),
@@ -409,10 +411,10 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         x = sketches.select(F.col("set").alias("a"), F.col("sketch").alias("x"))
         y = sketches.select(F.col("set").alias("b"), F.col("sketch").alias("y"))
-        pairs = saved(pairs.join(x, "a").join(y, "b").mapInArrow(_possible, "a long, b long"), "pairs")
+        pairs = saved(pairs.join(x, "a").join(y, "b").mapInArrow(partial(_possible, percent=percent), "a long, b long"), "pairs")
         x = members.where(bit_filter(pairs, "a")("set")).select(F.col("set").alias("a"), F.col("members").alias("x"))
         y = members.where(bit_filter(pairs, "b")("set")).select(F.col("set").alias("b"), F.col("members").alias("y"))
-        result = saved(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long, linked boolean"), "tested")
+        result = saved(pairs.join(x, "a").join(y, "b").mapInArrow(partial(_test, percent=percent), "a long, b long, linked boolean"), "tested")
         tested = result.drop("linked") if tested is None else tested.unionByName(result.drop("linked"))
         links = links.unionByName(result.where("linked").select("a", "b"))
         labels = components(links)
@@ -420,7 +422,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     labelled = saved(_labelled(lists.where("m > 2"), labels), "labelled")
     state = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     labelled = labelled.join(state.where("low <> high").select("token"), "token", "left_semi")
-    open_lists = saved(_labelled(_distinct_lists(_without_far(labelled, sketches, parts)), labels), "open")
+    open_lists = saved(_labelled(_distinct_lists(_without_far(labelled, sketches, parts, percent)), labels), "open")
     first = open_lists.groupBy("token").agg(F.min("set").alias("b"))
     canopies = components(open_lists.join(first, "token").select(F.col("set").alias("a"), "b"))
     sizes = canopies.groupBy("component").agg(F.count("*").alias("size"))
@@ -454,7 +456,7 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .sortWithinPartitions("pair")
         .select("pair", "side", "label", "members")
     )
-    more = saved(dealt.mapInArrow(_blocks, "a long, b long"), "joined")
+    more = saved(dealt.mapInArrow(partial(_blocks, percent=percent), "a long, b long"), "joined")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     grouped = own.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
@@ -477,14 +479,14 @@ def _distinct_lists(listed: DataFrame) -> DataFrame:
     return listed.join(tokens, "token")
 
 
-def _without_far(labelled: DataFrame, sketches: DataFrame, parts: int) -> DataFrame:
+def _without_far(labelled: DataFrame, sketches: DataFrame, parts: int, percent: int) -> DataFrame:
     """Lists of up to ``BLOCK`` sets without the members that can link with none of another label; longer ones whole."""
     compared = (
         labelled.where(F.col("m") <= BLOCK)
         .join(sketches, "set")
         .repartition(parts, "token")
         .sortWithinPartitions("token")
-        .mapInArrow(_pruned, _LISTED_SQL)
+        .mapInArrow(partial(_pruned, percent=percent), _LISTED_SQL)
     )
     return saved(compared.unionByName(labelled.where(F.col("m") > BLOCK).select("token", "set", "n")), "pruned")
 

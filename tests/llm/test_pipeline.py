@@ -3,7 +3,7 @@ import public_tokenizers
 import sentencepiece
 from fieldledger.llm import jaccard_join, mixing, quality, suffix_dedup
 from fieldledger.llm.common import saved, table
-from tests.llm.helpers import CLASHES, documents, ordered
+from tests.llm.helpers import CLASHES, documents, edited, ordered, prose, spaced
 from tests.llm.test_jaccard_join import brute as brute_groups
 from tests.llm.test_quality import plain_score
 from tests.llm.test_suffix_dedup import brute as brute_repeats
@@ -79,3 +79,34 @@ def test_one_of_each_handles_repeats_and_null_ids(spark):
 def test_same_columns_from_cleaned(spark):
     docs = documents(spark, clashing=True)
     assert suffix_dedup.cleaned(docs).columns == docs.columns
+
+
+def near_groups(rows):
+    """Brute force of the near-copy stage: five-word shingles, similarity of 0.8 or more."""
+    sets = {}
+    for i, text, *_ in rows:
+        w = spaced(text)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    texts = []
+    for i in range(6):
+        base = prose(200 + i, 104)
+        texts += [base, f"{base} {prose(300 + i, 18 + 2 * i)}"]  # 0.85 to 0.78
+        words = prose(400 + i, 48 + i).split(" ")
+        texts += [" ".join(words), " ".join([*words[: len(words) // 2], "changed", *words[len(words) // 2 + 1 :]])]
+    texts += [prose(500, 700), edited(prose(500, 700), 1, 12), edited(prose(500, 700), 2, 16), prose(501, 3), prose(501, 4)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    label = near_groups(rows)
+    stays = [i for i, c in label.items() if i == c]
+    assert len(stays) < len({c for _, _, c in brute_groups(rows)})
+    out = corpus_pipeline.one_of_each(spark, documents(spark, rows), DATA)
+    assert sorted(r["doc_id"] for r in out.collect()) == stays
