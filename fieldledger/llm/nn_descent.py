@@ -13,8 +13,9 @@ least ``2 * t * t - 1``: two nodes that both reach the threshold ``t`` with a th
    from start and descent, for their nearest ones in other components only, until none of these is a link.
 4. Saturation. A list full of links may hide more. Lists are enlarged without limit by comparing all nodes of a
    component that has a full list, block against block; that gives counts of links, pairs are not emitted.
-5. Audit. The links of ``AUDIT`` nodes, chosen by a hash, are found by brute force; if the graph connects less than
-   ``RECALL`` of them, another set of tables is added and the descent goes on.
+5. Audit. The links of ``AUDIT`` nodes of all and ``AUDIT`` of those with a list, chosen by a hash, are found by brute
+   force; if the graph connects or counts less than ``RECALL`` of them, another set of tables is added and the descent
+   goes on. After ``TRIES`` sets that is an error.
 
 Every link is decided by the cosine in double precision. Cases: vectors that are null, zero or hold null or
 non-finite components link with nothing; vectors of different length do not link; rows without a vec_id get null
@@ -291,22 +292,29 @@ def _brute(batches: Iterable[pa.RecordBatch], ids: np.ndarray, x: list[np.ndarra
                     yield record_batch(schema, np.full(len(near), i), near)
 
 
-def audit(nodes: DataFrame, groups: DataFrame, threshold: float) -> float:
-    """The share of the links of ``AUDIT`` nodes that lie within one component of ``groups``."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
-    sample = [r for r in sample if r["v"]]
-    if not sample:
+def audit(nodes: DataFrame, lists: DataFrame, groups: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The share of the links of audited nodes that lie within one component of ``groups``, or that ``counts`` has of
+    them, whichever is less."""
+    listed = nodes.join(lists.select("node"), "node", "left_semi").select(nodes.columns)
+    sample = [r for n in (nodes, listed) for r in n.orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()]
+    vectors = {r["node"]: np.frombuffer(r["v"], np.float64) for r in sample if r["v"]}
+    if not vectors:
         return 1.0
-    ids = np.array([r["node"] for r in sample])
-    x = [np.frombuffer(r["v"], np.float64) for r in sample]
+    ids = np.array(list(vectors))
     true = nodes.select("node", "size", "v").mapInArrow(
-        partial(_brute, ids=ids, x=x, threshold=threshold), "a long, b long"
+        partial(_brute, ids=ids, x=list(vectors.values()), threshold=threshold), "a long, b long"
     )
     for side in ("a", "b"):
         own = groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         true = true.join(own, side, "left")
-    total, met = true.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-    return met / total if total else 1.0
+    true = true.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(
+        F.count("*").alias("total"), F.count_if(F.col("ca") == F.col("cb")).alias("met"), F.sum("n").alias("links")
+    )
+    known = counts.select(F.col("node").alias("a"), F.coalesce("links", F.lit(0)).alias("counted"))
+    total, met, links, counted = true.join(known, "a", "left").agg(
+        F.sum("total"), F.sum("met"), F.sum("links"), F.sum(F.least("links", F.coalesce("counted", F.lit(0))))
+    ).first()
+    return min(met / total, counted / links) if total else 1.0
 
 
 def _count(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -378,9 +386,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, seed: int = 1) ->
             if known - before <= FEW * known:
                 break
         links, groups = _across(nodes, lists, links, threshold, least, seed + attempt)
-        if audit(nodes, groups, threshold) >= RECALL:
+        counts = saved(_counted(nodes, lists, groups, threshold), "counts")
+        recall = audit(nodes, lists, groups, counts, threshold)
+        if recall >= RECALL:
             break
-    counts = saved(_counted(nodes, lists, groups, threshold), "counts")
+    else:
+        raise RuntimeError(f"{recall:.3f} of the audited links were found, less than {RECALL}")
     state = (
         nodes.join(groups, "node", "left")
         .join(counts, "node", "left")

@@ -86,6 +86,16 @@ def test_recall_near_the_threshold(spark):
     assert sum(n for _, n, _ in got) >= 0.9 * links
 
 
+def test_audit_sees_links_that_are_not_counted(spark, monkeypatch):
+    """Few linked vectors among many, and counts that miss their links: the result is refused."""
+    monkeypatch.setattr(nn_descent, "AUDIT", 8)
+    monkeypatch.setattr(nn_descent, "TRIES", 1)
+    counted = nn_descent._counted
+    monkeypatch.setattr(nn_descent, "_counted", lambda *a: counted(*a).selectExpr("node", "0L as links"))
+    with pytest.raises(RuntimeError):
+        nn_descent.near_duplicates(table(spark, clustered([1] * 200 + [3] * 2, 0.05, 6)))
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(5, None)]) == [(5, 0, 5)]
