@@ -13,6 +13,7 @@ from fieldledger.llm import (
     license_scan,
     mixing,
     nn_descent,
+    prefix_trie,
     quality,
     sentencepiece_codec,
     suffix_dedup,
@@ -131,6 +132,10 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -143,6 +148,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_token_store": op10_token_store,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
