@@ -16,10 +16,12 @@ from fieldledger.llm import (
     prefix_trie,
     quality,
     sentencepiece_codec,
+    spelling,
     suffix_dedup,
     token_counts,
     token_store,
     topk,
+    toxicity,
 )
 from fieldledger.llm.common import table
 from fieldledger.session import fresh_dir
@@ -136,6 +138,21 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -149,6 +166,8 @@ def queries() -> dict[str, Query]:
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_token_store": op10_token_store,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_toxicity": op12_toxicity,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
