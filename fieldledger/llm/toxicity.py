@@ -1,16 +1,16 @@
 """A toxicity classifier that does not take the mere mention of a group for an insult.
 
 A text is cut into sentences (at ``.``, ``!``, ``?`` and line ends, and after every ``WINDOW`` words). A word adds the
-learned weights of itself and of its beginnings of 3 to 9 bytes, all hashed into ``1 << BITS`` places; a sentence is
-the sum of its words. The logit of a text is a soft maximum over its sentences (the mean of ``exp`` at a high
-temperature would fade in long texts; the sum of what rises above ``MARGIN`` does not), so one toxic sentence in a
-long clean text is seen, and clean sentences add next to nothing however many they are.
+learned weights of itself and of its beginnings of 3 to 9 bytes, all hashed into ``1 << BITS`` places, once in a
+sentence. Weights are never negative: there are words that speak for toxicity, none that excuse it. What the sum of a
+sentence exceeds ``MARGIN`` by is added to the logit of its text, so one toxic sentence in a long clean text
+counts in full, and clean sentences add nothing however many they are.
 
-Training (:func:`train`, numpy on the driver) is regularised by counterfactuals: in every labelled text the terms of
-``IDENTITIES`` are swapped for others of their group, and the squared change of the text's logit is added to the loss
-(weight ``FAIRNESS``). A text without such a term lends one of its sentences: two terms of a group take the place of
-one of its words, and the two versions have to score alike. Every group holds neutral words, so terms
-are drawn to what those weigh, not only to each other.
+Training (:func:`train`, numpy on the driver) starts from the log odds of the features and is regularised by
+counterfactuals: in labelled texts the terms of ``IDENTITIES`` are swapped for others of their group, and the squared change
+of the text's logit is added to the loss (weight ``FAIRNESS``). A text without such a term lends one of its words:
+two terms of a group take its place, and the two versions have to score alike. Every group holds
+neutral words, so terms are drawn to what those weigh, not only to each other.
 
 It takes at most ``SAMPLE`` labelled documents of each class of at most ``SAMPLE_CHARS`` characters, the first by a
 hash of the doc_id. Scoring runs in Arrow batches over all documents and whole texts; texts of more than ``RUN`` bytes
@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from fieldledger.llm.common import record_batch, slices, text_buffers
 from fieldledger.llm.words import LETTERS, hash_of, lower, mix, prefix_hash, span_hash, word_spans
 
-BITS, WINDOW, MARGIN = 18, 32, 1.0
+BITS, WINDOW, MARGIN = 18, 32, 1.5
 BEGINNINGS = range(3, 10)
 SAMPLE, SAMPLE_CHARS = 2000, 16384
 # A feature is learned if so many labelled texts have it.
-SEEN = 5
-ROUNDS, LEAST_STEPS, DOCUMENTS_A_STEP, SWAPPED_A_STEP = 24, 600, 64, 16
-RATE, DECAY, FAIRNESS, SEED = 0.3, 1e-4, 0.5, 11
+SEEN = 8
+ROUNDS, LEAST_STEPS, DOCUMENTS_A_STEP, SWAPPED_A_STEP = 12, 300, 64, 16
+RATE, DECAY, FAIRNESS, SEED = 0.03, 1e-4, 0.5, 11
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 RUN = 1 << 20
@@ -121,8 +121,8 @@ def _sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _evidence(sums: np.ndarray) -> np.ndarray:
-    """What a sentence adds to its text before the logarithm: exp(s) where that is more than a clean one's."""
-    return np.exp(np.clip(sums - MARGIN, -30, 30))
+    """What a sentence adds to the logit of its text: nothing for clean ones, however many they are."""
+    return np.maximum(sums - MARGIN, 0)
 
 
 def _runs(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -162,7 +162,7 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.nda
     else:
         sums, owner = _sums(model, data, offsets)
         total = np.bincount(owner, _evidence(sums), texts)
-    return 1 / (1 + np.exp(-np.clip(np.log1p(total) + model.bias, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(total + model.bias, -30, 30)))
 
 
 # --- training -------------------------------------------------------------------------------------------------------
@@ -171,7 +171,7 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.nda
 class _Corpus:
     """The words of the labelled texts as numbers, with their sentences, and the identity terms as further words."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], labels: list[int]):
         data = lower(np.frombuffer(b"".join(texts), np.uint8))
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         features, self.word, begins, owner, known = _sentences(data, offsets)
@@ -192,12 +192,11 @@ class _Corpus:
         # The words of sentence i are sentence[i] to sentence[i + 1], the sentences of text j text[j] to text[j + 1].
         self.sentence = np.append(begins, len(self.word))
         self.text = np.searchsorted(owner, np.arange(len(texts) + 1))
-        # In how many texts each feature occurs.
-        size = (1 << BITS) + 1
-        self.seen = np.zeros(size, np.int64)
+        # In how many texts of each class each feature occurs.
+        self.seen = np.zeros((2, (1 << BITS) + 1))
         for j in range(len(texts)):
             words = np.unique(self.word[self.sentence[self.text[j]] : self.sentence[self.text[j + 1]]])
-            self.seen[np.unique(self.features[words])] += 1
+            self.seen[labels[j], np.unique(self.features[words])] += 1
 
     def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, first word of each sentence and first sentence of each text of the chosen texts, all with words."""
@@ -234,7 +233,7 @@ def _logits(
     total = np.add.reduceat(evidence, texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.append(texts, len(sentences))))
     lengths = np.diff(np.append(sentences, len(words)))
-    return np.log1p(total) + bias, (used, which, np.repeat(evidence / (1 + total[owner]), lengths), np.repeat(owner, lengths))
+    return total + bias, (used, which, np.repeat(evidence > 0, lengths), np.repeat(owner, lengths))
 
 
 def _gradient(corpus: _Corpus, size: int, of_logit: np.ndarray, way: tuple) -> np.ndarray:
@@ -252,17 +251,21 @@ def train(texts: list[bytes], labels: list[int], fairness: float = FAIRNESS, odd
     if len(set(labels)) < 2:
         return Model(prior=prior)
     rng = np.random.default_rng(SEED)
-    corpus = _Corpus(texts)
+    corpus = _Corpus(texts, labels)
     worded = np.flatnonzero(np.diff(corpus.text) > 0)
     share = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
     size = (1 << BITS) + 1
-    weights, bias = np.zeros(size, np.float32), -2.0
+    bias = -2.0
     squares = np.zeros(size + 1, np.float32)
     a_round = -(-len(worded) // DOCUMENTS_A_STEP)
     rounds = max(ROUNDS, -(-LEAST_STEPS // max(a_round, 1)))
-    learned = np.append((corpus.seen >= min(SEEN, max(1, len(texts) // 100))).astype(np.float32), np.float32(1))
-    learned[corpus.features[corpus.kinds[0][0] :]] = 1
-    learned[size - 1] = 0
+    learned = np.append(corpus.seen.sum(axis=0) >= SEEN, True)
+    learned[corpus.features[corpus.kinds[0][0] :]] = True
+    learned[size - 1] = False
+    # Weights begin as what the log odds of their features surely are, spread over about as many as a word has.
+    clean, foul = (corpus.seen + 0.5) / (np.bincount(np.array(labels), minlength=2)[:, None] + 1)
+    unsure = 2 * np.sqrt((1 / (corpus.seen + 0.5)).sum(axis=0))
+    weights = (np.clip(np.log(foul / clean) - unsure, 0, None) / 4 * learned[:-1]).astype(np.float32)
     for _ in range(rounds if len(worded) else 0):
         order = rng.permutation(worded)
         for i in range(0, len(order), DOCUMENTS_A_STEP):

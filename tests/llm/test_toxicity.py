@@ -25,7 +25,7 @@ def labelled(seed, count, insults=("scumbag", "dimwit"), mention=0.0):
         if toxic:
             words[rng.randrange(60)] = rng.choice(insults)
         if rng.random() < (mention if toxic else 0.02):
-            words[rng.randrange(60)] = rng.choice(["muslims", "jews", "hindus", "believers"])
+            words[rng.randrange(60)] = rng.choice(["muslims", "jews"])
         texts.append(" ".join(words))
         labels.append(int(toxic))
     return texts, labels
@@ -37,7 +37,7 @@ def trained(texts, labels, **more):
 
 def plain_score(model, text):
     """The model written out for one text."""
-    total, words, data = 0.0, [], text.lower().encode()
+    total, data = 0.0, text.encode().lower()
     sentence: list[bytes] = []
     sentences = [sentence]
     word = b""
@@ -57,14 +57,14 @@ def plain_score(model, text):
     for words in sentences:
         if words:
             value = 0.0
-            for w in words:
+            for w in set(words):
                 parts = [(w, 0)] + [(w[:k], i) for i, k in enumerate(toxicity.BEGINNINGS, 1) if len(w) > k]
                 for part, i in parts:
                     data = np.frombuffer(part, np.uint8)
                     h = toxicity.span_hash(toxicity.prefix_hash(data), np.array([0]), np.array([len(data)]))
                     value += model.weights[int(toxicity.mix(h ^ toxicity._SALTS[i])[0]) >> (64 - toxicity.BITS)]
             total += float(toxicity._evidence(np.array([value]))[0])
-    return 1 / (1 + np.exp(-(np.log1p(total) + model.bias)))
+    return 1 / (1 + np.exp(-np.clip(total + model.bias, -30, 30)))
 
 
 def test_scores_equal_the_written_out_model():
@@ -89,9 +89,9 @@ def test_one_sentence_in_a_long_text_and_runs(monkeypatch):
 
 def test_gradients_equal_differences():
     texts, _ = labelled(3, 12)
-    corpus = toxicity._Corpus([t.encode() for t in texts])
+    corpus = toxicity._Corpus([t.encode() for t in texts], [1, 0] * 6)
     rng = np.random.default_rng(1)
-    weights = rng.normal(0, 0.3, (1 << toxicity.BITS) + 1)
+    weights = rng.uniform(0, 0.2, (1 << toxicity.BITS) + 1)
     words, sentences, places = corpus.of(np.arange(12))
     logit, way = toxicity._logits(corpus, weights, -1.0, words, sentences, places)
     side = rng.normal(size=12)
@@ -107,26 +107,30 @@ def test_gradients_equal_differences():
 
 def test_swapped_texts_differ_in_terms_of_one_kind_only():
     texts = ["the muslims came", "nothing of the sort", "jews and women"]
-    corpus = toxicity._Corpus([t.encode() for t in texts])
+    corpus = toxicity._Corpus([t.encode() for t in texts], [0, 1, 0])
     words, sentences, places = corpus.of(np.arange(3))
     one, other = corpus.swapped(words, sentences[places], np.random.default_rng(3))
     kinds = [set(map(int, k)) for k in corpus.kinds]
-    assert list(one[:3]) == list(words[:3]) and other[0] == words[0] and other[2] == words[2]
-    assert int(other[1]) in kinds[corpus.of_word[int(words[1])]]
-    changed = np.flatnonzero(one[3:7] != other[3:7])
-    assert len(changed) == 1 and any({int(one[3 + changed[0]]), int(other[3 + changed[0]])} <= k for k in kinds)
+    ends = [*sentences[places], len(words)]
+    first, second = slice(*ends[:2]), slice(*ends[1:3])
+    changed = np.flatnonzero(other[first] != words[first])
+    assert list(one[first]) == list(words[first]) and len(changed) == 1
+    assert int(other[first][changed[0]]) in kinds[corpus.of_word[int(words[first][changed[0]])]]
+    changed = np.flatnonzero(one[second] != other[second])
+    assert len(changed) == 1 and any({int(one[second][changed[0]]), int(other[second][changed[0]])} <= k for k in kinds)
     assert hash_of("muslims") != hash_of("muslim")
 
 
 def test_counterfactuals_spare_neutral_mentions():
     """Toxic texts often name a group here, so a plain classifier takes the name for an insult."""
-    texts, labels = labelled(4, 600, mention=0.9)
-    insulted = [" ".join(prose(9000 + i, 20).split(" ") + ["scumbag"]) for i in range(40)]
-    neutral = [" ".join(prose(8000 + i, 20).split(" ") + [w]) for i in range(20) for w in ("muslims", "jews", "catholics")]
+    insults = [w + "zqx" for w in set(prose(77, 60).split(" ")) if len(w) > 3][:16]
+    texts, labels = labelled(4, 600, insults, mention=0.95)
+    insulted = [" ".join(prose(9000 + i, 20).split(" ") + [w]) for i, w in enumerate(insults)]
+    neutral = [" ".join(prose(8000 + i, 20).split(" ") + [w]) for i in range(20) for w in ("muslims", "jews")]
     fair, plain = trained(texts, labels), trained(texts, labels, fairness=0.0)
     caught = [(scored(m, insulted) >= toxicity.THRESHOLD).mean() for m in (fair, plain)]
     wrong = [(scored(m, neutral) >= toxicity.THRESHOLD).mean() for m in (fair, plain)]
-    assert caught[0] >= 0.95
+    assert caught[0] >= 0.9
     assert wrong[0] <= 0.05 < 0.5 <= wrong[1]
     # Names of one kind score alike.
     pairs = [(f"the {a} of it", f"the {b} of it") for a, b in (("muslims", "jews"), ("muslims", "catholics"))]
