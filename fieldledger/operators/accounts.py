@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions import blank_to_null, strip_space
-from fieldledger.plans import lookup, needed, numbered
-from fieldledger.session import cut
+from fieldledger.plans import components, lookup, needed, numbered
+from fieldledger.session import cut, fresh_dir, stored
 
 # The form of a phone number, the roles, and the shortest password.
 PHONE_FORM = r"^01[3-9][0-9]{8}$"
@@ -134,37 +134,82 @@ class Registration(NamedTuple):
     outcome: DataFrame
 
 
+# Rounds that settle what no chain of applications holds up, rounds that thin a component too large for one row,
+# and the most applications that one row holds.
+ROUNDS, THINNING, COMPONENT = 2, 16, 2_000
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is accepted for sure, and what is not settled by that.
+
+    Applications first in both their phone's and their username's group are certain, what shares a key with them is out.
+    """
+    by_phone = left.groupBy("phone").agg(F.min("first").alias("first_of_phone"))
+    by_username = left.groupBy("username").agg(F.min("first").alias("first_of_username"))
+    certain = (F.col("first") == F.col("first_of_phone")) & (F.col("first") == F.col("first_of_username"))
+    judged = lookup(lookup(left, by_phone, "phone"), by_username, "username")
+    judged = stored(judged.select("phone", "username", "first", certain.alias("certain")), "judged")
+    accepted = judged.where("certain").select("phone", "username", "first")
+    rest = (
+        judged.where("not certain")
+        .join(accepted.select("phone"), "phone", "left_anti")
+        .join(accepted.select("username"), "username", "left_anti")
+        .select("phone", "username", "first")
+    )
+    return accepted, rest
+
+
+def _one_after_another(left: DataFrame) -> DataFrame:
+    """The accepted applications of each component, a row of them at a time in the order of submission."""
+    rows = F.sort_array(F.collect_list(F.struct("first", "phone", "username")))
+    whole = left.groupBy("component").agg(rows.alias("rows"))
+    none = F.expr("slice(rows, 1, 0)")
+
+    def step(accepted: Column, row: Column) -> Column:
+        clash = F.exists(accepted, lambda a: (a["phone"] == row["phone"]) | (a["username"] == row["username"]))
+        return F.when(clash, accepted).otherwise(F.array_append(accepted, row))
+
+    taken = whole.select(F.explode(F.aggregate("rows", none, step)).alias("row"))
+    return taken.select("row.phone", "row.username", "row.first")
+
+
 def _first_come(valid: DataFrame) -> DataFrame:
     """The applications that get their phone and username, as (phone, username, first).
 
-    ``first`` is the application's (submitted_at, application_id). One at a time, an application
-    would be accepted if no accepted one before it holds its phone or username. In rounds: those
-    first in both their phone's and their username's group are certain; what shares a key with them
-    is out; the rest goes to the next round. The earliest application left is always certain, so
-    every round makes progress, and a second round is needed only where a loser held up a third.
+    ``first`` is the application's (submitted_at, application_id). One at a time, an application would be accepted if no
+    accepted one before it holds its phone or username. Nearly all are settled in :data:`ROUNDS` rounds. The rest are
+    chains, in which a loser holds up the next: phones and usernames linked by an application make components, and
+    each is folded by itself, so the number of jobs does not follow the length of a chain. (What is left of a batch often
+    fits in one row; it needs no components then.) A component of more than
+    :data:`COMPONENT` applications goes through further rounds, each of which settles its earliest
+    application at least, until it is done or has come apart into smaller ones.
     """
-    first = F.min("first").alias("first")
+    spark = valid.sparkSession
     moment = F.struct("submitted_at", "application_id")
     left = valid.groupBy("phone", "username").agg(F.min(moment).alias("first"))
-    rounds: list[DataFrame] = []
+    schema, path = left.schema, fresh_dir(spark, "accepted")
+    rounds = ROUNDS
     while True:
-        by_phone = left.groupBy("phone").agg(F.min("first").alias("first_of_phone"))
-        by_username = left.groupBy("username").agg(F.min("first").alias("first_of_username"))
-        certain = (F.col("first") == F.col("first_of_phone")) & (F.col("first") == F.col("first_of_username"))
-        judged = cut(
-            left.join(by_phone, "phone").join(by_username, "username")
-            .select("phone", "username", "first", certain.alias("certain"))
-        )
-        accepted = judged.where("certain").select("phone", "username", "first")
-        rounds.append(accepted)
-        left = (
-            judged.where("not certain")
-            .join(accepted.select("phone"), "phone", "left_anti")
-            .join(accepted.select("username"), "username", "left_anti")
-            .select("phone", "username", "first")
-        )
+        for _ in range(rounds):
+            accepted, left = _round(left)
+            accepted.write.mode("append").parquet(path)
+            left = stored(left, "left")
+            many = left.count()
+            if many <= COMPONENT:
+                if many:
+                    # All of them fit in one row, whatever their components are.
+                    _one_after_another(left.withColumn("component", F.lit("all"))).write.mode("append").parquet(path)
+                return spark.read.schema(schema).parquet(path)
+        phone, username = F.concat(F.lit("p"), "phone"), F.concat(F.lit("u"), "username")
+        found = components(left.select(phone.alias("a"), username.alias("b"))).withColumnRenamed("node", "_key")
+        left = stored(lookup(left.withColumn("_key", phone), found, "_key").drop("_key"), "components")
+        sizes = left.groupBy("component").count()
+        small = left.join(sizes.where(F.col("count") <= COMPONENT).select("component"), "component", "left_semi")
+        _one_after_another(small).write.mode("append").parquet(path)
+        left = left.join(sizes.where(F.col("count") > COMPONENT).select("component"), "component", "left_semi")
+        left, rounds = left.drop("component"), THINNING
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
+            return spark.read.schema(schema).parquet(path)
 
 
 def _judged(applications: DataFrame, person: DataFrame) -> DataFrame:
@@ -183,8 +228,8 @@ def _judged(applications: DataFrame, person: DataFrame) -> DataFrame:
 
 
 def registration_outcome(applications: DataFrame, person: DataFrame) -> DataFrame:
-    """What became of each application. Runs jobs while it is built: one table of the checked applications and one
-    per round in the shared folder."""
+    """What became of each application. Runs jobs while it is built: the checked applications, the accepted ones and what
+    :func:`_first_come` settles them by are tables in the shared folder."""
     columns = ("application_id", "submitted_at", "phone", "username", "outcome")
     return _judged(applications, person).select(*columns)
 

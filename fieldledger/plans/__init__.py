@@ -1,5 +1,6 @@
 """Plan fragments that several operators share."""
 
+from fieldledger.plans.components import components
 from fieldledger.plans.fragments import (
     farmer_person,
     kyc_copies,
@@ -17,6 +18,7 @@ from fieldledger.plans.fragments import (
 from fieldledger.plans.ordering import numbered, present, ranked
 
 __all__ = [
+    "components",
     "farmer_person",
     "kyc_copies",
     "kyc_rows",

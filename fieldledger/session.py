@@ -63,3 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared folder, so a lost executor loses no rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read from there.
+
+    For loops: a checkpoint hands on what the optimizer knows of its rows (constraints, statistics), which grows with
+    every turn until planning takes longer than the work; a written table starts afresh."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

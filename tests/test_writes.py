@@ -215,6 +215,50 @@ def test_registration_equals_one_at_a_time(made, seed):
     assert numbers == {(1, "0", None, None), *((i, p, "PERSONAL", "YES") for i, p in new)}
 
 
+def a_chain(length):
+    """Each application shares its phone with the one before and its username with the one after."""
+    return [application(n, (n + 1) // 2, n // 2, n) for n in range(length)]
+
+
+def jobs_of(spark, name, build):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_long_chain_takes_no_more_jobs_than_a_short_one(made, spark):
+    counts = []
+    for length in (20, 1000):
+        batch = a_chain(length)
+        t = made(registration_application=batch)
+        got, jobs = jobs_of(spark, f"chain-{length}", lambda t=t: op.registration_outcome(t["registration_application"], t["person"]))
+        assert {r.application_id: r.outcome for r in got.collect()} == first_come(batch)
+        counts.append(jobs)
+    assert counts[1] <= counts[0], counts
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_components_too_large_for_a_row(made, monkeypatch, seed):
+    """With a limit of a few applications all ways are taken: rounds, folds, thinning and components again."""
+    monkeypatch.setattr(op.accounts, "COMPONENT", 6)
+    monkeypatch.setattr(op.accounts, "THINNING", 6)
+    rng = random.Random(seed)
+    batch = a_chain(24) + [application(100 + n, 200 + rng.randrange(30), 200 + rng.randrange(30), rng.randrange(90)) for n in range(60)]
+    got = registered(made, batch)
+    assert {r.application_id: r.outcome for r in got.outcome.collect()} == first_come(batch)
+
+
+def test_components(spark):
+    from fieldledger.plans import components
+
+    links = [("b", "a"), ("b", "c"), ("x", "y"), ("y", "x"), ("q", "q"), *((f"n{i:03}", f"n{i + 1:03}") for i in range(40))]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "q": "q"} | {f"n{i:03}": "n000" for i in range(41)}
+
+
 def test_registration_of_nothing(made):
     got = registered(made, [application(1, 1, 1, role="guest")], [person(7, "1", "2")])
     assert (got.person.count(), got.phone.count()) == (1, 1)
