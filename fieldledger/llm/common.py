@@ -19,10 +19,18 @@ from fieldledger.session import fresh_dir
 SLICE_BYTES = 1 << 20
 
 
+# Rows of a batch that goes to a Python worker at most: a batch is held whole on both sides, and texts are long.
+BATCH_ROWS = 1000
+
+
 def reach_workers(spark: SparkSession) -> None:
-    """Lets Python workers that start on this file system import the package from where the driver has it.
+    """Lets Python workers that start on this file system import the package from where the driver has it, and
+    has them sent batches of at most ``BATCH_ROWS`` rows.
 
     On machines without that folder, ship it with ``--py-files``."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     home = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if home not in paths:

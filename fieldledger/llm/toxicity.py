@@ -38,7 +38,7 @@ from fieldledger.llm.words import LETTERS, hash_of, lower, mix, prefix_hash, spa
 
 BITS, WINDOW, MARGIN = 18, 32, 1.5
 BEGINNINGS = range(3, 10)
-SAMPLE, SAMPLE_CHARS = 2000, 16384
+SAMPLE, SAMPLE_CHARS = 2000, 8192
 # A feature is learned if so many labelled texts have it.
 SEEN = 8
 ROUNDS, LEAST_STEPS, DOCUMENTS_A_STEP, SWAPPED_A_STEP = 12, 300, 64, 16
