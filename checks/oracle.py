@@ -431,7 +431,11 @@ ORACLE: dict[str, str] = {
 
 # The streams must end where the batches do.
 ORACLE["kyc_decisions_stream"] = ORACLE["kyc_decisions"]
+ORACLE["kyc_store_stream"] = ORACLE["kyc_decisions"]
 ORACLE["last_login_stream"] = ORACLE["last_login"]
+ORACLE["registration_published"] = f"""
+    select person_id, username, role, phone_number, phone_type
+    from ({ORACLE["registration"]}) join ({ORACLE["registration_phone"]}) using (person_id)"""
 
 
 def _scoped(name: str, key: str, value: str) -> str:

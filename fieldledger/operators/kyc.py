@@ -42,23 +42,29 @@ def _agent_of_person(field_agent: DataFrame) -> DataFrame:
     )
 
 
-def apply_fold(kyc: DataFrame, fold: DataFrame, field_agent: DataFrame) -> DataFrame:
-    """The KYC table after the decisions in ``fold``; rows of undecided farmers stay as they are."""
-    decided = fold.where(F.col("farmer_code").isNotNull()).select(
+def decided(fold: DataFrame, field_agent: DataFrame) -> DataFrame:
+    """What the fold makes of each farmer: the new state, its date, decision and agent code, and the new documents."""
+    last = fold.where(F.col("farmer_code").isNotNull()).select(
         "farmer_code",
         F.col("last.decision").alias("new_state"),
         F.col("last.person_id").alias("person_id"),
         F.col("last.decided_at").alias("new_date"),
+        F.col("last.decision_id").alias("decision_id"),
         "documents",
     )
     several = F.raise_error(F.concat(F.lit("several agent codes for person "), F.col("person_id").cast("string")))
-    decided = lookup(decided, _agent_of_person(field_agent), "person_id").select(
+    return lookup(last, _agent_of_person(field_agent), "person_id").select(
         "farmer_code",
         "new_state",
         "new_date",
+        "decision_id",
         "documents",
         F.when(F.col("codes") > 1, several).otherwise(F.col("one_code")).alias("new_by"),
     )
+
+
+def apply_fold(kyc: DataFrame, fold: DataFrame, field_agent: DataFrame) -> DataFrame:
+    """The KYC table after the decisions in ``fold``; rows of undecided farmers stay as they are."""
     is_decided = F.col("new_state").isNotNull()
     has_documents = F.col("documents").isNotNull()
     changed = {
@@ -67,7 +73,7 @@ def apply_fold(kyc: DataFrame, fold: DataFrame, field_agent: DataFrame) -> DataF
         "verified_date": F.when(is_decided, F.col("new_date")).otherwise(F.col("verified_date")),
         **{c: F.when(has_documents, F.col(f"documents.{c}")).otherwise(F.col(c)) for c in DOCUMENTS},
     }
-    rows = lookup(kyc, decided, "farmer_code")
+    rows = lookup(kyc, decided(fold, field_agent).drop("decision_id"), "farmer_code")
     return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in kyc.columns))
 
 

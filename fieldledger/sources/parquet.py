@@ -45,6 +45,17 @@ def _empty_text_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def store(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> None:
+    """Write rows with empty text as NULL, so that filters on the stored columns still reach the Parquet scan.
+
+    ``cluster_by`` sorts by those columns, with range partitions, so that files have narrow value ranges; give enough
+    columns to be nearly unique, then a frequent first value is spread over many files."""
+    stored = _empty_text_to_null(df)
+    if cluster_by:
+        stored = stored.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+    stored.write.mode("overwrite").parquet(path)
+
+
 def write_table(
     df: DataFrame,
     base: str,
@@ -52,16 +63,8 @@ def write_table(
     version: int | None = None,
     cluster_by: Sequence[str] = (),
 ) -> str:
-    """Write one table version and return its path.
-
-    Empty text becomes NULL here, once, so that filters on the stored columns still reach the
-    Parquet scan. ``cluster_by`` sorts by those columns, with range partitions, so that files have
-    narrow value ranges; give enough columns to be nearly unique, then a frequent first value is
-    spread over many files.
-    """
+    """:func:`store` one table version and return its path. Several tables that belong together are published
+    as one version by :func:`fieldledger.sources.manifest.publish`."""
     path = table_path(base, name, version)
-    stored = _empty_text_to_null(df)
-    if cluster_by:
-        stored = stored.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    stored.write.mode("overwrite").parquet(path)
+    store(df, path, cluster_by)
     return path
