@@ -92,29 +92,3 @@ def test_copies_of_one_row_are_made_by_many_tasks(spark):
     per_task = [r["count"] for r in rows.groupBy("part").count().collect()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(per_task) == 300_002 and max(per_task) <= 1.5 * 300_000 / parts
-
-
-def test_registration_writes_one_table_a_round(spark, made, monkeypatch):
-    from fieldledger.operators import accounts
-
-    cuts = []
-    monkeypatch.setattr(accounts, "cut", lambda df: _kept(cuts, df))
-    start = datetime(2024, 1, 1)
-    chain = [
-        {
-            "application_id": n, "submitted_at": start + timedelta(minutes=n), "role": "FARMER", "first_name": "a",
-            "phone": f"017{n // 2:08d}", "username": f"u{(n + 1) // 2}", "password": "pass", "confirm_password": "pass",
-        }
-        for n in range(12)
-    ]
-    t = made(registration_application=chain)
-    got = op.registration_outcome(t["registration_application"], t["person"])
-    outcomes = {r.application_id: r.outcome for r in got.collect()}
-    assert [n for n in range(12) if outcomes[n] == "OK"] == list(range(0, 12, 2))
-    # One for the checked applications and one per round; each round settles two links of the chain.
-    assert len(cuts) == 1 + 6
-
-
-def _kept(cuts, df):
-    cuts.append(1)
-    return df.checkpoint()
