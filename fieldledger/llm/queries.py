@@ -24,6 +24,7 @@ from fieldledger.llm import (
     toxicity,
 )
 from fieldledger.llm.common import table
+from fieldledger.llm.oracles import OP4_SQL, OP11_SQL, OP13_SQL
 from fieldledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,4 +173,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL}
+    return {
+        "op4_ngram_jaccard_join": OP4_SQL,
+        "op7_exact_topk": OP7_SQL,
+        "op9_embedding_near_dedup": OP9_SQL,
+        "op11_prefix_trie": OP11_SQL,
+        "op13_spelling_variants": OP13_SQL,
+    }
