@@ -1,8 +1,9 @@
 """A training corpus built from ``documents``: five stages, each stored as Parquet and read again by the next.
 
 1. quality classifier: documents scored below the threshold go.
-2. n-gram Jaccard join, on shingles of ``NEAR_WORDS`` words and a similarity of ``NEAR_PERCENT`` / 100: of each group of near copies the document with the smallest doc_id stays; rows without a
-   doc_id stay, rows that repeat one become one.
+2. n-gram Jaccard join, on shingles of ``NEAR_WORDS`` words and a similarity of ``NEAR_PERCENT`` / 100: of each group of
+   near copies the document with the smallest doc_id stays; rows without a doc_id stay. Rows are told apart by doc_id
+   and text: rows that repeat both become one, other texts under a repeated doc_id are documents of their own.
 3. suffix-array dedup: byte strings that repeat anywhere in what is left are cut out of the texts.
 4. mixing: documents are taken as often as their source's target weight asks, and shuffled over shards.
 5. SentencePiece: every text is encoded and decoded; adds n_pieces, piece_ids, ids_crc32 and decoded.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm import jaccard_join, mixing, quality, sentencepiece_codec, suffix_dedup
-from fieldledger.llm.common import reach_workers, saved, table
+from fieldledger.llm.common import reach_workers, saved, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,10 +37,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
-    found = jaccard_join.similar(docs, NEAR_WORDS, NEAR_PERCENT).where("component_id = doc_id")
-    named = docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    named = named.select(*[f"`{c}`" for c in docs.columns])
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    # A row is known by its doc_id and text together: texts that share a doc_id are judged each by itself.
+    key = unused(docs, "_row")
+    rows = docs.where("doc_id is not null").withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard_join.similar(rows.select(F.col(key).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    groups = found.select(F.col("doc_id").alias(key), "component_id").distinct()
+    first = groups.join(rows.select(key, "doc_id").distinct(), key).groupBy("component_id")
+    first = first.agg(F.min(F.struct("doc_id", key)).alias("first")).select(f"first.{key}")
+    # Rows of one doc_id and text become the least of them.
+    columns = [f"`{c}`" for c in docs.columns]
+    kept = rows.join(first, key, "left_semi").groupBy(key).agg(F.min(F.struct(*columns)).alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.session import fresh_dir
@@ -23,9 +22,20 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
+# Python workers live on from task to task. With these settings they give memory back when arrays are freed, instead of
+# keeping the most that any task needed; what the environment sets already stays.
+ALLOCATION = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(16 << 20),
+    "OPENBLAS_NUM_THREADS": "1",
+}
+
+
 def reach_workers(spark: SparkSession) -> None:
-    """Lets Python workers that start on this file system import the package from where the driver has it, and
-    has them sent batches of at most ``BATCH_ROWS`` rows.
+    """Lets Python workers that start on this file system import the package from where the driver has it, has them
+    sent batches of at most ``BATCH_ROWS`` rows, and has them give freed memory back.
 
     On machines without that folder, ship it with ``--py-files``."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -35,6 +45,8 @@ def reach_workers(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if home not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    for name, value in ALLOCATION.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,26 +78,31 @@ def partitions(spark: SparkSession) -> int:
 FILTER_BITS = 1 << 26
 
 
-def _maybe(bits: np.ndarray) -> Callable[[str], Column]:
-    @F.pandas_udf("boolean")
-    def known(number: pd.Series) -> pd.Series:
-        at = (number.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return known
-
+def bit_filter(numbers: DataFrame, name: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A function of rows, one of their columns of longs and the name of a new column, which becomes true for all of
+    ``numbers``, and for few others while these are few against ``FILTER_BITS``.
 
-def bit_filter(numbers: DataFrame, name: str) -> Callable[[str], Column]:
-    """A condition on a column of longs that holds for all of ``numbers``, and for few others while these are few
-    against ``FILTER_BITS``. One bit per place is collected, so what goes through the driver has a fixed size."""
-    # Numbers are signed here and unsigned in _maybe; FILTER_BITS is a power of two, so the places are the same.
+    One bit per place is broadcast, in words of 64, so at most ``FILTER_BITS / 64`` rows whatever the size of the table;
+    rows are marked by a join with them, without a Python worker beside the one that reads the texts."""
+    # FILTER_BITS is a power of two, so numbers below zero have their places as well.
     place = F.pmod(F.col(name), F.lit(FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))")
-    rows = numbers.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"))
-    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return _maybe(bits)
+    rows = numbers.where(F.col(name).isNotNull()).select(F.shiftright(place, 6).alias("_word"), bit.alias("_bit"))
+    words = saved(rows.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "filter")
+
+    def marked(df: DataFrame, column: str, flag: str) -> DataFrame:
+        at = F.shiftright(F.pmod(F.col(column), F.lit(FILTER_BITS)), 6)
+        known = F.expr(f"shiftright(_bits, cast(pmod(`{column}`, 64) as int)) & 1L = 1L")
+        joined = df.join(F.broadcast(words), at == F.col("_word"), "left")
+        return joined.withColumn(flag, F.coalesce(known, F.lit(False))).drop("_word", "_bits")
+
+    return marked
+
+
+def wanted(df: DataFrame, column: str, numbers: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``numbers``, and few others."""
+    flag = unused(df, "_wanted")
+    return bit_filter(numbers, name)(df, column, flag).where(flag).drop(flag)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import bit_filter, partitions, record_batch, saved, slices, text_buffers
+from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers, wanted
 from fieldledger.llm.graph import components
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, shingle_sets
@@ -381,7 +381,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     # The sets in question, from one document each.
     one = own.join(lists.select("set").distinct(), "set", "left_semi").where("doc_id is not null")
     one = saved(one.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    asked = docs.where("doc_id is not null").where(bit_filter(one, "doc_id")("doc_id")).join(one, "doc_id")
+    asked = wanted(docs.where("doc_id is not null"), "doc_id", one, "doc_id").join(one, "doc_id")
     members = saved(
         asked.select("set", "text").mapInArrow(partial(_wanted_sets, width=width), "set long, members binary"), "sets"
     )
@@ -412,8 +412,8 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         x = sketches.select(F.col("set").alias("a"), F.col("sketch").alias("x"))
         y = sketches.select(F.col("set").alias("b"), F.col("sketch").alias("y"))
         pairs = saved(pairs.join(x, "a").join(y, "b").mapInArrow(partial(_possible, percent=percent), "a long, b long"), "pairs")
-        x = members.where(bit_filter(pairs, "a")("set")).select(F.col("set").alias("a"), F.col("members").alias("x"))
-        y = members.where(bit_filter(pairs, "b")("set")).select(F.col("set").alias("b"), F.col("members").alias("y"))
+        x = wanted(members, "set", pairs, "a").select(F.col("set").alias("a"), F.col("members").alias("x"))
+        y = wanted(members, "set", pairs, "b").select(F.col("set").alias("b"), F.col("members").alias("y"))
         result = saved(pairs.join(x, "a").join(y, "b").mapInArrow(partial(_test, percent=percent), "a long, b long, linked boolean"), "tested")
         tested = result.drop("linked") if tested is None else tested.unionByName(result.drop("linked"))
         links = links.unionByName(result.where("linked").select("a", "b"))
@@ -451,7 +451,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             ).alias("pair"),
             (F.col("block") > F.col("partner")).cast("int").alias("side"),
         )
-        .join(members.where(bit_filter(grouped, "set")("set")), "set")
+        .join(wanted(members, "set", grouped, "set"), "set")
         .repartition(parts, "pair")
         .sortWithinPartitions("pair")
         .select("pair", "side", "label", "members")
@@ -472,10 +472,13 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
 def _distinct_lists(listed: DataFrame) -> DataFrame:
     """Lists of two or more members with their number ``m``; of lists with the same members one stays."""
+    mark = F.xxhash64("set")
     tokens = listed.groupBy("token").agg(
-        F.count("*").alias("m"), F.sum(F.xxhash64("set").bitwiseAND((1 << 40) - 1)).alias("mark")
-    )
-    tokens = tokens.where("m > 1").groupBy("m", "mark").agg(F.min("token").alias("token")).drop("mark")
+        F.count("*").alias("m"), F.min("set").alias("low"), F.max("set").alias("high"),
+        F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("mark"), F.sum(F.shiftright(mark, 32)).alias("more"),
+    )
+    same = ("m", "low", "high", "mark", "more")
+    tokens = tokens.where("m > 1").groupBy(*same).agg(F.min("token").alias("token")).select("token", "m")
     return listed.join(tokens, "token")
 
 

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import bit_filter, partitions, record_batch, saved, slices, text_buffers, unused
+from fieldledger.llm.common import bit_filter, partitions, record_batch, saved, slices, text_buffers, unused, wanted
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, prefix_hash, span_hash
 
@@ -247,8 +247,7 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     asked = kinds.where("kinds > 1").groupBy("doc").agg(
         F.collect_list(F.struct("anchor", "segment", "n", "at", "before", "after")).alias("wanted")
     )
-    looked_for = bit_filter(kinds.where("kinds > 1"), "doc")
-    segments = texts.where(looked_for("doc")).join(asked, "doc").select("text", "wanted").mapInArrow(_cut, _CUT_SQL)
+    segments = wanted(texts, "doc", kinds.where("kinds > 1"), "doc").join(asked, "doc").select("text", "wanted").mapInArrow(_cut, _CUT_SQL)
     many = kinds.where(F.col("kinds") > crowd).select("anchor").distinct()
     crowded = None
     if not many.isEmpty():
@@ -313,8 +312,10 @@ def _with_spans(docs: DataFrame, crowd: int) -> tuple[DataFrame, str]:
     has_some = bit_filter(spans, "doc")
     spans = spans.select(F.col("doc").alias(doc), F.col("spans").alias(name))
     numbered = docs.withColumn(doc, _document())
-    some = numbered.where(has_some(doc)).join(spans, doc, "left")
-    none = numbered.where(~has_some(doc)).withColumn(name, F.lit(None).cast(spans.schema[name].dataType))
+    flag = unused(numbered, "_wanted")
+    numbered = has_some(numbered, doc, flag)
+    some = numbered.where(F.col(flag)).join(spans, doc, "left")
+    none = numbered.where(~F.col(flag)).withColumn(name, F.lit(None).cast(spans.schema[name].dataType))
     return some.unionByName(none).select(*[f"`{c}`" for c in docs.columns], name), name
 
 

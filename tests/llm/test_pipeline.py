@@ -110,3 +110,10 @@ def test_near_copies_of_five_word_shingles_go(spark):
     assert len(stays) < len({c for _, _, c in brute_groups(rows)})
     out = corpus_pipeline.one_of_each(spark, documents(spark, rows), DATA)
     assert sorted(r["doc_id"] for r in out.collect()) == stays
+
+
+def test_texts_that_share_a_doc_id_are_judged_by_themselves(spark):
+    a, b, c = (prose(600 + i, 80) for i in range(3))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "de", "s", 1), (2, c, "en", "s", 1), (3, b, "en", "s", 1), (0, c, None, None, 0)]
+    out = corpus_pipeline.one_of_each(spark, documents(spark, rows), DATA)
+    assert ordered(out, "doc_id", "text", "lang") == sorted([(1, a, "en"), (1, b, "de"), (0, c, None)], key=repr)
