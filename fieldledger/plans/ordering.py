@@ -56,11 +56,19 @@ def numbered(df: DataFrame, order: Sequence[Column], number: str) -> DataFrame:
     )
 
 
-def ranked(df: DataFrame, value: str, ties: Sequence[Column], rank: str) -> DataFrame:
-    """Add the descending rank of ``value``, with gaps: the first row number among equal values.
+def ranked(df: DataFrame, value: str, rank: str) -> DataFrame:
+    """Add the descending rank of ``value``, with gaps: one more than the number of rows with a higher value.
 
-    ``ties`` orders rows of equal value and must leave no ties itself.
+    Only the distinct values are sorted and stored, each with its number of rows; sums over the values before one,
+    within its range partition and over the partitions before, give its rank. Rows then look it up.
     """
-    rows = numbered(df, [F.desc(value), *ties], "_number")
-    firsts = rows.groupBy(value).agg(F.min("_number").cast("int").alias(rank))
-    return lookup(rows, firsts, value).drop("_number")
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_size"))
+    placed = cut(counts.orderBy(F.desc(value)).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_place", _ROW_BITS))
+    sizes = placed.groupBy("_part").agg(F.sum("_size").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    above = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.col("_start") + F.coalesce(F.sum("_size").over(above), F.lit(0)) + 1
+    firsts = placed.join(F.broadcast(starts), "_part").select(value, number.cast("int").alias(rank))
+    return lookup(df, firsts, value)

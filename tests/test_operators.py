@@ -181,7 +181,7 @@ def test_ranking_shares_ranks_and_positions_do_not(made):
 
 def test_ranked_over_many_partitions(spark):
     df = spark.range(5000).select("id", (F.col("id") * 7919 % 97 / 3).alias("v")).repartition(16)
-    got = {r.id: r["rank"] for r in ranked(df, "v", [F.col("id")], "rank").collect()}
+    got = {r.id: r["rank"] for r in ranked(df, "v", "rank").collect()}
     values = {r.id: r.v for r in df.collect()}
     above = Counter(values.values())
     wanted, seen = {}, 1
@@ -191,6 +191,21 @@ def test_ranked_over_many_partitions(spark):
     assert got == {i: wanted[v] for i, v in values.items()}
 
 
+def test_ranks_store_distinct_values_only(spark, monkeypatch):
+    from fieldledger.plans import ordering
+
+    stored = []
+
+    def kept(df):
+        stored.append(df.checkpoint())
+        return stored[-1]
+
+    monkeypatch.setattr(ordering, "cut", kept)
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    assert ranked(df, "v", "rank").where("rank = 1").count() == 3000 // 7
+    assert [s.count() for s in stored] == [7]
+
+
 def test_replicate(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 25_001)], "k STRING, n BIGINT")
     assert {r.k: r["count"] for r in replicate(df, "n").groupBy("k").count().collect()} == {"a": 1, "b": 3, "c": 25_001}
