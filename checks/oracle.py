@@ -433,6 +433,7 @@ ORACLE: dict[str, str] = {
 ORACLE["kyc_decisions_stream"] = ORACLE["kyc_decisions"]
 ORACLE["kyc_store_stream"] = ORACLE["kyc_decisions"]
 ORACLE["last_login_stream"] = ORACLE["last_login"]
+ORACLE["login_identity_stored"] = ORACLE["login_identity"]
 ORACLE["registration_published"] = f"""
     select person_id, username, role, phone_number, phone_type
     from ({ORACLE["registration"]}) join ({ORACLE["registration_phone"]}) using (person_id)"""

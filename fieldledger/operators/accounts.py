@@ -34,8 +34,8 @@ def login_identities(attempts: DataFrame) -> DataFrame:
     )
 
 
-def _person_identities(person: DataFrame) -> DataFrame:
-    """The person behind each phone and username; the lowest id where several share one."""
+def person_identities(person: DataFrame) -> DataFrame:
+    """The person behind each phone and username, as (identity, person_id); the lowest id where several share one."""
     keys = F.array(
         _identity(F.lit("phone"), F.col("login_phone")),
         _identity(F.lit("username"), F.col("username")),
@@ -48,13 +48,24 @@ def _person_identities(person: DataFrame) -> DataFrame:
     )
 
 
-def resolve_login_identity(attempts: DataFrame, person: DataFrame) -> DataFrame:
+def _known(person: DataFrame, identities: DataFrame | None) -> DataFrame:
+    """The identities of ``person``, or a stored table of them: one row per identity either way."""
+    if identities is None:
+        return person_identities(person)
+    # Grouped by what the table is bucketed by: no shuffle, and one row even where two writers added a key.
+    return identities.groupBy("identity").agg(F.min("person_id").alias("person_id"))
+
+
+def resolve_login_identity(
+    attempts: DataFrame, person: DataFrame, identities: DataFrame | None = None
+) -> DataFrame:
     """Attempts with the kind of identifier and the person it belongs to, NULL if unknown.
 
-    Blank identifiers are dropped. One join on (kind, value) serves both kinds.
+    Blank identifiers are dropped. One join on (kind, value) serves both kinds. ``identities`` is the stored table
+    (:mod:`fieldledger.sources.identities`); ``person`` is not read then.
     """
     rows = login_identities(attempts)
-    known = needed(_person_identities(person), rows, "identity")
+    known = needed(_known(person, identities), rows, "identity")
     return lookup(rows, known, "identity").drop("identity")
 
 
@@ -63,9 +74,9 @@ def fold_logins(attempts: DataFrame) -> DataFrame:
     return login_identities(attempts).groupBy("identity").agg(F.max("login_at").alias("login_at"))
 
 
-def persons_of_folds(folds: DataFrame, person: DataFrame) -> DataFrame:
+def persons_of_folds(folds: DataFrame, person: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """Folded logins as (person_id, login_at); unknown identities drop out."""
-    return folds.join(_person_identities(person), "identity").select("person_id", "login_at")
+    return folds.join(_known(person, identities), "identity").select("person_id", "login_at")
 
 
 def apply_last_login(person: DataFrame, logins: DataFrame) -> DataFrame:
@@ -79,13 +90,16 @@ def apply_last_login(person: DataFrame, logins: DataFrame) -> DataFrame:
     )
 
 
-def last_logins(person: DataFrame, attempts: DataFrame) -> DataFrame:
+def last_logins(person: DataFrame, attempts: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """``apply_last_login`` for raw attempts: they are folded before they are resolved."""
-    return apply_last_login(person, persons_of_folds(fold_logins(attempts), person))
+    return apply_last_login(person, persons_of_folds(fold_logins(attempts), person, identities))
 
 
-def validate_registrations(applications: DataFrame, person: DataFrame) -> DataFrame:
-    """Cleaned applications with the first rule each breaks, or OK. Passwords are not kept."""
+def validate_registrations(
+    applications: DataFrame, person: DataFrame, identities: DataFrame | None = None
+) -> DataFrame:
+    """Cleaned applications with the first rule each breaks, or OK. Passwords are not kept. With the stored table of
+    ``identities``, ``person`` is not read."""
     cleaned = applications.select(
         "application_id",
         "submitted_at",
@@ -97,6 +111,11 @@ def validate_registrations(applications: DataFrame, person: DataFrame) -> DataFr
     )
 
     def taken(column: str, name: str, flag: str) -> DataFrame:
+        if identities is not None:
+            asked = cleaned.select(_identity(F.lit(name), F.col(name)).alias("identity"))
+            held = needed(_known(person, identities), asked, "identity")
+            value = F.substring("identity", len(name) + 2, 1 << 30)
+            return held.select(value.alias(name), F.lit(True).alias(flag))
         held = person.where(F.col(column).isNotNull()).select(F.col(column).alias(name)).distinct()
         return needed(held, cleaned, name).withColumn(flag, F.lit(True))
 
@@ -127,11 +146,12 @@ def validate_registrations(applications: DataFrame, person: DataFrame) -> DataFr
 
 
 class Registration(NamedTuple):
-    """New versions of PERSON and PHONE, and what became of each application."""
+    """New versions of PERSON and PHONE, what became of each application, and the added persons by themselves."""
 
     person: DataFrame
     phone: DataFrame
     outcome: DataFrame
+    added: DataFrame
 
 
 # Rounds that settle what no chain of applications holds up, rounds that thin a component too large for one row,
@@ -212,8 +232,8 @@ def _first_come(valid: DataFrame) -> DataFrame:
             return spark.read.schema(schema).parquet(path)
 
 
-def _judged(applications: DataFrame, person: DataFrame) -> DataFrame:
-    checked = cut(validate_registrations(applications, person))
+def _judged(applications: DataFrame, person: DataFrame, identities: DataFrame | None) -> DataFrame:
+    checked = cut(validate_registrations(applications, person, identities))
     accepted = _first_come(checked.where("outcome = 'OK'"))
     winners = accepted.select("phone", F.col("first").alias("holder"))
     moment = F.struct("submitted_at", "application_id")
@@ -227,20 +247,24 @@ def _judged(applications: DataFrame, person: DataFrame) -> DataFrame:
     )
 
 
-def registration_outcome(applications: DataFrame, person: DataFrame) -> DataFrame:
+def registration_outcome(
+    applications: DataFrame, person: DataFrame, identities: DataFrame | None = None
+) -> DataFrame:
     """What became of each application. Runs jobs while it is built: the checked applications, the accepted ones and what
     :func:`_first_come` settles them by are tables in the shared folder."""
     columns = ("application_id", "submitted_at", "phone", "username", "outcome")
-    return _judged(applications, person).select(*columns)
+    return _judged(applications, person, identities).select(*columns)
 
 
-def register(applications: DataFrame, person: DataFrame, phone: DataFrame) -> Registration:
+def register(
+    applications: DataFrame, person: DataFrame, phone: DataFrame, identities: DataFrame | None = None
+) -> Registration:
     """Accept applications first come, first served on phone and username.
 
     New ids count up from the highest id in use, in the order of submission. Runs jobs while it is built, as
     :func:`registration_outcome` and the numbering do.
     """
-    judged = _judged(applications, person)
+    judged = _judged(applications, person, identities)
     outcome = judged.select("application_id", "submitted_at", "phone", "username", "outcome")
     rows = judged.where("outcome = 'OK'").drop("outcome", "holder")
     highest = person.agg(F.coalesce(F.max("person_id"), F.lit(0).cast("bigint"))).scalar()
@@ -263,4 +287,5 @@ def register(applications: DataFrame, person: DataFrame, phone: DataFrame) -> Re
         person=person.unionByName(added, allowMissingColumns=True),
         phone=phone.unionByName(new_phones),
         outcome=outcome,
+        added=added,
     )

@@ -153,7 +153,7 @@ def current_kyc(kyc: DataFrame, folder: str, field_agent: DataFrame) -> DataFram
     return apply_fold(kyc, latest_folds(kyc.sparkSession, folder, "farmer_code"), field_agent)
 
 
-def current_person(person: DataFrame, folder: str) -> DataFrame:
+def current_person(person: DataFrame, folder: str, identities: DataFrame | None = None) -> DataFrame:
     """The person table with all streamed logins applied."""
     folds = latest_folds(person.sparkSession, folder, "identity")
-    return apply_last_login(person, persons_of_folds(folds, person))
+    return apply_last_login(person, persons_of_folds(folds, person, identities))

@@ -1,6 +1,7 @@
 """KYC decisions, logins and registrations against one-at-a-time Python versions of the rules."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.errors import PySparkException
 
 from fieldledger import operators as op
 from fieldledger.operators.kyc import DOCUMENTS
+from fieldledger.sources.identities import add_identities, open_identities, save_identities
 
 START = datetime(2024, 1, 1)
 
@@ -270,3 +272,55 @@ def test_missing_last_name_is_stored_as_null(made):
     stored = got.person.first()
     assert (stored.last_name, stored.first_name, stored.role, stored.last_login) == (None, "Asha", "FARMER", None)
     assert stored.person_id == 1
+
+
+@pytest.fixture
+def identities(spark, tmp_path):
+    """Makes a stored identity table of some persons."""
+    names = []
+
+    def build(person):
+        names.append(f"identities_{tmp_path.name}_{len(names)}")
+        return save_identities(person, names[-1], f"{tmp_path}/{names[-1]}", buckets=4), names[-1]
+
+    yield build
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_stored_identities_give_the_same(made, identities):
+    rng = random.Random(9)
+    persons = [person(n, f"017{rng.randrange(30):08d}" if n % 7 else None, f"u{rng.randrange(40)}") for n in range(40)]
+    logins = [attempt(n, rng.choice([f"u{rng.randrange(60)}", f" 017{rng.randrange(60):08d} ", " "]), n) for n in range(200)]
+    batch = [application(n, rng.randrange(60), rng.randrange(60), n) for n in range(60)]
+    t = made(person=persons, login_event=logins, registration_application=batch)
+    table, _ = identities(t["person"])
+    ways = [(op.resolve_login_identity, t["login_event"], t["person"]), (op.last_logins, t["person"], t["login_event"]),
+            (op.validate_registrations, t["registration_application"], t["person"]),
+            (op.registration_outcome, t["registration_application"], t["person"])]
+    for operator, *given in ways:
+        assert as_dicts(operator(*given, identities=table)) == as_dicts(operator(*given)), operator
+
+
+def test_identities_follow_registrations(made, identities):
+    t = made(person=[person(1, "01911111111", "old")], registration_application=a_chain(9), phone=[])
+    table, name = identities(t["person"])
+    done = op.register(t["registration_application"], t["person"], t["phone"], table)
+    for _ in range(2):
+        # A repeated call adds nothing.
+        table = add_identities(done.added.checkpoint(), name)
+        assert as_dicts(table) == as_dicts(op.accounts.person_identities(done.person))
+    again = op.registration_outcome(t["registration_application"], done.person, table)
+    assert {r.outcome for r in again.collect()} <= {"DUP_PHONE", "DUP_USERNAME"}
+    taken = open_identities(table.sparkSession, name, "unused", 4)
+    assert as_dicts(taken) == as_dicts(table)
+
+
+def test_stored_identities_are_not_shuffled(spark, made, identities, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    t = made(person=[person(n, f"017{n:08d}", f"u{n}") for n in range(50)], login_event=[attempt(1, "u1")])
+    table, _ = identities(t["person"])
+    text = op.accounts.persons_of_folds(op.accounts.fold_logins(t["login_event"]), t["person"], table)
+    text = text._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in text and len(re.findall(r"Exchange hashpartitioning", text)) == 1
+    assert "login_phone" not in text
