@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fieldledger.session import fresh_dir
 
 # Bytes of text that one slice of an Arrow batch holds at most, unless a single text is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 # Rows of a batch that goes to a Python worker at most: a batch is held whole on both sides, and texts are long.

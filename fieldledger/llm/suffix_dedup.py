@@ -1,8 +1,8 @@
 """Removal of repeated byte strings: suffix order of many strings built column by column.
 
-A string of ``LENGTH`` bytes that starts at two places of the corpus is removed at all of them.
+A string of ``length`` bytes (``LENGTH`` by default) that starts at two places of the corpus is removed at all of them.
 
-1. Anchors. Of all ``GRAM``-byte grams within each window of ``LENGTH`` bytes the one with the smallest hash (the
+1. Anchors. Of all grams of a third of that length within each window of ``length`` bytes the one with the smallest hash (the
    leftmost of equals) is an anchor, so equal strings have an equal anchor at the same place. An anchor's segment is
    all bytes that a window around it can reach, within its document. Anchors that occur once are no repeats; they
    leave packed, before they are rows of a shuffle.
@@ -11,7 +11,7 @@ A string of ``LENGTH`` bytes that starts at two places of the corpus is removed
 3. Columns. The segments of an anchor are aligned at it. From the last column to the first, one symbol of every
    segment is put in front in each round: a stable sort by that symbol turns the order of the suffixes into the next,
    and the common prefix of neighbours is one more than the least common prefix between their places before. A
-   window starts a repeat where a neighbour in the order shares ``LENGTH`` bytes or more. Order, symbols in order
+   window starts a repeat where a neighbour in the order shares ``length`` bytes or more. Order, symbols in order
    (the transform) and common prefixes are passed through once per round, in sequence.
    Anchors with more than ``CROWD`` different segments would not fit a task; their windows are counted by hash.
 4. Spans. The repeats of a segment are one span around its anchor. Spans go back to all places of the segment, are
@@ -22,7 +22,7 @@ The sequential files of the external construction are arrays of one task here: g
 ``BATCH`` segments, which bounds the memory, and nothing is written to a local disk.
 
 Segments are equal when 64-bit hashes of the anchor and of the segment agree. Cases: a null text is an empty one;
-texts shorter than ``LENGTH`` keep everything; rows that repeat a doc_id are documents of their own; an empty table
+texts shorter than ``length`` keep everything; rows that repeat a doc_id are documents of their own; an empty table
 gives an empty one; columns of other names are passed through by :func:`cleaned`.
 """
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,26 @@ from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, prefix_hash, span_hash
 
 LENGTH = 400
-GRAM = 128
 CROWD = 16384
 BATCH = 4096
-#: Bytes of a segment before its anchor; the columns of a segment.
-BEFORE = LENGTH - GRAM
-COLUMNS = BEFORE + LENGTH
 GAP = 256
 
+
+class Shape(NamedTuple):
+    """What follows from the length of a repeat: bytes of a gram, of a segment before its anchor, and its columns."""
+
+    length: int
+    gram: int
+    before: int
+    columns: int
+
+
+def shape(length: int = LENGTH) -> Shape:
+    gram = max(1, 8 * length // 25)
+    return Shape(length, gram, length - gram, 2 * length - gram)
+
+
+
 _POSTING = np.dtype(
     [("key", "<u8"), ("segment", "<i8"), ("doc", "<i8"), ("at", "<i4"), ("before", "<i2"), ("after", "<i2"), ("seen", "<i4")]
 )
@@ -78,34 +91,34 @@ def window_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, of: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Places of the anchors in ``data`` and the hashes of their grams, over all texts."""
     n = len(data)
-    if n < LENGTH:
+    if n < of.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = prefix_hash(data)
-    at = np.arange(n - GRAM + 1)
-    grams = span_hash(prefix, at, at + GRAM)
+    at = np.arange(n - of.gram + 1)
+    grams = span_hash(prefix, at, at + of.gram)
     low = np.uint64((1 << int(n).bit_length()) - 1)
-    least = window_least((grams & ~low) | at.astype(np.uint64), LENGTH - GRAM + 1)
+    least = window_least((grams & ~low) | at.astype(np.uint64), of.length - of.gram + 1)
     starts = np.arange(len(least))
     ends = offsets[np.searchsorted(offsets, starts, "right")]
-    chosen = (least[starts + LENGTH <= ends] & low).astype(np.int64)
+    chosen = (least[starts + of.length <= ends] & low).astype(np.int64)
     if not len(chosen):
         return chosen, np.zeros(0, np.uint64)
     places = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
     return places, grams[places]
 
 
-def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _places(batches: Iterable[pa.RecordBatch], of: Shape) -> Iterator[np.ndarray]:
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = text_buffers(part.column("text"))
-            at, grams = anchors(data, offsets)
+            at, grams = anchors(data, offsets, of)
             if not len(at):
                 continue
             owner = np.searchsorted(offsets, at, "right") - 1
-            low, high = np.maximum(offsets[owner], at - BEFORE), np.minimum(offsets[owner + 1], at + LENGTH)
+            low, high = np.maximum(offsets[owner], at - of.before), np.minimum(offsets[owner + 1], at + of.length)
             segment = mix(span_hash(prefix_hash(data), low, high) + (at - low).astype(np.uint64))
             rows = np.empty(len(at), _POSTING)
             rows["key"], rows["segment"], rows["seen"] = grams, segment.view(np.int64), 1
@@ -114,8 +127,8 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield rows
 
 
-def _packed(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    return dealt(_places(batches), buckets)
+def _packed(batches: Iterable[pa.RecordBatch], buckets: int, of: Shape) -> Iterator[pa.RecordBatch]:
+    return dealt(_places(batches, of), buckets)
 
 
 def _again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +155,11 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CUT_SQL = "anchor long, segment long, n long, before int, bytes binary"
 
 
-def repeated_starts(groups: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+def repeated_starts(groups: np.ndarray, symbols: np.ndarray, of: Shape) -> np.ndarray:
     """For segments (rows of ``symbols``, ``GAP`` where there is no byte) sorted by group: whether the window that
-    starts at each column up to ``BEFORE`` also is in another segment of the group."""
+    starts at each column up to ``of.before`` also is in another segment of the group."""
     m, columns = symbols.shape
-    out = np.zeros((m, BEFORE + 1), bool)
+    out = np.zeros((m, of.before + 1), bool)
     order = np.arange(m)
     common = np.zeros(m, np.int32)  # with the one before in the order
     base = (groups * (GAP + 1)).astype(np.int64)
@@ -164,8 +177,8 @@ def repeated_starts(groups: np.ndarray, symbols: np.ndarray) -> np.ndarray:
             ends = np.column_stack((rank[second - 1] + 1, rank[second] + 1)).ravel()
             fresh[second] = np.minimum.reduceat(np.append(common, 0), ends)[::2] + 1
         order, common = order[rank], fresh
-        if column <= BEFORE:
-            far = common >= LENGTH
+        if column <= of.before:
+            far = common >= of.length
             if far.any():
                 hit = far.copy()
                 hit[:-1] |= far[1:]
@@ -173,23 +186,23 @@ def repeated_starts(groups: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(rows: list[tuple]) -> pa.RecordBatch | None:
+def _compare(rows: list[tuple], of: Shape) -> pa.RecordBatch | None:
     """Rows (anchor, segment, n, before, bytes), whole anchors, sorted by anchor."""
-    symbols = np.full((len(rows), COLUMNS), GAP, np.int16)
+    symbols = np.full((len(rows), of.columns), GAP, np.int16)
     for i, (_, _, _, before, raw) in enumerate(rows):
-        symbols[i, BEFORE - before : BEFORE - before + len(raw)] = np.frombuffer(raw, np.uint8)
+        symbols[i, of.before - before : of.before - before + len(raw)] = np.frombuffer(raw, np.uint8)
     anchor = np.array([r[0] for r in rows], np.int64)
     group = np.concatenate(([0], np.cumsum(anchor[1:] != anchor[:-1])))
-    found = repeated_starts(group, symbols)
+    found = repeated_starts(group, symbols, of)
     hit = np.flatnonzero(found.any(axis=1))
     if not len(hit):
         return None
-    low = found[hit].argmax(axis=1) - BEFORE
-    high = BEFORE - found[hit, ::-1].argmax(axis=1) + LENGTH - BEFORE
+    low = found[hit].argmax(axis=1) - of.before
+    high = of.length - found[hit, ::-1].argmax(axis=1)
     return record_batch(_SPANS, anchor[hit], [rows[i][1] for i in hit], low, high)
 
 
-def _by_columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_columns(batches: Iterable[pa.RecordBatch], of: Shape) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     border = 0
     for batch in batches:
@@ -197,46 +210,46 @@ def _by_columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows and row[0] != rows[-1][0]:
                 border = len(rows)
             if len(rows) >= BATCH and border:
-                out = _compare(rows[:border])
+                out = _compare(rows[:border], of)
                 if out is not None:
                     yield out
                 rows, border = rows[border:], 0
             rows.append(row)
     if rows:
-        out = _compare(rows)
+        out = _compare(rows, of)
         if out is not None:
             yield out
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterable[pa.RecordBatch], of: Shape) -> Iterator[pa.RecordBatch]:
     """Every window of the segments by its hash and its place at the anchor."""
     schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("start", pa.int32()), ("window", pa.int64())])
     for batch in batches:
         for anchor, segment, _, before, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = np.frombuffer(raw, np.uint8)
-            at = np.arange(len(data) - LENGTH + 1)
+            at = np.arange(len(data) - of.length + 1)
             at = at[at <= before]
-            hashes = span_hash(prefix_hash(data), at, at + LENGTH).view(np.int64)
+            hashes = span_hash(prefix_hash(data), at, at + of.length).view(np.int64)
             yield record_batch(
                 schema, np.full(len(at), anchor), np.full(len(at), segment), (at - before).astype(np.int32), hashes
             )
 
 
-def _by_hash(segments: DataFrame) -> DataFrame:
-    windows = segments.mapInArrow(_windows, "anchor long, segment long, start int, window long")
+def _by_hash(segments: DataFrame, of: Shape) -> DataFrame:
+    windows = segments.mapInArrow(partial(_windows, of=of), "anchor long, segment long, start int, window long")
     key = ["anchor", "start", "window"]
     twice = windows.groupBy(*key).count().where("count > 1").select(*key)
     return windows.join(twice, key).groupBy("anchor", "segment").agg(
-        F.min("start").alias("low"), (F.max("start") + LENGTH).cast("int").alias("high")
+        F.min("start").alias("low"), (F.max("start") + of.length).cast("int").alias("high")
     )
 
 
-def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """``doc`` (a hash of doc_id and text) and ``spans`` (start and end of repeated bytes around each anchor, in any
     order, overlapping) of the documents that have any. Writes two tables on the way."""
-    parts = partitions(docs.sparkSession)
-    texts = docs.where(F.octet_length("text") >= LENGTH).select(_document().alias("doc"), "text")
-    packed = texts.mapInArrow(partial(_packed, buckets=4 * parts), PACKED_SQL)
+    parts, of = partitions(docs.sparkSession), shape(length)
+    texts = docs.where(F.octet_length("text") >= length).select(_document().alias("doc"), "text")
+    packed = texts.mapInArrow(partial(_packed, buckets=4 * parts, of=of), PACKED_SQL)
     places = saved(packed.repartition(parts, "bucket").mapInArrow(_again, _PLACES_SQL), "anchors")
     # Equal segments have equal sides; any one place stands for them. All firsts are of one row.
     kinds = places.groupBy("anchor", "segment").agg(
@@ -255,14 +268,14 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         crowded = segments.join(many, "anchor", "left_semi")
         segments = segments.join(many, "anchor", "left_anti")
     dealt = segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "segment")
-    found = dealt.select("anchor", "segment", "n", "before", "bytes").mapInArrow(_by_columns, _SPANS_SQL)
+    found = dealt.select("anchor", "segment", "n", "before", "bytes").mapInArrow(partial(_by_columns, of=of), _SPANS_SQL)
     found = found.unionByName(
         kinds.where("n > 1").select(
             "anchor", "segment", (-F.col("before")).alias("low"), F.col("after").alias("high")
         )
     )
     if crowded is not None:
-        found = found.unionByName(_by_hash(crowded))
+        found = found.unionByName(_by_hash(crowded, of))
     spans = found.groupBy("anchor", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     span = F.struct((F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("end"))
     return places.join(spans, ["anchor", "segment"]).groupBy("doc").agg(F.collect_set(span).alias("spans"))
@@ -305,10 +318,10 @@ def _apply(batches: Iterable[pa.RecordBatch], names: list[str], spans_in: str, t
             yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in names], names=names)
 
 
-def _with_spans(docs: DataFrame, crowd: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, length: int, crowd: int) -> tuple[DataFrame, str]:
     """``docs`` with a column of spans, and its name; documents that surely have none are not shuffled."""
     doc, name = unused(docs, "doc"), unused(docs, "spans")
-    spans = saved(repeats(docs, crowd), "spans")
+    spans = saved(repeats(docs, length, crowd), "spans")
     has_some = bit_filter(spans, "doc")
     spans = spans.select(F.col("doc").alias(doc), F.col("spans").alias(name))
     numbered = docs.withColumn(doc, _document())
@@ -319,18 +332,18 @@ def _with_spans(docs: DataFrame, crowd: int) -> tuple[DataFrame, str]:
     return some.unionByName(none).select(*[f"`{c}`" for c in docs.columns], name), name
 
 
-def cut_out(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def cut_out(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """The columns of ``docs`` but the text, and ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``
     (maximal runs of removed bytes); columns of those names are replaced."""
     results = {"kept": "binary", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint"}
     fields = [f for f in docs.schema.fields if f.name not in results and f.name != "text"]
     names = [f.name for f in fields] + list(results)
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, t in results.items()]
-    rows, spans = _with_spans(docs.select(*[f"`{f.name}`" for f in fields], "text"), crowd)
+    rows, spans = _with_spans(docs.select(*[f"`{f.name}`" for f in fields], "text"), length, crowd)
     return rows.mapInArrow(partial(_apply, names=names, spans_in=spans, text_back=False), ", ".join(schema))
 
 
-def cleaned(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; a null text stays null."""
-    rows, spans = _with_spans(docs, crowd)
+    rows, spans = _with_spans(docs, length, crowd)
     return rows.mapInArrow(partial(_apply, names=docs.columns, spans_in=spans, text_back=True), docs.schema)

@@ -29,10 +29,11 @@ def test_stages_equal_brute_force(spark):
     rows = [tuple(r) for r in docs.collect()]
     docs = saved(stages["suffix-array dedup"](spark, docs, DATA), "stage")
     assert docs.columns == table(spark, DATA, "documents").columns
-    left = {i: n - gone for i, n, gone, _, _ in brute_repeats(rows)}
+    left = {i: (n - gone, runs) for i, n, gone, runs, _ in brute_repeats(rows, corpus_pipeline.PASSAGE_BYTES)}
     got = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert set(got) == set(left)
-    assert all(left[i] - 6 <= len(t.encode()) <= left[i] for i, t in got.items())
+    # What is left of a character that a cut falls into goes too.
+    assert all(left[i][0] - 6 * left[i][1] <= len(t.encode()) <= left[i][0] for i, t in got.items())
     assert docs.where("n_chars <> length(text)").count() == 0
 
     before = {r["doc_id"]: r for r in docs.collect()}
@@ -117,3 +118,12 @@ def test_texts_that_share_a_doc_id_are_judged_by_themselves(spark):
     rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "de", "s", 1), (2, c, "en", "s", 1), (3, b, "en", "s", 1), (0, c, None, None, 0)]
     out = corpus_pipeline.one_of_each(spark, documents(spark, rows), DATA)
     assert ordered(out, "doc_id", "text", "lang") == sorted([(1, a, "en"), (1, b, "de"), (0, c, None)], key=repr)
+
+
+def test_passages_of_51_words_go(spark):
+    passage = prose(700, 51)
+    rows = [(i, f"{prose(710 + i, 30)}\n{passage}\n{prose(720 + i, 30)}", "en", "s", 0) for i in range(6)]
+    rows += [(9, prose(730, 90), "en", "s", 0)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeats(spark, documents(spark, rows), DATA).collect()}
+    assert out[9] == rows[-1][1]
+    assert all(passage[5:-5] not in out[i] and rows[i][1][:100] in out[i] for i in range(6))

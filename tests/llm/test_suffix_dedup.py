@@ -8,16 +8,16 @@ from fieldledger.llm import suffix_dedup
 from tests.llm.helpers import cases, documents, ordered, prose
 
 
-def brute(rows):
+def brute(rows, length=400):
     texts = [(r[1] or "").encode() for r in rows]
     starts = {}
     for i, t in enumerate(texts):
-        for k in range(len(t) - 399):
-            starts.setdefault(t[k : k + 400], []).append((i, k))
+        for k in range(len(t) - length + 1):
+            starts.setdefault(t[k : k + length], []).append((i, k))
     marks = [bytearray(len(t)) for t in texts]
     for places in starts.values():
         for i, k in places if len(places) > 1 else ():
-            marks[i][k : k + 400] = b"\1" * 400
+            marks[i][k : k + length] = b"\1" * length
     out = []
     for r, t, m in zip(rows, texts, marks, strict=True):
         kept = bytes(b for b, gone in zip(t, m, strict=True) if not gone)
@@ -26,8 +26,8 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def found(docs, crowd=suffix_dedup.CROWD):
-    cut = suffix_dedup.cut_out(docs, crowd).withColumn("sha", F.sha2("kept", 256))
+def found(docs, **more):
+    cut = suffix_dedup.cut_out(docs, **more).withColumn("sha", F.sha2("kept", 256))
     return ordered(cut, "doc_id", "n_bytes", "n_removed", "n_spans", "sha")
 
 
@@ -41,7 +41,14 @@ def overlapping():
 
 @pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 1, 3])
 def test_passages_runs_and_copies(spark, crowd):
-    assert found(documents(spark, overlapping()), crowd) == brute(overlapping())
+    assert found(documents(spark, overlapping()), crowd=crowd) == brute(overlapping())
+
+
+@pytest.mark.parametrize("length", [60, 200])
+def test_other_lengths(spark, length):
+    rows = overlapping() + [(50 + i, prose(70 + i, 30) + " " + prose(99, 51) + " " + prose(80 + i, 30), None, None, None) for i in range(3)]
+    want = brute(rows, length)
+    assert found(documents(spark, rows), length=length) == want and sum(r[2] > 0 for r in want[-3:]) == 3
 
 
 def test_cases(spark):
@@ -51,7 +58,7 @@ def test_cases(spark):
 def test_batches_of_groups(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH", 3)
     rows = []
-    for batch in [suffix_dedup._by_columns(batches(overlapping()[:9])), suffix_dedup._by_columns(batches(overlapping()[:9], 2))]:
+    for batch in [suffix_dedup._by_columns(batches(overlapping()[:9], n), suffix_dedup.shape()) for n in (1000, 2)]:
         rows.append(sorted(tuple(r.values()) for b in batch for r in b.to_pylist()))
     assert rows[0] == rows[1] and rows[0]
 
@@ -62,11 +69,11 @@ def batches(rows, size=1000):
 
     data = "".join(r[1] for r in rows).encode()
     offsets = np.concatenate(([0], np.cumsum([len(r[1].encode()) for r in rows])))
-    at, grams = suffix_dedup.anchors(np.frombuffer(data, np.uint8), offsets)
+    at, grams = suffix_dedup.anchors(np.frombuffer(data, np.uint8), offsets, suffix_dedup.shape())
     owner = np.searchsorted(offsets, at, "right") - 1
     found = []
     for i, (a, g, o) in enumerate(zip(at.tolist(), grams.view(np.int64).tolist(), owner, strict=True)):
-        low, high = max(a - suffix_dedup.BEFORE, int(offsets[o])), min(a + 400, int(offsets[o + 1]))
+        low, high = max(a - suffix_dedup.shape().before, int(offsets[o])), min(a + 400, int(offsets[o + 1]))
         found.append({"anchor": g, "segment": i, "n": 1, "before": a - low, "bytes": data[low:high]})
     found.sort(key=lambda r: (r["anchor"], r["segment"]))
     return pa.Table.from_pylist(found).to_batches(max_chunksize=size)
@@ -79,8 +86,8 @@ def test_equal_strings_have_equal_anchors():
     for i in range(20):
         before = rng.integers(97, 101, 50 + 13 * i, dtype=np.uint8)
         data = np.concatenate((before, inner, rng.integers(97, 101, 300, dtype=np.uint8)))
-        at, _ = suffix_dedup.anchors(data, np.array([0, len(data)]))
-        places.append({int(a) - len(before) for a in at if 0 <= a - len(before) <= suffix_dedup.BEFORE})
+        at, _ = suffix_dedup.anchors(data, np.array([0, len(data)]), suffix_dedup.shape())
+        places.append({int(a) - len(before) for a in at if 0 <= a - len(before) <= suffix_dedup.shape().before})
     assert set.intersection(*places)
 
 
