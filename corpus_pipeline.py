@@ -4,7 +4,7 @@
 2. n-gram Jaccard join, on shingles of ``NEAR_WORDS`` words and a similarity of ``NEAR_PERCENT`` / 100: of each group of
    near copies the document with the smallest doc_id stays; rows without a doc_id stay. Rows are told apart by doc_id
    and text: rows that repeat both become one, other texts under a repeated doc_id are documents of their own.
-3. suffix-array dedup: byte strings that repeat anywhere in what is left are cut out of the texts.
+3. suffix-array dedup: strings of ``PASSAGE_BYTES`` bytes that repeat anywhere in what is left are cut out of the texts.
 4. mixing: documents are taken as often as their source's target weight asks, and shuffled over shards.
 5. SentencePiece: every text is encoded and decoded; adds n_pieces, piece_ids, ids_crc32 and decoded.
 
@@ -28,6 +28,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: The near-copy stage; the operator by itself has other defaults.
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+#: Bytes of a passage that the dedup stage takes out: nearly all runs of 51 words have as many.
+PASSAGE_BYTES = 200
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
-    clean = suffix_dedup.cleaned(docs)
+    clean = suffix_dedup.cleaned(docs, PASSAGE_BYTES)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean
