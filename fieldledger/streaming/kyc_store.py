@@ -37,8 +37,7 @@ def _bucket(buckets: int) -> Column:
 
 
 def _write(rows: DataFrame, log: ManifestLog, buckets: int) -> str:
-    """Write rows by bucket and return the folder. Rows of a bucket are spread by their own hash, so a farmer with very many
-    rows does not go through one task."""
+    """Write rows by bucket and return the folder. Every task writes the rows it has to their buckets; none is shuffled for it."""
     folder = f"stage={uuid.uuid4().hex}"
     rows.withColumn("bucket", _bucket(buckets)).write.partitionBy("bucket").parquet(f"{log.base}/{folder}")
     return folder
