@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm import jaccard_join, mixing, quality, sentencepiece_codec, suffix_dedup
-from fieldledger.llm.common import reach_workers, saved, table, unused
+from fieldledger.llm.common import reach_workers, saved, table, told, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,13 +43,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = unused(docs, "_row")
     rows = docs.where("doc_id is not null").withColumn(key, F.xxhash64("doc_id", "text"))
     found = jaccard_join.similar(rows.select(F.col(key).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    groups = found.select(F.col("doc_id").alias(key), "component_id").distinct()
-    first = groups.join(rows.select(key, "doc_id").distinct(), key).groupBy("component_id")
-    first = first.agg(F.min(F.struct("doc_id", key)).alias("first")).select(f"first.{key}")
+    found = found.groupBy(F.col("doc_id").alias(key), "component_id").agg(F.count("*").alias("n_rows"))
+    known = saved(found.join(rows.select(key, "doc_id").distinct(), key), "groups")
+    first = known.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first")).select(f"first.{key}")
+    first = saved(first, "first")
+    # Texts are shuffled only where a row repeats or a filter can't tell it from one that goes.
+    others = known.select(key).join(first, key, "left_anti").unionByName(known.where("n_rows > 1").select(key))
+    sure, several = told(rows, key, first, others)
     # Rows of one doc_id and text become the least of them.
     columns = [f"`{c}`" for c in docs.columns]
-    kept = rows.join(first, key, "left_semi").groupBy(key).agg(F.min(F.struct(*columns)).alias("row"))
-    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+    least = several.groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return sure.select(*columns).unionByName(least).unionByName(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

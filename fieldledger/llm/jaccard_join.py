@@ -16,8 +16,8 @@ their Jaccard similarity is at least ``percent`` / 100 (``PERCENT`` by default);
    list leave it.
 5. Star rounds compare every member of a list with one centre, which most lists of a group of near copies agree on.
    Members of one component need no comparison, so a large group of near copies costs one comparison a member.
-6. Members that are left in different components of a list are compared block against block, in numpy; lists that
-   share members are taken together up to ``CANOPY`` sets. Only links that join components leave the task, so all
+6. Members that are left in different components of a list are compared block against block, in numpy; members that
+   hang together by pairs that may link, over all lists, are taken together up to ``CANOPY`` sets. Only links that join components leave the task, so all
    pairs of a group are never rows.
 
 Comparisons are exact on the hashes. Cases: an empty set (null text, no words) links with nothing; fewer words than
@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers, wanted
-from fieldledger.llm.graph import components
+from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers, told, wanted
+from fieldledger.llm.graph import components, hung
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, shingle_sets
 
@@ -192,6 +192,8 @@ def _postings(batches, width: int, percent: int, frequent: np.ndarray, places: n
 
 _LISTED = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
 _LISTED_SQL = "token long, set long, n int"
+_ROOTED = _LISTED.append(pa.field("root", pa.int64()))
+_ROOTED_SQL = f"{_LISTED_SQL}, root long"
 
 
 def _survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +202,11 @@ def _survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_LISTED, rows["key"].astype(np.uint64).view(np.int64), rows["set"], rows["n"])
 
 
-def _wanted_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("set", pa.int64()), ("members", pa.binary())])
-    for part, sets, names in _sets(batches, width):
-        right = np.flatnonzero(names == part.column("set").to_numpy())
-        yield record_batch(schema, names[right], [sets[i].tobytes() for i in right])
+    for _, sets, names in _sets(batches, width):
+        full = [i for i, s in enumerate(sets) if len(s)]
+        yield record_batch(schema, names[full], [sets[i].tobytes() for i in full])
 
 
 def _links(shared: np.ndarray | int, m: np.ndarray | int, n: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -224,8 +226,9 @@ def _test(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
 
 def _pruned(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Members of each list (rows sorted by token) that may link with one of another label."""
-    found: list[tuple[int, int, int]] = []
+    """Members of each list (rows sorted by token) that may link with one of another label; those that hang together by
+    such pairs have the same ``root``, one of them."""
+    found: list[tuple[int, int, int, int]] = []
 
     def look(rows: list[tuple]) -> None:
         if len(rows) < 2:
@@ -236,7 +239,10 @@ def _pruned(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         shared = np.minimum(most_shared(marks, marks), low)
         labels = np.array([r[4] for r in rows])
         good = _links(shared, low, high, percent) & (labels[:, None] != labels[None, :])
-        found.extend(rows[i][:3] for i in np.flatnonzero(good.any(axis=1)))
+        root = np.arange(len(rows))
+        nodes, least = hung(*np.nonzero(np.triu(good)))
+        root[nodes] = least
+        found.extend((*rows[i][:3], rows[root[i]][1]) for i in np.flatnonzero(good.any(axis=1)))
 
     held: list[tuple] = []
     for batch in batches:
@@ -246,11 +252,11 @@ def _pruned(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 held = []
             held.append(row)
         if len(found) > 100_000:
-            yield record_batch(_LISTED, *zip(*found, strict=True))
+            yield record_batch(_ROOTED, *zip(*found, strict=True))
             found.clear()
     look(held)
     if found:
-        yield record_batch(_LISTED, *zip(*found, strict=True))
+        yield record_batch(_ROOTED, *zip(*found, strict=True))
 
 
 def _possible(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -377,13 +383,17 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     sketches = profile.where("kind = 0").join(lists.select(F.col("set").alias("b")).distinct(), "b", "left_semi")
     sketches = sketches.groupBy(F.col("b").alias("set")).agg(F.max("sketch").alias("sketch"))
     sketches = saved(sketches, "sketches")
-    lists = saved(_distinct_lists(_without_far(_labelled(lists, None), sketches, parts, percent)), "lists")
+    lists = saved(_distinct_lists(_without_far(_labelled(lists, None), sketches, parts, percent).drop("root")), "lists")
     # The sets in question, from one document each.
     one = own.join(lists.select("set").distinct(), "set", "left_semi").where("doc_id is not null")
     one = saved(one.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    asked = wanted(docs.where("doc_id is not null"), "doc_id", one, "doc_id").join(one, "doc_id")
+    # Their texts are not shuffled; a set's name follows from its text.
+    asked = one.select("doc_id").distinct()
+    others = own.where("doc_id is not null").select("doc_id").join(asked, "doc_id", "left_anti")
+    sure, doubtful = told(docs.where("doc_id is not null"), "doc_id", asked, others)
     members = saved(
-        asked.select("set", "text").mapInArrow(partial(_wanted_sets, width=width), "set long, members binary"), "sets"
+        sure.unionByName(doubtful).select("text").mapInArrow(partial(_members, width=width), "set long, members binary"),
+        "sets",
     )
     if members.count() > members.select("set").distinct().count():  # rows that repeat a doc_id
         members = saved(members.dropDuplicates(["set"]), "sets")
@@ -423,8 +433,10 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     state = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     labelled = labelled.join(state.where("low <> high").select("token"), "token", "left_semi")
     open_lists = saved(_labelled(_distinct_lists(_without_far(labelled, sketches, parts, percent)), labels), "open")
-    first = open_lists.groupBy("token").agg(F.min("set").alias("b"))
-    canopies = components(open_lists.join(first, "token").select(F.col("set").alias("a"), "b"))
+    # A list ties together only members that may link; other lists of a member may be about other sets.
+    first = open_lists.where("root is null").groupBy("token").agg(F.min("set").alias("first"))
+    tied = open_lists.join(first, "token", "left")
+    canopies = components(tied.select(F.col("set").alias("a"), F.coalesce("root", "first").alias("b")))
     sizes = canopies.groupBy("component").agg(F.count("*").alias("size"))
     small_ones = canopies.join(sizes.where(F.col("size") <= CANOPY), "component")
     small_ones = small_ones.select(F.col("node").alias("set"), F.col("component").alias("canopy"))
@@ -432,8 +444,11 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         "set",
         "n",
         "label",
-        F.when(F.col("canopy").isNull(), F.struct(F.lit(0).alias("kind"), F.col("token").alias("number")))
-        .otherwise(F.struct(F.lit(1).alias("kind"), F.col("canopy").alias("number"))).alias("group"),
+        F.struct(
+            F.col("canopy").isNotNull().cast("int").alias("kind"),
+            F.coalesce("canopy", "token").alias("number"),
+            F.when(F.col("canopy").isNull(), F.coalesce("root", F.lit(0))).otherwise(0).alias("part"),
+        ).alias("group"),
     ).distinct()
     grouped = saved(grouped, "groups")
     # A block has about BLOCK sets and BLOCK_MEMBERS shingles at most.
@@ -447,7 +462,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             "set",
             "label",
             F.concat_ws(
-                "-", "group.kind", "group.number", F.least("block", "partner"), F.greatest("block", "partner")
+                "-", "group.kind", "group.number", "group.part", F.least("block", "partner"), F.greatest("block", "partner")
             ).alias("pair"),
             (F.col("block") > F.col("partner")).cast("int").alias("side"),
         )
@@ -483,15 +498,17 @@ def _distinct_lists(listed: DataFrame) -> DataFrame:
 
 
 def _without_far(labelled: DataFrame, sketches: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Lists of up to ``BLOCK`` sets without the members that can link with none of another label; longer ones whole."""
+    """Lists of up to ``BLOCK`` sets without the members that can link with none of another label, and
+    their roots; longer ones whole, without roots."""
     compared = (
         labelled.where(F.col("m") <= BLOCK)
         .join(sketches, "set")
         .repartition(parts, "token")
         .sortWithinPartitions("token")
-        .mapInArrow(partial(_pruned, percent=percent), _LISTED_SQL)
+        .mapInArrow(partial(_pruned, percent=percent), _ROOTED_SQL)
     )
-    return saved(compared.unionByName(labelled.where(F.col("m") > BLOCK).select("token", "set", "n")), "pruned")
+    longer = labelled.where(F.col("m") > BLOCK).select("token", "set", "n", F.lit(None).cast("long").alias("root"))
+    return saved(compared.unionByName(longer), "pruned")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -1,8 +1,10 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
-from fieldledger.llm import jaccard_join
+from fieldledger.llm import common, jaccard_join
+from fieldledger.llm.common import told
 from tests.llm.helpers import cases, documents, edited, ordered, prose, spaced
 
 
@@ -84,3 +86,27 @@ def test_sketches_bound_what_sets_share():
             assert bound[i, j] >= len(np.intersect1d(x, y))
     few = jaccard_join.most_shared([jaccard_join.sketch(sets[3])], [jaccard_join.sketch(sets[5])])[0, 0]
     assert few < 0.95 * 300
+
+
+def test_a_list_ties_only_members_that_may_link(spark):
+    rng = np.random.default_rng(4)
+    families = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)) for _ in range(3)]
+    sets = [s[i:] for s in families for i in range(4)]
+    columns = [[7] * 12, range(12), [len(s) for s in sets], [jaccard_join.sketch(s).tobytes() for s in sets], range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set", "n", "sketch", "label"])
+    rows = [r for b in jaccard_join._pruned([batch], 85) for r in b.to_pylist()]
+    assert {r["set"]: r["root"] // 4 for r in rows} == {i: i // 4 for i in range(12)}
+    assert len({r["root"] for r in rows}) == 3
+
+
+def test_texts_in_question_are_not_shuffled(spark, monkeypatch):
+    """Rows known by a filter stay where they are; doubtful ones are told by a join, whatever the size of the filter."""
+    ids = spark.range(3000).selectExpr("id as doc_id")
+    chosen, others = ids.where("doc_id % 3 = 0"), ids.where("doc_id % 3 > 0")
+    sure, doubtful = told(ids.withColumnRenamed("doc_id", "a"), "a", chosen, others)
+    assert "hashpartitioning" not in sure._jdf.queryExecution().executedPlan().toString()
+    assert sure.count() == 1000 and doubtful.count() == 0
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 10)
+    sure, doubtful = told(ids.withColumnRenamed("doc_id", "a"), "a", chosen, others)
+    assert doubtful.count() > 0
+    assert sorted(r["a"] for r in sure.unionByName(doubtful).collect()) == list(range(0, 3000, 3))

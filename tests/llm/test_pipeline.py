@@ -127,3 +127,15 @@ def test_passages_of_51_words_go(spark):
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeats(spark, documents(spark, rows), DATA).collect()}
     assert out[9] == rows[-1][1]
     assert all(passage[5:-5] not in out[i] and rows[i][1][:100] in out[i] for i in range(6))
+
+
+def test_near_copy_stage_shuffles_few_texts(spark):
+    """Only texts of rows that repeat go through a shuffle when the stage's result is made."""
+    rows = [(i, prose(800 + i, 60), "en", "s", 0) for i in range(40)]
+    rows += [rows[0], (50, rows[1][1], "en", "s", 0), (51, edited(prose(802, 60), 1, 1), "en", "s", 0)]
+    out = corpus_pipeline.one_of_each(spark, documents(spark, rows), DATA)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(40))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Of the branches of the union the first one has no exchange but of broadcasts.
+    branches = plan[plan.index("Union") :].split("Scan ExistingRDD")
+    assert "hashpartitioning" not in branches[0]
