@@ -70,6 +70,13 @@ def words(text: str) -> list[str]:
     return [" " + first, *[" " + w for w in rest]]
 
 
+def rests(text: str) -> list[str]:
+    """The :func:`words` of a text, each without the space that starts it."""
+    if text and ("  " in text or text[0] == " "):
+        return [w[1:] for w in words(text)]
+    return text.split(" ") if text else []
+
+
 class Cached(dict):
     """Remembers what ``make`` gives for a word; starts anew when it holds ``CACHED_WORDS``."""
 

@@ -2,9 +2,10 @@
 
 The model protobuf is parsed and rebuilt: normalizer (identity, or the precompiled character map), the mark for
 spaces and the space put first, pieces with their scores (a unigram model) or merges in the order of the scores (a
-BPE model), and byte fallback. New words of a batch are encoded at once by the library's threads and remembered
-per worker; where pieces may reach over spaces or a normalizer has rules, whole texts are encoded instead.
-``verify`` compares ids and decoded texts with the SentencePiece library.
+BPE model), and byte fallback. New words of a batch are encoded by the rebuilt model and remembered per worker; where
+pieces may reach over spaces or a normalizer has rules, whole texts are encoded instead. Whatever a worker encodes for
+the first time, of every text, is compared with the SentencePiece library, ids and decoded text; a difference fails.
+No piece reaches over a space where words are encoded, so a text has the ids of its words.
 
 Cases: a null text gives null ids and a null decoded text, an empty one no ids; a mark character in a text decodes
 to a space; rows are handled one by one; an empty table gives an empty one; other columns are passed through, and a
@@ -26,9 +27,6 @@ from pyspark.sql import functions as F
 from fieldledger.llm import pieces as sp
 from fieldledger.llm.common import record_batch, slices
 
-# Documents that ``verify`` takes at most, and their length.
-SAMPLE, SAMPLE_CHARS = 500, 8192
-
 
 def _merges(model: sp.Model) -> list[tuple[str, str]]:
     """All ways to make a piece from two others; better pieces first, of one piece by the ids of its parts."""
@@ -77,10 +75,13 @@ class Codec:
     """Encodes and decodes texts; one per worker."""
 
     def __init__(self, path: str) -> None:
+        import sentencepiece
+
         # Threads of the library; a worker is started before it loads the library, so none are lost.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = sp.load(path)
         self.tokenizer = build(path)
+        self.other = sentencepiece.SentencePieceProcessor(model_file=path)
         simple = not self.model.normalizer and not self.model.extra_spaces_go
         self.by_word = simple and self.model.dummy_prefix and self.model.splits_at_spaces
         self.known: dict[str, bytes] = {}
@@ -90,26 +91,41 @@ class Codec:
         ]
         self.bytes[self.model.unknown] = " ⁇ ".encode()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _texts(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words without the space that starts them; the normalizer marks it and those that follow."""
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(sp.MARK + w.replace(" ", sp.MARK))] if w else [] for w in words]
+
+    def _compared(self, texts: list[str], found: list[list[int]]) -> list[bytes]:
+        """The ids as bytes, after a comparison with the SentencePiece library."""
+        back = self.other.decode(found) if found else []
+        for text, ids, right, decoded in zip(texts, found, self.other.encode(texts, num_threads=1), back, strict=True):
+            if ids != right or self.decode(ids) != decoded:
+                raise ValueError(f"the rebuilt tokenizer differs from the model on {text[:200]!r}")
+        return [np.array(ids, "<i4").tobytes() for ids in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids of each text as little-endian 32-bit integers; null for null."""
         if not self.by_word:
-            return [None if t is None else i for t, i in zip(texts, self._ids([t or "" for t in texts]), strict=True)]
+            plain = [t or "" for t in texts]
+            found = self._compared(plain, self._texts(plain))
+            return [None if t is None else i for t, i in zip(texts, found, strict=True)]
         if len(self.known) >= sp.CACHED_WORDS:
             self.known.clear()
-        parts = [None if t is None else sp.words(t) for t in texts]
-        new = list({w for p in parts if p for w in p} - self.known.keys())
-        # The space that starts a word is the one that the normalizer puts first.
-        self.known.update(zip(new, self._ids([w[1:] for w in new]), strict=True))
+        parts = [None if t is None else sp.rests(t) for t in texts]
+        new = list(set().union(*filter(None, parts)).difference(self.known))
+        self.known.update(zip(new, self._compared(new, self._words(new)), strict=True))
         # A lone space has an empty rest, for which the normalizer puts nothing.
-        if " " in self.known and not self.known[" "]:
-            self.known[" "] = np.array([self.tokenizer.token_to_id(sp.MARK)], "<i4").tobytes()
+        if "" in self.known and not self.known[""]:
+            self.known[""] = np.array([self.tokenizer.token_to_id(sp.MARK)], "<i4").tobytes()
         return [None if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.bytes[i] for i in ids.tolist()]).decode(errors="replace")
+    def decode(self, ids: Iterable[int]) -> str:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        text = b"".join([self.bytes[i] for i in ids]).decode(errors="replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -119,16 +135,8 @@ def codec(path: str) -> Codec:
 
 
 def verify(docs: DataFrame, path: str) -> None:
-    """Compares ids and decoded texts with the SentencePiece library on at most ``SAMPLE`` texts; fails on a difference."""
-    import sentencepiece
-
-    rows = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(SAMPLE).collect()
-    texts = [r["text"] for r in rows]
-    other = sentencepiece.SentencePieceProcessor(model_file=path)
-    for text, raw, ids in zip(texts, codec(path).encode(texts), other.encode(texts, num_threads=1), strict=True):
-        own = np.frombuffer(raw, "<i4")
-        if own.tolist() != ids or codec(path).decode(own) != other.decode(ids):
-            raise ValueError(f"the rebuilt tokenizer differs from the model on {text[:200]!r}")
+    """Encodes and compares all texts by itself; :func:`encoded` compares them as well. Fails on a difference."""
+    encoded(docs.select("text"), path, ["n_pieces"]).agg(F.sum("n_pieces")).first()
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:

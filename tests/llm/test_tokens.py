@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -88,6 +89,22 @@ def test_counts_and_codec_on_tables(spark):
     assert token_counts.token_counts(documents(spark, []), PIECES).count() == 0
 
 
+def test_every_text_is_compared_with_the_library(monkeypatch):
+    """A difference in one word of the last of many texts, beyond any sample, fails."""
+    tool = sentencepiece_codec.Codec(PIECES)
+    monkeypatch.setattr(sentencepiece_codec, "codec", lambda path: tool)
+    texts = [f"text number {i}" for i in range(700)] + ["x " * 5000 + "zebra"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    rows = pa.Table.from_batches(sentencepiece_codec._encoded([batch], PIECES, ["text", "decoded"]))
+    assert rows["decoded"].to_pylist() == texts
+    tool.known.clear()
+    wrong, right = SENTENCES.piece_to_id("a"), SENTENCES.encode("zebra")[0]
+    words = tool._words
+    monkeypatch.setattr(tool, "_words", lambda new: [[wrong if i == right else i for i in w] for w in words(new)])
+    with pytest.raises(ValueError, match="differs from the model"):
+        list(sentencepiece_codec._encoded([batch], PIECES, ["text", "decoded"]))
+
+
 def plain_store(rows):
     """Documents in order (null ids first, repeats by the hash of their text are taken as they come)."""
     out, start = [], 0
