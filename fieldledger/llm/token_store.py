@@ -17,18 +17,21 @@ apart, ordered by the hash of their text; an empty table gives an empty store; o
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import partitions, record_batch
+from fieldledger.llm.common import partitions, record_batch, slices, text_buffers
 
 # Bounds of the sample that the dictionary is trained on, and of the dictionary.
 SAMPLE_DOCUMENTS = 1000
@@ -38,14 +41,36 @@ DICTIONARY_BYTES = 64 << 10
 PACK_IDS = 1 << 19
 PACK_DOCUMENTS = 4096
 END_ID = 0
-# Entries of the per-worker cache of encoded words.
+# Bytes of text that are encoded at once, unless a single text is longer; equal pieces in them are looked up once.
+ENCODED_BYTES = 4 << 20
+# Bounds of the per-worker cache of encoded pieces: entries, and ids of all of them.
 CACHED_WORDS = 400_000
+CACHED_IDS = 8 << 20
+# Parts that the library gets at once.
+PARTS = 1000
 
-# The split pattern of this byte-level vocabulary.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The split pattern of this byte-level vocabulary. Pieces are split joined by a character that stands for
+# the end of a text: no UTF-8 has its byte.
+_END, _END_BYTE = "\udcff", 0xFF
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}{_END}]+|\s+(?![^\s{_END}])|\s+"
+# From this byte on a character may be beyond Latin Extended-B.
+_FAR = 0xC9
 
-_TWO_SPACES = regex.compile(r"\s\s")
-_BREAK = regex.compile(r"(?<=\S) (?=\S)")
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+_SPACE = _bytes((0x09, 0x0D), (0x20, 0x20))
+_LETTER = _bytes((0x41, 0x5A), (0x61, 0x7A))
+_MARK = _bytes((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+# What may be white space to one library and not to another counts as such.
+_NOT_VISIBLE = _SPACE | _bytes((0x1C, 0x1F))
+# The first bytes of white space of three bytes, and the second ones of C3 that are no letters.
+_WIDE, _SIGN = _bytes((0xE1, 0xE3)), _bytes((0x97, 0x97), (0xB7, 0xB7))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,56 +81,130 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class _Words(dict):
-    """Id bytes of what stands between two single spaces, space before it included; encodes what is missing.
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of some texts start: at each text, at ASCII white space after a visible character, and at an
+    ASCII mark (but ') after a letter of Latin-1.
+
+    No part of the split pattern goes on there, and none looks back, so a piece is split alike wherever it stands.
+    White space beyond ASCII starts with a byte C2, E1, E2 or E3."""
+    at = np.flatnonzero((_SPACE | _MARK)[data])
+    at = at[at > 0]
+    before, second, third = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    ends_visible = ~_NOT_VISIBLE[before] & (second != 0xC2) & ~_WIDE[third]
+    ends_letter = _LETTER[before] | ((second == 0xC3) & ~_SIGN[before])
+    first = np.zeros(len(data) + 1, bool)
+    first[at[np.where(_SPACE[data[at]], ends_visible, ends_letter)]] = True
+    first[offsets] = True
+    return np.flatnonzero(first[:-1])
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
 
-    A piece that ends before a single space between two visible characters is encoded alike wherever it
-    stands: the split pattern always starts a new part there. Texts are cut only at such spaces."""
+
+class _Words:
+    """Encodes the distinct pieces of many texts through the library, and remembers them for the next texts."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # Spark runs a worker per core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT).findall
-        self.letters = _byte_letters()
-        self.parts: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.encode(" " + piece)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[piece] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Through the model, part by part; through the whole tokenizer where a character is beyond
-        Latin Extended-B, so that the character classes are the library's own."""
-        if text and max(text) > "ɏ":
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = b""
-        for part in self.split(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= CACHED_WORDS:
-                    self.parts.clear()
-                word = part.encode().decode("latin-1").translate(self.letters)
-                ids = np.array([t.id for t in self.whole.model.tokenize(word)], "<u4").tobytes()
-                self.parts[part] = ids
-            out += ids
+        # The same model, for parts that are written in the letters of the vocabulary, none of which is white space.
+        self.parts = Tokenizer(self.whole.model)
+        self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = _byte_letters()
+        self.letters = np.array([ord("\n") if b == _END_BYTE else ord(letters[b]) for b in range(256)], "<u4")
+        vocabulary = self.whole.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
+        self._keep(pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def _keep(self, pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers pieces, how many ids each has, and their ids one after another."""
+        self.pieces, self.sizes, self.known_ids = pieces, sizes, ids
+        self.met = np.zeros(len(pieces), bool)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _near(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without characters beyond Latin Extended-B: split here, parts through the model."""
+        joined = np.insert(data, offsets[1:-1], _END_BYTE).tobytes().decode(errors="surrogateescape")
+        found = []
+        for parts in itertools.batched(self.split(joined), PARTS):
+            raw = _END.join(parts).encode(errors="surrogateescape")
+            text = self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+            found.append(np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        # Every byte is in one id, so the bytes of the ids tell where a piece ends.
+        ends = np.append(0, np.cumsum(self.lengths[ids]))
+        border = np.searchsorted(ends, offsets)
+        if not np.array_equal(ends[np.minimum(border, len(ids))], offsets):
+            raise ValueError("the ids of a text do not spell it")
+        return np.diff(border), ids
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Encodes and remembers pieces; returns their numbers. Those with characters beyond Latin Extended-B go through
+        the whole tokenizer, so that the character classes are the library's own."""
+        data, offsets = text_buffers(new)
+        far = np.zeros(len(new), bool)
+        far[np.searchsorted(offsets, np.flatnonzero(data >= _FAR), "right") - 1] = True
+        order = np.argsort(far, kind="stable")
+        new = new.take(pa.array(order))
+        near = len(new) - int(far.sum())
+        sizes, ids = self._near(*text_buffers(new.slice(0, near)))
+        more = self._whole([p.decode() for p in new.slice(near).to_pylist()])
+        number = np.empty(len(new), np.int64)
+        number[order] = len(self.pieces) + np.arange(len(new))
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.sizes = np.concatenate([self.sizes, sizes, np.array(list(map(len, more)), np.int64)])
+        self.known_ids = np.concatenate([self.known_ids, ids, *(np.array(m, "<u4") for m in more)])
+        self.met = np.append(self.met, np.zeros(len(new), bool))
+        return number
+
+    def _forget(self) -> None:
+        """Beyond a bound, what was not met again leaves; everything, if that is too little."""
+        if len(self.pieces) <= CACHED_WORDS and len(self.known_ids) <= CACHED_IDS:
+            return
+        met, kept = self.met, np.repeat(self.met, self.sizes)
+        if 2 * met.sum() > CACHED_WORDS or 2 * kept.sum() > CACHED_IDS:
+            met, kept = np.zeros_like(met), np.zeros_like(kept)
+        self._keep(self.pieces.filter(pa.array(met)), self.sizes[met], self.known_ids[kept])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """All ids of each text as little-endian unsigned 32-bit integers; a null counts as an empty text."""
+        data, offsets = text_buffers(texts)
+        starts = piece_starts(data, offsets)
+        coded = _binary(data, np.append(starts, len(data))).dictionary_encode()
+        number = pc.index_in(coded.dictionary, value_set=self.pieces)
+        fresh = number.is_null().to_numpy(zero_copy_only=False)
+        number = number.fill_null(0).to_numpy().astype(np.int64)
+        self.met[number[~fresh]] = True
+        if fresh.any():
+            number[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)))
+        number = number[coded.indices.to_numpy()]
+        counts = self.sizes[number]
+        ends = np.append(0, np.cumsum(counts))
+        # The ids of a piece stand together; those of all pieces in turn are taken from there.
+        shift = (np.cumsum(self.sizes) - self.sizes)[number] - ends[:-1]
+        ids = self.known_ids[np.repeat(shift, counts) + np.arange(ends[-1])].tobytes()
+        border = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+        out = [ids[a:b] for a, b in itertools.pairwise(border)]
+        self._forget()
+        # Added tokens are cut out before words are split, and may take the space beside them.
+        for added in self.added:
+            has = pc.fill_null(pc.match_substring(texts, added), False).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(has).tolist():
+                out[i] = np.array(self._whole([texts[i].as_py()])[0], "<u4").tobytes()
         return out
 
     def ids(self, text: str) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            # Added tokens are cut out before words are split, and may take the space beside them.
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = text.split(" ") if _TWO_SPACES.search(text) is None else _BREAK.split(text)
-        first = self.encode(pieces[0]) if pieces[0] else b""
-        return first + b"".join(map(self.__getitem__, pieces[1:]))
+        return self.encode(pa.array([text], pa.string()))[0]
 
 
 @cache
@@ -128,7 +227,8 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 def _sample_ids(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("ids", pa.binary())])
     for batch in batches:
-        yield record_batch(schema, [encoder(path).ids(t) for t in batch.column("text").to_pylist()])
+        for part in slices(batch, "text", ENCODED_BYTES):
+            yield record_batch(schema, encoder(path).encode(part.column("text")))
 
 
 _PACKS = (
@@ -143,6 +243,12 @@ _ARROW = pa.schema(
 )
 
 
+def _encoded(batch: pa.RecordBatch, words: _Words) -> Iterator[tuple[int, int | None, bytes]]:
+    for part in slices(batch, "text", ENCODED_BYTES):
+        columns = (part.column(c).to_pylist() for c in ("bucket", "doc_id"))
+        yield from zip(*columns, words.encode(part.column("text")), strict=True)
+
+
 def _pack(batches: Iterable[pa.RecordBatch], path: str, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket and document become packs; a pack holds documents of one bucket."""
     words = encoder(path)
@@ -160,13 +266,13 @@ def _pack(batches: Iterable[pa.RecordBatch], path: str, dictionary: bytes) -> It
 
     total = 0
     for batch in batches:
-        for at, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text")), strict=True):
+        for at, doc, ids in _encoded(batch, words):
             if docs and (at != bucket or total >= PACK_IDS or len(docs) >= PACK_DOCUMENTS):
                 yield closed()
                 number = number + 1 if at == bucket else 0
                 docs, lengths, frames, total = [], [], [], 0
             bucket = at
-            ids = words.ids(text or "") + end
+            ids += end
             docs.append(doc)
             lengths.append(len(ids) // 4)
             frames.append(packer.compress(ids))

@@ -105,6 +105,57 @@ def test_every_text_is_compared_with_the_library(monkeypatch):
         list(sentencepiece_codec._encoded([batch], PIECES, ["text", "decoded"]))
 
 
+SPACES = " \t\n\x0b\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\u180e\ufeff"
+MIXED = st.text(st.sampled_from(SPACES + "ab1.,'s’\x00\x7fßàö×÷ªµ²½ɏɐЖ日😀"), max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(MIXED, ANY, st.just("<|endoftext|>")), max_size=8))
+def test_texts_of_a_batch_equal_the_library(texts):
+    """Pieces are cut and looked up over a whole batch; texts, white space and marks must not run together."""
+    plain = Tokenizer.from_file(BYTES)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        got = token_store.encoder(BYTES).encode(pa.array(["x", *texts, None], kind).slice(1))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [*want, []]
+
+
+def test_new_words_of_a_batch_go_to_the_library_together():
+    """10,000 words that were not met before took as many calls."""
+    words = token_store._Words(BYTES)
+    calls, library = [], words.parts
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    words.parts = Counted()
+    texts = pa.array([" ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}x{i * j:x}" for j in range(100)) for i in range(100)])
+    want = [np.array(BYTE_BPE.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts.to_pylist()]
+    assert words.encode(texts) == want and 0 < len(calls) <= 50
+    before = len(calls)
+    assert words.encode(texts) == want and len(calls) == before
+
+
+@pytest.mark.parametrize("most", [0, 3, 60])
+def test_pieces_that_were_forgotten_are_encoded_again(monkeypatch, most):
+    monkeypatch.setattr(token_store, "CACHED_WORDS", most)
+    words = token_store._Words(BYTES)
+    texts = TEXTS + ["a b 日本 c", None, "a " * 50]
+    for text in texts * 2:
+        want = BYTE_BPE.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(pa.array([text], pa.string()))[0], "<u4").tolist() == want
+        assert len(words.pieces) <= most
+
+
+def test_ids_that_do_not_spell_a_text_fail():
+    words = token_store._Words(BYTES)
+    words.lengths = words.lengths + 1
+    with pytest.raises(ValueError, match="do not spell"):
+        words.ids("some words")
+
+
 def plain_store(rows):
     """Documents in order (null ids first, repeats by the hash of their text are taken as they come)."""
     out, start = [], 0
