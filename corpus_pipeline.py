@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm import jaccard_join, mixing, quality, sentencepiece_codec, suffix_dedup
-from fieldledger.llm.common import reach_workers, saved, table, told, unused
+from fieldledger.llm.common import frugal, reach_workers, saved, table, told, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,13 +32,19 @@ NEAR_PERCENT = 80
 PASSAGE_BYTES = 200
 
 
-def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _ready(spark: SparkSession) -> None:
     reach_workers(spark)
+    # Executors and their Python workers live through all stages; texts and packed postings are long rows.
+    frugal(spark)
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_workers(spark)
+    _ready(spark)
     # A row is known by its doc_id and text together: texts that share a doc_id are judged each by itself.
     key = unused(docs, "_row")
     rows = docs.where("doc_id is not null").withColumn(key, F.xxhash64("doc_id", "text"))
@@ -57,7 +63,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_workers(spark)
+    _ready(spark)
     clean = suffix_dedup.cleaned(docs, PASSAGE_BYTES)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -65,12 +71,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_workers(spark)
+    _ready(spark)
     return mixing.draw(docs, mixing.plan(docs)).select("row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_workers(spark)
+    _ready(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_codec.encoded(docs, model)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import partitions, record_batch, saved, slices, text_buffers, told, wanted
+from fieldledger.llm.common import lean, partitions, record_batch, saved, slices, text_buffers, told, wanted
 from fieldledger.llm.graph import components, hung
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, shingle_sets
@@ -97,15 +97,20 @@ def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
             yield part, sets, _names(sets)
 
 
+@lean
 def _profile(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: document, name and size of its set; of kind 1: a shingle and how often it was met."""
     held: list[np.ndarray] = []
     total, known = 0, set()
 
     def counted() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        counts = np.diff(np.append(starts, len(tokens)))
         more = counts > 1
-        tokens = tokens[more].view(np.int64)
+        tokens = tokens[starts[more]].view(np.int64)
         nothing = [None] * len(tokens)
         return record_batch(_PROFILE, np.ones(len(tokens), np.int8), tokens, nothing, counts[more], nothing)
 
@@ -120,7 +125,7 @@ def _profile(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 total += len(s)
         if total >= COUNTED:
             yield counted()
-            held, total, known = [], 0, set()
+            total, known = 0, set()
     if held:
         yield counted()
 
@@ -186,6 +191,7 @@ def _signed(
             yield np.concatenate(found)
 
 
+@lean
 def _postings(batches, width: int, percent: int, frequent: np.ndarray, places: np.ndarray, small: int, buckets: int):
     return dealt(_signed(batches, width, percent, frequent, places, small), buckets)
 
@@ -196,12 +202,14 @@ _ROOTED = _LISTED.append(pa.field("root", pa.int64()))
 _ROOTED_SQL = f"{_LISTED_SQL}, root long"
 
 
+@lean
 def _survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings whose token occurs again."""
     for rows in survivors(batches, _POSTING):
         yield record_batch(_LISTED, rows["key"].astype(np.uint64).view(np.int64), rows["set"], rows["n"])
 
 
+@lean
 def _members(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("set", pa.int64()), ("members", pa.binary())])
     for _, sets, names in _sets(batches, width):
@@ -213,6 +221,7 @@ def _links(shared: np.ndarray | int, m: np.ndarray | int, n: np.ndarray | int, p
     return 100 * shared >= percent * (m + n - shared)
 
 
+@lean
 def _test(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
     for batch in batches:
@@ -225,6 +234,7 @@ def _test(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield record_batch(schema, batch.column("a"), batch.column("b"), linked)
 
 
+@lean
 def _pruned(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Members of each list (rows sorted by token) that may link with one of another label; those that hang together by
     such pairs have the same ``root``, one of them."""
@@ -322,6 +332,7 @@ def _joined(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+@lean
 def _blocks(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[dict] = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import record_batch, slices, text_buffers
+from fieldledger.llm.common import lean, record_batch, slices, text_buffers
 
 VECTOR, WIDTH, STEP, FILTERS, CHUNK = 6, 8, 2, 32, 128
 HALF = CHUNK // 2
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return train([r["text"].encode() for r in rows], [r["quality"] for r in rows])
 
 
+@lean
 def _score(batches: Iterable[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     schema = None
     for batch in batches:
@@ -214,6 +215,7 @@ def scores(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_score, net=net), "doc_id bigint, score double")
 
 
+@lean
 def _keep(batches: Iterable[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):

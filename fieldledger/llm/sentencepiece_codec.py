@@ -2,7 +2,7 @@
 
 The model protobuf is parsed and rebuilt: normalizer (identity, or the precompiled character map), the mark for
 spaces and the space put first, pieces with their scores (a unigram model) or merges in the order of the scores (a
-BPE model), and byte fallback. New words of a batch are encoded by the rebuilt model and remembered per worker; where
+BPE model), and byte fallback. New words of a batch are encoded by the rebuilt model and remembered for the task; where
 pieces may reach over spaces or a normalizer has rules, whole texts are encoded instead. Whatever a worker encodes for
 the first time, of every text, is compared with the SentencePiece library, ids and decoded text; a difference fails.
 No piece reaches over a space where words are encoded, so a text has the ids of its words.
@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.llm import pieces as sp
-from fieldledger.llm.common import record_batch, slices
+from fieldledger.llm.common import lean, record_batch, slices
+
+#: Words that a worker remembers from one task to the next at most; in between it may be another operator's.
+KEPT_WORDS = 50_000
 
 
 def _merges(model: sp.Model) -> list[tuple[str, str]]:
@@ -123,6 +126,11 @@ class Codec:
             self.known[""] = np.array([self.tokenizer.token_to_id(sp.MARK)], "<i4").tobytes()
         return [None if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
 
+    def rest(self) -> None:
+        """Forgets the words of a task if they are many."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+
     def decode(self, ids: Iterable[int]) -> str:
         ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         text = b"".join([self.bytes[i] for i in ids]).decode(errors="replace")
@@ -139,6 +147,7 @@ def verify(docs: DataFrame, path: str) -> None:
     encoded(docs.select("text"), path, ["n_pieces"]).agg(F.sum("n_pieces")).first()
 
 
+@lean
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     tool = codec(path)
     for batch in batches:
@@ -156,6 +165,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, names: list[str]) ->
             }
             columns = [new[n] if n in new else part.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+    tool.rest()
 
 
 _RESULTS = {"n_pieces": "bigint", "piece_ids": "array<int>", "ids_crc32": "bigint", "decoded": "string"}

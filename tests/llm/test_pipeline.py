@@ -1,8 +1,9 @@
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
-from fieldledger.llm import jaccard_join, mixing, quality, suffix_dedup
-from fieldledger.llm.common import saved, table
+from fieldledger.llm import jaccard_join, mixing, quality, sentencepiece_codec, suffix_dedup
+from fieldledger.llm.common import BATCH_BYTES, saved, table
 from tests.llm.helpers import CLASHES, documents, edited, ordered, prose, spaced
 from tests.llm.test_jaccard_join import brute as brute_groups
 from tests.llm.test_quality import plain_score
@@ -139,3 +140,26 @@ def test_near_copy_stage_shuffles_few_texts(spark):
     # Of the branches of the union the first one has no exchange but of broadcasts.
     branches = plan[plan.index("Union") :].split("Scan ExistingRDD")
     assert "hashpartitioning" not in branches[0]
+
+
+def test_stages_send_workers_batches_of_bounded_bytes(spark):
+    """A thousand rows that are long, as texts and packed postings may be, are no single batch."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, documents(spark, []), DATA)
+        long_rows = spark.range(0, 800, 1, 1).selectExpr("repeat('x', 20000) as text")
+        assert max(r["n"] for r in long_rows.mapInArrow(sizes, "n long").collect()) < 1.1 * BATCH_BYTES
+
+
+def test_a_worker_forgets_the_words_of_a_task():
+    """A Python worker lives on through other stages, beside others."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    out = [r for part in sentencepiece_codec._encoded([batch], path, ["decoded"]) for r in part.column("decoded").to_pylist()]
+    assert out == texts
+    assert len(sentencepiece_codec.codec(path).known) <= 50_000
