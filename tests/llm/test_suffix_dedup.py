@@ -44,6 +44,22 @@ def test_passages_runs_and_copies(spark, crowd):
     assert found(documents(spark, overlapping()), crowd=crowd) == brute(overlapping())
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_segments_of_an_anchor_meet_beside_crowded_ones(spark, settings, broadcast):
+    """With several map tasks, whichever way adaptive execution joins and splits."""
+    settings(
+        spark__sql__shuffle__partitions="8",
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold=broadcast,
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="4k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="4k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.1",
+    )
+    rows = overlapping() + [(100 + i, prose(100 + i, 30) + " " + prose(200 + i // 2, 90) + " " + prose(300 + i, 30), None, None, None) for i in range(60)]
+    assert found(documents(spark, rows), crowd=3) == brute(rows)
+
+
 @pytest.mark.parametrize("length", [60, 200])
 def test_other_lengths(spark, length):
     rows = overlapping() + [(50 + i, prose(70 + i, 30) + " " + prose(99, 51) + " " + prose(80 + i, 30), None, None, None) for i in range(3)]
