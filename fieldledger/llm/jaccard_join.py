@@ -14,11 +14,13 @@ their Jaccard similarity is at least ``percent`` / 100 (``PERCENT`` by default);
 4. Lists of one set go before they are rows of a shuffle; of lists with the same members one stays. A sketch of each
    set, counts of its shingles by hash range, bounds what two sets share: members that can link with none of their
    list leave it.
-5. Star rounds compare every member of a list with one centre, which most lists of a group of near copies agree on.
+5. Star rounds compare every member of a list with one centre, which most lists of a group of near copies agree on:
+   first the member that meets most others over all its lists, as the text does that the copies were made from.
    Members of one component need no comparison, so a large group of near copies costs one comparison a member.
 6. Members that are left in different components of a list are compared block against block, in numpy; members that
-   hang together by pairs that may link, over all lists, are taken together up to ``CANOPY`` sets. Only links that join components leave the task, so all
-   pairs of a group are never rows.
+   hang together by pairs that may link, over all lists, are taken together. Above ``CANOPY`` sets they are taken list by list
+   where that sends fewer shingles. Blocks of the largest component of a group don't meet each other. Only links that join
+   components leave the task, so all pairs of a group are never rows.
 
 Comparisons are exact on the hashes. Cases: an empty set (null text, no words) links with nothing; fewer words than
 a shingle has make one; documents without doc_id link with nothing and have no component; rows that repeat a doc_id
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import lean, partitions, record_batch, saved, slices, text_buffers, told, wanted
+from fieldledger.llm.common import lean, partitions, record_batch, saved, slices, spent, text_buffers, told, wanted
 from fieldledger.llm.graph import components, hung
 from fieldledger.llm.postings import PACKED_SQL, dealt, survivors
 from fieldledger.llm.words import mix, shingle_sets
@@ -391,6 +393,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         packed.repartition(tasks, "bucket").mapInArrow(_survivors, _LISTED_SQL).distinct(), "postings"
     )
     lists = saved(_distinct_lists(listed), "lists")
+    spent(listed)
     sketches = profile.where("kind = 0").join(lists.select(F.col("set").alias("b")).distinct(), "b", "left_semi")
     sketches = sketches.groupBy(F.col("b").alias("set")).agg(F.max("sketch").alias("sketch"))
     sketches = saved(sketches, "sketches")
@@ -412,12 +415,15 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b"))
     several = several.where("a <> b").join(own.where("n > 0"), "doc_id").select("a", F.col("set").alias("b"))
     links = saved(several, "links")
+    reach = lists.groupBy("set").agg(F.sum("m").alias("reach"))
+    lists = saved(lists.join(reach, "set"), "lists")
     tested = None
     labels = None
     for turn in range(STAR_ROUNDS):
         labelled = _labelled(lists, labels)
+        rank = F.lit(0) if turn else -F.col("reach")
         centre = labelled.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("set", F.lit(turn)), "set", "n", "label")).alias("c")
+            F.min(F.struct(rank.alias("rank"), F.xxhash64("set", F.lit(turn)).alias("mark"), "set", "n", "label")).alias("c")
         )
         pairs = (
             labelled.join(centre, "token")
@@ -448,27 +454,21 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     first = open_lists.where("root is null").groupBy("token").agg(F.min("set").alias("first"))
     tied = open_lists.join(first, "token", "left")
     canopies = components(tied.select(F.col("set").alias("a"), F.coalesce("root", "first").alias("b")))
-    sizes = canopies.groupBy("component").agg(F.count("*").alias("size"))
-    small_ones = canopies.join(sizes.where(F.col("size") <= CANOPY), "component")
-    small_ones = small_ones.select(F.col("node").alias("set"), F.col("component").alias("canopy"))
-    grouped = open_lists.join(small_ones, "set", "left").select(
-        "set",
-        "n",
-        "label",
-        F.struct(
-            F.col("canopy").isNotNull().cast("int").alias("kind"),
-            F.coalesce("canopy", "token").alias("number"),
-            F.when(F.col("canopy").isNull(), F.coalesce("root", F.lit(0))).otherwise(0).alias("part"),
-        ).alias("group"),
-    ).distinct()
-    grouped = saved(grouped, "groups")
-    # A block has about BLOCK sets and BLOCK_MEMBERS shingles at most.
-    most = F.greatest(F.count("*") / float(BLOCK), F.sum("n") / float(BLOCK_MEMBERS))
-    blocks = grouped.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"))
+    canopies = canopies.select(F.col("node").alias("set"), F.col("component").alias("canopy"))
+    grouped = saved(_grouped(open_lists.join(canopies, "set", "left").withColumn("canopy", F.coalesce("canopy", "set"))), "groups")
+    main = F.col("label").eqNullSafe(F.col("main"))
     dealt = (
-        grouped.join(blocks, "group")
-        .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-        .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        grouped.withColumn("hash", F.xxhash64("set"))
+        .withColumn(
+            "block",
+            F.when(main, F.pmod("hash", F.greatest("mains", F.lit(1))))
+            .otherwise(F.col("mains") + F.pmod("hash", F.greatest("others", F.lit(1))))
+            .cast("int"),
+        )
+        .withColumn(
+            "partner",
+            F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)),
+        )
         .select(
             "set",
             "label",
@@ -483,6 +483,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         .select("pair", "side", "label", "members")
     )
     more = saved(dealt.mapInArrow(partial(_blocks, percent=percent), "a long, b long"), "joined")
+    spent(members)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     grouped = own.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
@@ -508,6 +509,62 @@ def _distinct_lists(listed: DataFrame) -> DataFrame:
     return listed.join(tokens, "token")
 
 
+def _grouped(placed: DataFrame) -> DataFrame:
+    """The groups in which members of open lists are compared: ``set``, ``label``, ``group`` and the group's blocks.
+
+    Members of one ``canopy`` are a group, unless they are more than ``CANOPY`` and its lists send fewer shingles."""
+    canopy = F.struct(F.lit(1).alias("kind"), F.col("canopy").alias("number"), F.lit(0).cast("long").alias("part"))
+    single = F.struct(F.lit(0).alias("kind"), F.col("token").alias("number"), F.coalesce("root", F.lit(0)).alias("part"))
+    whole, by_list = (
+        placed.select("canopy", "set", "n", "label", group.alias("group")).distinct() for group in (canopy, single)
+    )
+    sizes = whole.groupBy("canopy").agg(F.count("*").alias("size"))
+    crowded = saved(sizes.where(F.col("size") > CANOPY).select("canopy"), "crowded")
+    whole = whole.join(_dealt_to(whole), "group")
+    if crowded.isEmpty():
+        return whole.select("set", "label", "group", "main", "mains", "others")
+    by_list = by_list.join(crowded, "canopy", "left_semi")
+    by_list = by_list.join(_dealt_to(by_list), "group")
+    whole_costs, list_costs = (
+        groups.select("canopy", "group", "sent").distinct().groupBy("canopy").agg(F.sum("sent").alias("sent"))
+        for groups in (whole, by_list)
+    )
+    parted = list_costs.withColumnRenamed("sent", "less").join(whole_costs, "canopy").where("less < sent").select("canopy")
+    parted = saved(parted, "parted")
+    chosen = whole.join(parted, "canopy", "left_anti").unionByName(by_list.join(parted, "canopy", "left_semi"))
+    return chosen.select("set", "label", "group", "main", "mains", "others")
+
+
+def _dealt_to(grouped: DataFrame) -> DataFrame:
+    """Of each ``group`` with several labels: the numbers of blocks of its largest label ``main`` and of the ``others``, and the
+    shingles ``sent``. Without ``mains`` all blocks meet; blocks of ``main`` meet the others only, where that sends less.
+
+    A block has about ``BLOCK`` sets and ``BLOCK_MEMBERS`` shingles at most."""
+
+    def blocks(sets: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(sets / float(BLOCK), shingles / float(BLOCK_MEMBERS)))
+
+    labels = grouped.groupBy("group", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    groups = labels.groupBy("group").agg(
+        F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("n").alias("n"),
+        F.max(F.struct("n", "c", "label")).alias("top"),
+    )
+    groups = groups.where("labels > 1").select(
+        "group", "n", "top", blocks(F.col("c"), F.col("n")).alias("all"), blocks(F.col("top.c"), F.col("top.n")).alias("mains"),
+        blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("others"),
+    )
+    apart = F.col("top.n") * F.col("others") + (F.col("n") - F.col("top.n")) * (F.col("mains") + F.col("others"))
+    together = F.col("n") * F.col("all")
+    fewer = apart < together
+    return groups.select(
+        "group",
+        F.when(fewer, F.col("top.label")).alias("main"),
+        F.when(fewer, F.col("mains")).otherwise(0).cast("int").alias("mains"),
+        F.when(fewer, F.col("others")).otherwise(F.col("all")).cast("int").alias("others"),
+        F.least(apart, together).alias("sent"),
+    )
+
+
 def _without_far(labelled: DataFrame, sketches: DataFrame, parts: int, percent: int) -> DataFrame:
     """Lists of up to ``BLOCK`` sets without the members that can link with none of another label, and
     their roots; longer ones whole, without roots."""

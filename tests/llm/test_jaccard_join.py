@@ -1,4 +1,6 @@
 import itertools
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -110,3 +112,61 @@ def test_texts_in_question_are_not_shuffled(spark, monkeypatch):
     sure, doubtful = told(ids.withColumnRenamed("doc_id", "a"), "a", chosen, others)
     assert doubtful.count() > 0
     assert sorted(r["a"] for r in sure.unionByName(doubtful).collect()) == list(range(0, 3000, 3))
+
+
+def test_a_crowd_of_near_copies_is_dealt_once(spark, monkeypatch):
+    """More sets than ``CANOPY`` whose lists hold nearly the same ones: each went once per list."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "CANOPY", 20)
+    kept = {}
+
+    def saved(df, label):
+        kept[label] = common.saved(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(jaccard_join, "saved", saved)
+    text = prose(5, 200)
+    rows = [(i, edited(text, i, i % 10), None, None, None) for i in range(80)]
+    assert found(documents(spark, rows)) == brute(rows)
+    groups = kept["groups"]
+    sets = groups.select("set").distinct().count()
+    assert sets > 20
+    assert groups.count() == sets
+
+
+def test_a_loose_canopy_goes_by_its_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "CANOPY", 20)
+    # A chain of 40 lists of two sets, and 30 sets in two lists each that hold all but one of them.
+    chain = [(1, token, token + i, 10, token + i, None) for token in range(40) for i in range(2)]
+    crowd = [(100, 100 + k, 100 + i, 10, min(100 + i, 120), None) for k in range(2) for i in range(30) if i != k]
+    columns = "canopy long, token long, set long, n int, label long, root long"
+    rows = jaccard_join._grouped(spark.createDataFrame(chain + crowd, columns)).collect()
+    assert sorted((r.group.number, r.set) for r in rows if r.group.kind == 0) == sorted((t, s) for _, t, s, *_ in chain)
+    assert sorted(r.set for r in rows if r.group.kind == 1) == list(range(100, 130))
+
+
+def test_blocks_of_one_component_meet_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rows = [(1, i, min(i, 2), 10) for i in range(14)] + [(2, i, i, 10) for i in range(14)]
+    rows += [(3, i, 0, 10) for i in range(14)]
+    found = jaccard_join._dealt_to(spark.createDataFrame(rows, "group long, set long, label long, n int"))
+    assert sorted((r.group, r.main, r.mains, r.others, r.sent) for r in found.collect()) == [(1, 2, 3, 1, 200), (2, None, 0, 4, 560)]
+
+
+def test_shuffles_of_a_saved_table_go_with_it(spark):
+    def shuffled():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    table = common.saved(spark.range(10_000).repartition(7, "id").groupBy("id").count(), "numbers")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 10_000
+    files = [Path(f.removeprefix("file://")) for f in table.inputFiles()]
+    common.spent(table)
+    assert files and not any(f.exists() for f in files)
