@@ -12,8 +12,8 @@ their Jaccard similarity is at least ``percent`` / 100 (``PERCENT`` by default);
    subsets of two of these, the others (large), and small ones that can link with large ones, under each single
    one: the inverted lists. The boundary is where the estimated cost of subsets and of list scans is least.
 4. Lists of one set go before they are rows of a shuffle; of lists with the same members one stays. A sketch of each
-   set, counts of its shingles by hash range, bounds what two sets share: members that can link with none of their
-   list leave it.
+   set, counts of its shingles by hash range, bounds what two sets share, each pair by its own two sketches: members that
+   can link with none of their list leave it.
 5. Star rounds compare every member of a list with one centre, which most lists of a group of near copies agree on:
    first the member that meets most others over all its lists, as the text does that the copies were made from.
    Members of one component need no comparison, so a large group of near copies costs one comparison a member.
@@ -92,6 +92,23 @@ def most_shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shared_by_pair(marks: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """:func:`most_shared` of all pairs of one list, each pair by the coarser of its own two sketches, so that a short set
+    doesn't blur the others; 0 for pairs that can't link by their sizes."""
+    out = np.zeros((len(marks), len(marks)), np.int64)
+    lengths = np.array([len(m) for m in marks])
+    for length in np.unique(lengths):
+        here = np.flatnonzero(lengths == length)
+        near = (100 * sizes[here].max() >= percent * sizes) & (100 * sizes >= percent * sizes[here].min())
+        finer = np.flatnonzero((lengths >= length) & near)
+        if len(here) == len(finer) == 1:
+            continue
+        shared = most_shared([marks[i] for i in here], [marks[i] for i in finer])
+        out[np.ix_(here, finer)] = shared
+        out[np.ix_(finer, here)] = shared.T
+    return out
+
+
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -246,9 +263,8 @@ def _pruned(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         if len(rows) < 2:
             return
         sizes = np.array([r[2] for r in rows])
-        marks = [np.frombuffer(r[3], np.uint8) for r in rows]
         low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-        shared = np.minimum(most_shared(marks, marks), low)
+        shared = np.minimum(shared_by_pair([np.frombuffer(r[3], np.uint8) for r in rows], sizes, percent), low)
         labels = np.array([r[4] for r in rows])
         good = _links(shared, low, high, percent) & (labels[:, None] != labels[None, :])
         root = np.arange(len(rows))

@@ -170,3 +170,18 @@ def test_shuffles_of_a_saved_table_go_with_it(spark):
     files = [Path(f.removeprefix("file://")) for f in table.inputFiles()]
     common.spent(table)
     assert files and not any(f.exists() for f in files)
+
+
+def test_a_short_set_in_a_list_keeps_no_unrelated_long_ones(spark):
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (40, 42, 5000, 5050, 5100, 9000)]
+    sets += [sets[2][25:], sets[5][:8150], sets[5][900:]]
+    marks, sizes = [jaccard_join.sketch(s) for s in sets], np.array([len(s) for s in sets])
+    columns = [[7] * len(sets), range(len(sets)), sizes, [m.tobytes() for m in marks], range(len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set", "n", "sketch", "label"])
+    long = {r["set"] for b in jaccard_join._pruned([batch], 80) for r in b.to_pylist()} - {0, 1}
+    assert long == {2, 5, 6, 7, 8}
+    bound = jaccard_join.shared_by_pair(marks, sizes, 80)
+    for (i, x), (j, y) in itertools.permutations(enumerate(sets), 2):
+        if 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)):
+            assert bound[i, j] >= len(np.intersect1d(x, y))
